@@ -1,0 +1 @@
+"""kedai: retail event analytics on PySpark DataFrames, Spark SQL and Structured Streaming."""

@@ -1,0 +1,69 @@
+"""Attributes as known at event time, by dyadic decomposition of the validity intervals.
+
+Time is cut into leaves of 2**leaf_bits microseconds, counted from the first event; a node (level, index) covers
+2**level leaves. Each validity interval, clipped to the span of the events, becomes at most two nodes per level; an
+event equi-joins, on entity and node, the one node of each level that encloses it. Exact half-open bounds are checked
+on the match, so leaves that an interval covers only in part do no harm.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from kedai.session import cut, rows_at_most
+
+#: Nodes are broadcast up to this many rows; beyond, both sides are shuffled on entity and node.
+BROADCAST_NODES = 500_000
+#: A leaf is 2**32 microseconds, about 72 minutes.
+LEAF_BITS = 32
+
+
+def dyadic_nodes(versions: DataFrame, low: Column, high: Column, origin: int, leaf_bits: int, levels: int) -> DataFrame:
+    """versions, one row per node of the cover of [low, high) (microseconds), with columns level and node.
+
+    Only the span of 2**(levels-1) leaves from origin is covered; an interval outside it, or empty, gives no row.
+    """
+    top = 1 << (levels - 1)
+    first = F.greatest(F.shiftright(low - origin, leaf_bits), F.lit(0))
+    last = F.least(F.shiftright(high - 1 - origin, leaf_bits), F.lit(top - 1))  # inclusive
+    out = versions.withColumn("_a", first).withColumn("_b", last + 1).where((low < high) & F.col("_a").__lt__(F.col("_b")))
+    # At level k the cover holds the left-over odd block at either end of [ceil(a / 2^k), floor(b / 2^k)).
+    one = F.lit(1).cast("bigint")
+
+    def at(k: int) -> Column:
+        ceil_a, floor_b = F.shiftright(F.col("_a") + ((1 << k) - 1), k), F.shiftright(F.col("_b"), k)
+        node = lambda keep, n: F.when((ceil_a < floor_b) & keep, F.struct(F.lit(k).alias("level"), n.alias("node")))
+        left = node((ceil_a.bitwiseAND(one) == 1) if k < levels - 1 else F.lit(True), ceil_a)
+        right = node((floor_b.bitwiseAND(one) == 1) & ~((ceil_a.bitwiseAND(one) == 1) & (ceil_a == floor_b - 1)), floor_b - 1) if k < levels - 1 else F.lit(None).cast("struct<level:int,node:bigint>")
+        return F.array(left, right)
+
+    nodes = F.filter(F.flatten(F.array(*[at(k) for k in range(levels)])), lambda x: x.isNotNull())
+    return out.withColumn("_n", F.explode(nodes)).select(*versions.columns, F.col("_n.level").alias("level"), F.col("_n.node").alias("node"))
+
+
+def attach_as_of(events: DataFrame, versions: DataFrame, entity: str, at: str, low: str, high: str, carry: list[str], precedence: list[str], event_key: list[str], leaf_bits: int = LEAF_BITS) -> DataFrame:
+    """Each event once, with struct `version` of the carried columns of the version valid at the event's time, or null.
+
+    at, low, high: microseconds (bigint); valid means low <= at < high. entity: column of both sides. event_key: columns
+    that identify an event (a repeated event comes out once). Among overlapping versions the one with the greatest
+    `precedence` columns wins (nulls lowest, then the carried values), whatever the order of rows. Null entity or time:
+    version null. A version with null entity or bound matches nothing. Extra columns of either side do not clash: events
+    keep theirs, of versions only `carry` is taken, inside the struct.
+    """
+    span = events.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    side = versions.select(F.col(entity).alias("_e"), F.col(low).alias("_low"), F.col(high).alias("_high"), F.struct(*[F.col(c).alias(f"p{k}") for k, c in enumerate(precedence)], F.struct(*carry).alias("v")).alias("_v")).where("_e is not null")
+    origin = span.a if span.a is not None else 0
+    leaves = max(1, ((span.b - origin) >> leaf_bits) + 1) if span.a is not None else 1
+    levels = (leaves - 1).bit_length() + 1
+    nodes = cut(dyadic_nodes(side, F.col("_low"), F.col("_high"), origin, leaf_bits, levels))
+    if rows_at_most(nodes, BROADCAST_NODES):
+        nodes = F.broadcast(nodes)
+    leaf = F.shiftright(F.col(at) - origin, leaf_bits)
+    # Level -1 matches nothing: it carries events through that have no version.
+    keys = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(leaf, k).alias("node")) for k in range(levels)], F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("node")))
+    probes = events.withColumn("_k", F.explode(keys)).withColumn("_kl", F.col("_k.level")).withColumn("_kn", F.col("_k.node")).drop("_k")
+    hit = (F.col(entity) == F.col("_e")) & (F.col("_kl") == F.col("level")) & (F.col("_kn") == F.col("node")) & (F.col(at) >= F.col("_low")) & (F.col(at) < F.col("_high"))
+    met = probes.join(nodes, hit, "left").where("_kl = -1 or _v is not null")
+    rest = [c for c in events.columns if c not in event_key]
+    best = met.groupBy(*event_key).agg(F.max("_v").alias("_v"), F.first(F.struct(*rest)).alias("_r") if rest else F.lit(None).alias("_r"))
+    return best.select(*[F.col(c) if c in event_key else F.col(f"_r.{c}").alias(c) for c in events.columns], F.col("_v.v").alias("version"))

@@ -1,0 +1,93 @@
+"""Messages delivered more than once: exact quotient hashing of identifiers.
+
+An identifier is cut into two 64-bit words, a tail and its width. A two-round Feistel network permutes the words;
+being a bijection, it loses nothing: the permuted first word is the quotient (its leading bits choose the shard, the
+rest the slot), the second word with the tail is the complete remainder. Equal (shard, slot, remainder, width) means
+equal identifier, so the hash tables (Tungsten's, one per shuffle partition) never match falsely and never keep the
+text. UUIDs in canonical lower case are packed into 16 bytes and leave no tail.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+#: Leading bits of the quotient that name its shard.
+SHARD_BITS = 12
+UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+KEY = ["width", "shard", "slot", "rest", "tail"]
+
+
+def _word(hex_text: Column, at: int) -> Column:
+    """Hex digits at+1 .. at+16, padded with zeros to 16, as a signed 64-bit word."""
+    return F.conv(F.rpad(F.substring(hex_text, at + 1, 16), 16, "0"), 16, -10).cast("bigint")
+
+
+def quotient_key(ident: Column) -> list[Column]:
+    """Columns KEY of a non-null identifier: equal exactly where the identifiers are equal, as they stand."""
+    packed = ident.rlike(UUID)
+    digits = F.when(packed, F.translate(ident, "-", "")).otherwise(F.hex(ident.cast("binary")))
+    left, right = _word(digits, 0), _word(digits, 16)
+    right = right.bitwiseXOR(F.xxhash64(left, F.lit(1)))
+    left = left.bitwiseXOR(F.xxhash64(right, F.lit(2)))
+    return [
+        F.when(packed, F.lit(-16)).otherwise(F.octet_length(ident)).alias("width"),
+        F.shiftrightunsigned(left, 64 - SHARD_BITS).cast("int").alias("shard"),
+        left.bitwiseAND(F.lit((1 << (64 - SHARD_BITS)) - 1)).alias("slot"),
+        right.alias("rest"),
+        F.when(~packed & (F.octet_length(ident) > 16), F.unhex(F.substring(digits, 33, 1 << 30))).alias("tail"),
+    ]
+
+
+def identifier_keys(df: DataFrame, order: str, ids: list[str]) -> DataFrame:
+    """One row for each row and non-null identifier: kind (position in ids), KEY, order."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("ident")) for k, c in enumerate(ids)])
+    flat = df.select(order, F.explode(F.filter(kinds, lambda x: x["ident"].isNotNull())).alias("x"))
+    return flat.select(order, F.col("x.kind").alias("kind"), *quotient_key(F.col("x.ident")))
+
+
+def first_copies(keys: DataFrame, order: str) -> DataFrame:
+    """Each identifier once, with the smallest order that carries it; combined map-side, so a hot identifier is one row per task."""
+    return keys.groupBy("kind", *KEY).agg(F.min(order).alias(order))
+
+
+def surplus(df: DataFrame, order: str, ids: list[str]) -> DataFrame:
+    """The order values of rows which are not the first (smallest order) carrier of one of their identifiers.
+
+    order: unique and not null. A null identifier equals nothing; a row with no identifier is always kept; an empty
+    identifier is an identifier. Exact: a row is kept if it is first for all identifiers it has, so the number of its
+    identifiers is balanced against the number of identifiers it is first for. No group of copies is ever collected:
+    the identifier groups combine to minima and the balance is grouped by the unique order value.
+    """
+    has = sum((F.col(c).isNotNull().cast("int") for c in ids), F.lit(0))
+    owed = df.select(order, has.alias("n")).where("n > 0")
+    paid = first_copies(identifier_keys(df, order, ids), order).select(order, F.lit(-1).alias("n"))
+    return owed.unionByName(paid).groupBy(order).agg(F.sum("n").alias("n")).where("n > 0").select(order)
+
+
+def keep_first(df: DataFrame, order: str, ids: list[str]) -> DataFrame:
+    """df without its surplus copies; columns as they are. See surplus for nulls and ties."""
+    return df.join(surplus(df, order, ids), order, "left_anti")
+
+
+def admit(batch: DataFrame, seen: DataFrame | None, order: str, ids: list[str]) -> tuple[DataFrame, DataFrame]:
+    """For deliveries in batches: the rows of batch that carry no identifier seen before, and the keys seen so far.
+
+    seen: what the preceding call returned (kind and KEY), or None. Rows of earlier batches always win; within the
+    batch the smallest order wins. An identifier of a refused row counts as seen.
+    """
+    keys = identifier_keys(batch, order, ids)
+    first = first_copies(keys, order)
+    fresh = _fresh(first, seen)
+    has = sum((F.col(c).isNotNull().cast("int") for c in ids), F.lit(0))
+    owed = batch.select(order, has.alias("n")).where("n > 0")
+    bad = owed.unionByName(fresh.select(order, F.lit(-1).alias("n"))).groupBy(order).agg(F.sum("n").alias("n")).where("n > 0").select(order)
+    kept = batch.join(bad, order, "left_anti")
+    now = first.select("kind", *KEY)
+    return kept, now if seen is None else seen.unionByName(now).distinct()
+
+
+def _fresh(first: DataFrame, seen: DataFrame | None) -> DataFrame:
+    if seen is None:
+        return first
+    tail = lambda df: df.withColumn("tail", F.coalesce("tail", F.unhex(F.lit(""))))  # noqa: E731  width tells an absent tail from an empty one
+    return tail(first).join(tail(seen), ["kind", *KEY], "left_anti")

@@ -1,0 +1,78 @@
+"""History of changing attributes: a bitemporal ledger.
+
+Each ledger row says that an entity had these attributes during [valid_from, valid_to), as recorded from recorded_at
+until superseded_at (null: still believed). A batch of updates is swept together with the believed rows of its entities
+in order of valid time: an update that falls inside a believed interval splits it. The shortened row is added and the
+former one is only closed (superseded_at), never overwritten. The believed rows of any recorded time tile valid time.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from kedai.operators.ordered import with_neighbours, with_position
+
+OPEN = -1
+#: Chunk of valid time that one task sweeps for one entity.
+CHUNK_US = 7 * 86_400_000_000
+LEDGER = ["source_table", "entity_id", "valid_from", "seq", "attrs", "valid_to", "recorded_at", "superseded_at"]
+
+
+def normal(text: Column) -> Column:
+    """Text without surrounding blanks and in one case; null stays null (and a blank text stays a value)."""
+    return F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
+
+
+def apply_updates(ledger: DataFrame | None, updates: DataFrame, recorded_at: int, chunk_us: int = CHUNK_US) -> DataFrame:
+    """The ledger after one batch.
+
+    updates: source_table, entity_id, valid_from (microseconds), seq (unique; breaks ties of valid_from), attrs (struct).
+    Rows with null entity or time are left out. Applying an update again (same source_table, entity_id, valid_from, seq)
+    changes nothing. Two updates at the same instant give an interval of length 0 for the first.
+    """
+    new = updates.where("entity_id is not null and valid_from is not null").dropDuplicates(["source_table", "entity_id", "valid_from", "seq"]).select("source_table", "entity_id", "valid_from", "seq", "attrs")
+    absent = lambda kind: F.lit(None).cast(kind)
+    if ledger is not None:
+        new = new.join(ledger.where("superseded_at is null").select("source_table", "entity_id", "valid_from", "seq"), ["source_table", "entity_id", "valid_from", "seq"], "left_anti")
+    points = new.withColumn("was_to", absent("bigint")).withColumn("was_recorded", absent("bigint"))
+    if ledger is not None:
+        touched = new.select("source_table", "entity_id").distinct()
+        held = ledger.where("superseded_at is null").join(touched, ["source_table", "entity_id"], "left_semi")
+        points = points.unionByName(held.select("source_table", "entity_id", "valid_from", "seq", "attrs", F.col("valid_to").alias("was_to"), F.col("recorded_at").alias("was_recorded")))
+    points = points.withColumn("chunk", F.floor(F.col("valid_from") / chunk_us))
+    swept = with_neighbours(points, ["source_table", "entity_id"], "chunk", ["valid_from", "seq"], F.struct("valid_from"), after="next")
+    swept = swept.withColumn("valid_to", F.coalesce("next.valid_from", F.lit(OPEN)).cast("bigint"))
+    # One point gives its row as it stands, or (if split) the closed former row and the shortened one.
+    row = lambda to, rec, sup: F.struct(to.alias("valid_to"), rec.alias("recorded_at"), sup.alias("superseded_at"))
+    now, none = F.lit(recorded_at).cast("bigint"), absent("bigint")
+    split = F.col("was_recorded").isNotNull() & (F.col("was_to") != F.col("valid_to"))
+    rows = F.when(split, F.array(row(F.col("was_to"), F.col("was_recorded"), now), row(F.col("valid_to"), now, none))).otherwise(F.array(row(F.col("valid_to"), F.coalesce("was_recorded", now), none)))
+    out = swept.withColumn("r", F.explode(rows)).select("source_table", "entity_id", "valid_from", "seq", "attrs", "r.valid_to", "r.recorded_at", "r.superseded_at")
+    if ledger is None:
+        return out
+    others = ledger.join(touched, ["source_table", "entity_id"], "left_anti")
+    closed = ledger.where("superseded_at is not null").join(touched, ["source_table", "entity_id"], "left_semi")
+    return reduce(DataFrame.unionByName, [out, others.select(*LEDGER), closed.select(*LEDGER)])
+
+
+def believed(ledger: DataFrame, at: int | None = None) -> DataFrame:
+    """The rows believed at that recorded time (None: now)."""
+    if at is None:
+        return ledger.where("superseded_at is null")
+    return ledger.where((F.col("recorded_at") <= at) & (F.col("superseded_at").isNull() | (F.col("superseded_at") > at)))
+
+
+def versions(rows: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
+    """Believed rows with equal neighbours merged: source_table, entity_id, version_no, valid_from, valid_to (-1: open), attrs.
+
+    attrs are compared as they stand, null being a value of its own.
+    """
+    key = ["source_table", "entity_id"]
+    rows = rows.select(*key, "valid_from", "seq", "attrs").withColumn("chunk", F.floor(F.col("valid_from") / chunk_us))
+    rows = with_neighbours(rows, key, "chunk", ["valid_from", "seq"], F.struct("attrs"), before="prev")
+    starts = rows.where(F.col("prev").isNull() | ~F.col("prev.attrs").eqNullSafe(F.col("attrs"))).drop("prev")
+    starts = with_neighbours(starts, key, "chunk", ["valid_from", "seq"], F.struct("valid_from"), after="next")
+    starts = with_position(starts, key, "chunk", ["valid_from", "seq"], "version_no")
+    return starts.select(*key, F.col("version_no").cast("int").alias("version_no"), "valid_from", F.coalesce("next.valid_from", F.lit(OPEN)).cast("bigint").alias("valid_to"), "attrs")

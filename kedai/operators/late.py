@@ -1,0 +1,131 @@
+"""Per-period aggregates by event time, corrected as late records arrive, until a cut-off.
+
+Raw records are retained in a Parquet table partitioned by period. A batch touches some periods; exactly those are
+recomputed from all retained records and written as a new version of these periods. One rename publishes the version, so
+a reader sees all of a batch's corrections or none, and a job that dies leaves the former version in force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from kedai.functions.clock import micros, rfc3339, window_start_s
+from kedai.session import work_path
+
+WINDOW_S = 300
+LATENESS_S = 6 * 3600
+#: A partition of the tables; a multiple of the window.
+PERIOD_S = 86_400
+#: Tasks (and files) that share one period's retained records, so that a period with a third of all rows is split.
+SPLITS = 8
+
+
+def timed_sales(df: DataFrame, lateness_s: int = LATENESS_S, window_s: int = WINDOW_S, period_s: int = PERIOD_S) -> DataFrame:
+    """The records that count: store_id, window_start_s, period, amount, record_id, batch.
+
+    Dropped, by definition: a record whose event_timestamp or produced_at is null or not RFC 3339 with a zone, one
+    produced more than lateness_s after its event (exactly lateness_s still counts; produced before the event too), and
+    one without store. A null amount counts as a transaction of 0. A null batch is the first.
+    """
+    event, produced = micros(rfc3339(F.col("metadata.event_timestamp"))), micros(rfc3339(F.col("metadata.produced_at")))
+    slim = df.select("record_id", F.col("payload.store_id").alias("store_id"), event.alias("event_us"), produced.alias("produced_us"), F.coalesce("payload.total_amount", F.lit(0)).cast("decimal(18,6)").alias("amount"), F.coalesce("spark_batch_id", F.lit(-1)).cast("bigint").alias("batch"))
+    slim = slim.where(F.col("store_id").isNotNull() & (F.col("produced_us") - F.col("event_us") <= lateness_s * 1_000_000))
+    slim = slim.withColumn("window_start_s", window_start_s(F.col("event_us"), window_s))
+    return slim.select("record_id", "store_id", "window_start_s", F.floor(F.col("window_start_s") / period_s).cast("int").alias("period"), "amount", "batch")
+
+
+class CorrectedWindows:
+    """The retained records and the versions of the aggregates under one root.
+
+    root/raw/period=P: retained records. root/v=N/period=P: aggregates of the periods that batch N touched. A version
+    is written as root/_writing-N and published by one rename; of each period the highest published version holds.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.version = spark, root, 0
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        self._fs, self._path = path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        if self._fs.exists(path):
+            names = [x.getPath().getName() for x in self._fs.listStatus(path)]
+            self.version = max([0, *(int(n[2:]) for n in names if n.startswith("v="))])
+
+    def retain(self, records: DataFrame) -> None:
+        """Append records (columns of timed_sales) to the retained ones, a period's records split over SPLITS tasks."""
+        spread = records.repartition("period", F.pmod(F.xxhash64("record_id"), F.lit(SPLITS)))
+        spread.write.mode("append").partitionBy("period").parquet(f"{self.root}/raw")
+
+    def raw(self) -> DataFrame:
+        return self.spark.read.schema("record_id bigint, store_id string, window_start_s bigint, amount decimal(18,6), batch bigint, period int").parquet(f"{self.root}/raw")
+
+    def correct(self, new: Column, known: Column) -> None:
+        """Recompute the periods which the records under the condition `new` touch, from all records under `known`.
+
+        touched is at most one row per period, so the recomputation reads (by partition pruning) only these periods.
+        """
+        raw = self.raw()
+        touched = raw.where(new).select("period").distinct()
+        fresh = raw.where(known).join(F.broadcast(touched), "period", "left_semi") if self._few_periods() else raw.where(known).join(touched, "period", "left_semi")
+        totals = fresh.groupBy("period", "store_id", "window_start_s").agg(F.sum(F.col("amount").cast("decimal(28,6)")).alias("revenue"), F.count(F.lit(1)).alias("transactions"))
+        self.version += 1
+        made = f"{self.root}/_writing-{self.version}"
+        totals.write.mode("overwrite").partitionBy("period").parquet(made)
+        if not self._fs.rename(self._path(made), self._path(f"{self.root}/v={self.version}")):
+            raise OSError(f"version {self.version} could not be published")
+
+    def _few_periods(self, bound: int = 100_000) -> bool:
+        """Whether the folder holds at most `bound` periods, which bounds what may be broadcast."""
+        return len(self._fs.listStatus(self._path(f"{self.root}/raw"))) <= bound
+
+    def current(self) -> DataFrame:
+        """store_id, window_start_s, revenue, transactions as corrected by all published versions."""
+        if not self.version:
+            return self.spark.createDataFrame([], "store_id string, window_start_s bigint, revenue decimal(38,6), transactions bigint")
+        kinds = "period int, store_id string, window_start_s bigint, revenue decimal(38,6), transactions bigint"
+        parts = [self.spark.read.schema(kinds).parquet(f"{self.root}/v={v}").withColumn("v", F.lit(v)) for v in range(1, self.version + 1)]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        newest = every.groupBy("period").agg(F.max("v").alias("v"))
+        return every.join(F.broadcast(newest) if self._few_periods() else newest, ["period", "v"]).select("store_id", "window_start_s", "revenue", "transactions")
+
+    def compact(self) -> None:
+        """Replace all versions by one; for folders with many small versions."""
+        merged = self.current().withColumn("period", F.floor(F.col("window_start_s") / PERIOD_S).cast("int"))
+        old, self.version = self.version, self.version + 1
+        made = f"{self.root}/_writing-{self.version}"
+        merged.write.mode("overwrite").partitionBy("period").parquet(made)
+        self._fs.rename(self._path(made), self._path(f"{self.root}/v={self.version}"))
+        for v in range(1, old + 1):
+            self._fs.delete(self._path(f"{self.root}/v={v}"), True)
+            self._fs.mkdirs(self._path(f"{self.root}/v={v}"))
+
+
+def replay(records: DataFrame, increments: int, root: str | None = None) -> CorrectedWindows:
+    """Feed records (columns of timed_sales) to CorrectedWindows in `increments` arrival slices of equal batch range.
+
+    The final state does not depend on the slicing; slices show the corrections (each slice rewrites only what it touches).
+    """
+    spark = records.sparkSession
+    windows = CorrectedWindows(spark, root or work_path(spark, "late"))
+    windows.retain(records)
+    low, high = windows.raw().agg(F.min("batch"), F.max("batch")).first()
+    if low is None:
+        return windows
+    width = max(1, -(-(high - low + 1) // increments))
+    for start in range(low, high + 1, width):
+        batch = F.col("batch")
+        windows.correct(new=(batch >= start) & (batch < start + width), known=batch < start + width)
+    return windows
+
+
+def differences(corrected: DataFrame, published: DataFrame) -> DataFrame:
+    """store_id, window_start_s where the published revenue or transactions differ; absent on either side is 0 and 0.
+
+    Both sides are combined to one row per store and window first, so repeated published rows add up.
+    """
+    sides = corrected.select("store_id", "window_start_s", F.col("revenue").cast("decimal(28,6)").alias("revenue"), "transactions")
+    other = published.select("store_id", F.floor(micros(F.col("window_start")) / 1_000_000).cast("bigint").alias("window_start_s"), (-F.coalesce("revenue", F.lit(0)).cast("decimal(28,6)")).alias("revenue"), (-F.coalesce("transactions", F.lit(0))).cast("bigint").alias("transactions"))
+    both = sides.unionByName(other.where("store_id is not null and window_start_s is not null"))
+    net = both.groupBy("store_id", "window_start_s").agg(F.sum("revenue").alias("revenue"), F.sum("transactions").alias("transactions"))
+    return net.where("revenue <> 0 or transactions <> 0").select("store_id", "window_start_s")

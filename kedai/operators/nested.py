@@ -1,0 +1,344 @@
+"""Deeply nested JSON bodies to flat line rows, by vectorised structural indexing.
+
+A slice of bodies is one byte buffer. Bitmaps of quotes (less the escaped ones), brackets and delimiters, a prefix sum
+over quotes (inside a string?) and one over brackets (depth) give the tokens; tokens sorted by depth give each its
+container. From these arrays bodies are checked against the JSON grammar, members and elements are addressed and spans
+cut out, without a parser walking the text. Strings that hold JSON text are decoded and indexed in a further round.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Bytes indexed at once; a longer body is indexed alone.
+SLICE_BYTES = 1 << 21
+LINES_SCHEMA = "raw_id bigint, transaction_id string, line_pos int, product_id string, quantity string, unit_price string"
+_SCALAR = re.compile(rb"true|false|null|-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?")
+_OPEN, _CLOSE, _STRING, _SCALAR_KIND, _COLON, _COMMA = 1, 2, 3, 4, 5, 6
+NAMES = ["payload", "transaction_id", "line_items", "product_id", "quantity", "unit_price"]
+PAYLOAD, TRANSACTION, ITEMS, PRODUCT, QUANTITY, PRICE = range(6)
+# Roles of a text: what its value stands for.
+BODY, PAYLOAD_PART, LINES_PART, LINE_PART = range(4)
+
+
+class Index:
+    """Tokens of some texts: pos, end (exclusive), kind, doc, byte; of those that are values: parent, name, rank; ok by doc."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = data = b"\n".join(texts)
+        b = np.frombuffer(data, np.uint8)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.concatenate([[0], np.cumsum(lengths[:-1] + 1)]).astype(np.int64)
+        n_docs = len(texts)
+        ok = np.ones(n_docs, bool)
+        doc_of = lambda p: np.searchsorted(starts, p, "right") - 1
+
+        # Quote bitmap: a quote after an odd run of backslashes is none.
+        quote = b == 34
+        slashes = np.flatnonzero(b == 92)
+        escaped = np.empty(0, np.int64)
+        if len(slashes):
+            new = np.flatnonzero(np.diff(slashes, prepend=-2) > 1)
+            ends = slashes[new] + np.diff(new, append=len(slashes))
+            escaped = ends[(ends - slashes[new]) % 2 == 1]
+            escaped = escaped[escaped < len(b)]
+            quote[escaped] = False
+            what = b[escaped]
+            bad = ~np.isin(what, np.frombuffer(b'"\\/bfnrtu', np.uint8))
+            ok[doc_of(escaped[bad])] = False
+            u = escaped[what == 117]
+            if len(u):
+                hexa = np.zeros(256, bool)
+                hexa[np.frombuffer(b"0123456789abcdefABCDEF", np.uint8)] = True
+                four = np.minimum(u[:, None] + np.arange(1, 5), len(b) - 1)
+                ok[doc_of(u[~hexa[b[four]].all(1)])] = False
+        # Inside a string: parity of the prefix sum over quotes, counted from the start of each text.
+        total = np.cumsum(quote, dtype=np.int32)
+        before = np.where(starts > 0, total[np.minimum(starts, len(b)) - 1], 0) if len(b) else np.zeros(n_docs, np.int32)
+        span = lengths + 1
+        if n_docs:
+            span[-1] -= 1
+        inside = ((total - np.repeat(before, span).astype(np.int32)) & 1).astype(bool)
+        ok[doc_of(np.flatnonzero(inside & (b < 32)))] = False  # also a text that ends inside a string: its newline
+        if n_docs and lengths[-1] and inside[-1]:
+            ok[-1] = False
+        outside = ~inside & ~quote
+        blank = (b == 32) | (b == 9) | (b == 10) | (b == 13)
+        kind_of = np.zeros(256, np.uint8)
+        for chars, k in ((b"{[", _OPEN), (b"}]", _CLOSE), (b":", _COLON), (b",", _COMMA)):
+            kind_of[np.frombuffer(chars, np.uint8)] = k
+        kind_at = np.where(outside, kind_of[b], 0)
+        kind_at[quote & inside] = _STRING
+        plain = outside & (kind_at == 0) & ~blank
+        fresh = plain.copy()
+        fresh[1:] &= ~plain[:-1]
+        kind_at[fresh] = _SCALAR_KIND
+
+        pos = np.flatnonzero(kind_at)
+        kind = kind_at[pos]
+        doc = doc_of(pos)
+        end = pos + 1
+        quotes = np.flatnonzero(quote)
+        strings = kind == _STRING
+        nxt = np.searchsorted(quotes, pos[strings], "right")
+        end[strings] = np.where(nxt < len(quotes), quotes[np.minimum(nxt, len(quotes) - 1)] + 1, len(b)) if len(quotes) else 0
+        scalars = np.flatnonzero(kind == _SCALAR_KIND)
+        stops = np.flatnonzero(plain & ~np.append(plain[1:], False)) + 1
+        end[scalars] = stops
+        known: dict[bytes, bool] = {}
+        for i in scalars:
+            text = data[pos[i] : end[i]]
+            good = known.get(text)
+            if good is None:
+                good = known[text] = _SCALAR.fullmatch(text) is not None
+            if not good:
+                ok[doc[i]] = False
+
+        # Depth: prefix sum over brackets, from the start of each text.
+        step = np.where(kind == _OPEN, 1, np.where(kind == _CLOSE, -1, 0))
+        run = np.cumsum(step)
+        first = np.searchsorted(doc, np.arange(n_docs))
+        if not len(pos):  # nothing but blanks
+            none = np.empty(0, np.int64)
+            self.pos = self.end = self.kind = self.doc = self.byte = self.parent = self.name = self.values = self.rank = none
+            self.ok = np.zeros(n_docs, bool)
+            return
+        base = np.where(first > 0, run[np.minimum(first, len(run) - 1) - 1], 0)
+        after = run - base[doc]
+        ok[doc[after < 0]] = False
+        last = np.searchsorted(doc, np.arange(n_docs), "right") - 1
+        some = last >= first
+        ok[~some] = False
+        ok[some & (after[np.maximum(last, 0)] != 0)] = False
+        # A token's level is the number of containers around it; a bracket heads (or ends) the level inside it.
+        level = after - (kind == _OPEN)
+        inner = np.where((kind == _OPEN) | (kind == _CLOSE), level + 1, level)
+        by_level = np.lexsort((np.arange(len(pos)), inner, doc))
+        head = np.where(kind[by_level] == _OPEN, np.arange(len(pos)), -1)
+        group = np.flatnonzero((np.diff(doc[by_level], prepend=-1) != 0) | (np.diff(inner[by_level], prepend=-1) != 0))
+        floor = np.zeros(len(pos), np.int64)
+        floor[group] = group
+        floor = np.maximum.accumulate(floor)
+        seen = np.maximum.accumulate(head)
+        holder = np.full(len(pos), -1)
+        holder[by_level] = np.where(seen >= floor, by_level[np.maximum(seen, 0)], -1)
+        # holder of an open bracket is itself; its own container is that of the level outside.
+        parent = holder.copy()
+        brackets = np.flatnonzero((kind == _OPEN) | (kind == _CLOSE))
+        outer = np.full(len(pos), -1)
+        by_outer = np.lexsort((np.arange(len(pos)) * 2 + 1, level, doc))  # members of a level, to be merged with its heads
+        heads = np.flatnonzero(kind == _OPEN)
+        both = np.concatenate([by_outer, heads])
+        lev = np.concatenate([level[by_outer], level[heads] + 1])
+        at = np.concatenate([by_outer, heads])
+        is_head = np.concatenate([np.zeros(len(by_outer), bool), np.ones(len(heads), bool)])
+        o = np.lexsort((is_head, at, lev, doc[both]))
+        k = np.where(is_head[o], np.arange(len(o)), -1)
+        g = np.flatnonzero((np.diff(doc[both[o]], prepend=-1) != 0) | (np.diff(lev[o], prepend=-1) != 0))
+        fl = np.zeros(len(o), np.int64)
+        fl[g] = g
+        fl = np.maximum.accumulate(fl)
+        k = np.maximum.accumulate(k)
+        found = np.where(k >= fl, at[o][np.maximum(k, 0)], -1)
+        outer[both[o][~is_head[o]]] = found[~is_head[o]]
+        parent[brackets] = outer[brackets]
+        byte = b[pos]
+        # Brackets must pair with their like: the opener that a closer ends is its holder.
+        closers = np.flatnonzero(kind == _CLOSE)
+        opener = holder[closers]
+        ok[doc[closers[(opener < 0) | (byte[np.maximum(opener, 0)] + 2 != byte[closers])]]] = False
+
+        # Grammar, by pairs of neighbours. in_obj: the container is an object; key: a string that opens a member.
+        prev = np.arange(len(pos)) - 1
+        start = np.zeros(len(pos), bool)
+        start[first[some]] = True
+        pk = np.where(start, 0, kind[prev])
+        in_obj = (parent >= 0) & (byte[np.maximum(parent, 0)] == 123)
+        root = parent < 0
+        head_before = ~start & (pk == _OPEN)
+        comma_before = pk == _COMMA
+        key = strings & in_obj & (head_before | comma_before)
+        value = ((kind == _STRING) | (kind == _SCALAR_KIND) | (kind == _OPEN)) & ~key
+        p_key = np.where(start, False, key[prev])
+        p_end = ((pk == _STRING) | (pk == _SCALAR_KIND) | (pk == _CLOSE)) & ~p_key
+        good = np.zeros(len(pos), bool)
+        good |= key
+        good |= value & in_obj & (pk == _COLON)
+        good |= value & ~in_obj & ~root & (head_before | comma_before)
+        good |= value & root & (start | ((kind == _OPEN) & (pk == _CLOSE)))  # several bodies in a row are objects or arrays
+        good |= (kind == _COLON) & p_key
+        good |= (kind == _COMMA) & ~root & p_end
+        good |= (kind == _CLOSE) & (p_end | head_before)
+        ok[doc[~good]] = False
+
+        self.pos, self.end, self.kind, self.doc, self.byte, self.parent, self.ok = pos, end, kind, doc, byte, parent, ok
+        self.name = np.full(len(pos), -1, np.int8)
+        members = np.flatnonzero(value & in_obj & ok[doc])
+        keys = members - 2
+        size = end[keys] - pos[keys] - 2
+        for n, word in enumerate(NAMES):
+            fit = np.flatnonzero(size == len(word))
+            if len(fit):
+                same = (b[pos[keys[fit]][:, None] + 1 + np.arange(len(word))] == np.frombuffer(word.encode(), np.uint8)).all(1)
+                self.name[members[fit[same]]] = n
+        if len(escaped):
+            hit = np.searchsorted(escaped, end[keys]) > np.searchsorted(escaped, pos[keys])
+            for m in members[hit]:
+                word = json.loads(self.text(m - 2))
+                self.name[m] = NAMES.index(word) if word in NAMES else -1
+        self.values = np.flatnonzero(value & ok[doc])
+        order = np.lexsort((self.values, parent[self.values], doc[self.values]))
+        v = self.values[order]
+        fresh_group = (np.diff(parent[v], prepend=-2) != 0) | (np.diff(doc[v], prepend=-1) != 0)
+        at0 = np.maximum.accumulate(np.where(fresh_group, np.arange(len(v)), 0)) if len(v) else np.empty(0, np.int64)
+        self.rank = np.zeros(len(pos), np.int64)
+        self.rank[v] = np.arange(len(v)) - at0 + 1
+
+    def text(self, token: int) -> bytes:
+        return self.data[self.pos[token] : self.end[token]]
+
+    def decoded(self, token: int) -> str | None:
+        """A string as what it says, null as None, anything else as it is written."""
+        if self.kind[token] == _STRING:
+            return json.loads(self.text(token))
+        if self.kind[token] == _OPEN:
+            return self.spanned(token)
+        text = self.text(token).decode()
+        return None if text == "null" else text
+
+    def spanned(self, token: int) -> str:
+        """An object or array as it is written."""
+        later = np.flatnonzero((self.kind[token:] == _CLOSE) & (self.parent[token:] == self.parent[token]) & (self.doc[token:] == self.doc[token]))
+        return self.data[self.pos[token] : self.end[token + later[0]]].decode()
+
+
+def _json_like(text: str) -> bool:
+    return text.lstrip(" \t\r\n")[:1] in ("{", "[", '"')
+
+
+def extract_lines(bodies: list[tuple[int, str]]) -> list[tuple]:
+    """Line rows (LINES_SCHEMA) of some bodies; nothing for a body that is not JSON. Rows of one body do not repeat."""
+    out: dict[tuple, None] = {}
+    # What is still to be indexed: raw_id, role, transaction_id, line position, text.
+    todo = [(raw, BODY, None, 0, text) for raw, text in bodies]
+    while todo:
+        ix = Index([x[4].encode("utf-8", "surrogatepass") for x in todo])
+        more: list[tuple] = []
+        role = np.fromiter((x[1] for x in todo), np.int8, len(todo))
+        v, parent, name = ix.values, ix.parent, ix.name
+        obj = lambda t: ix.byte[t] == 123
+        arr = lambda t: ix.byte[t] == 91
+        text = lambda t: ix.kind[t] == _STRING
+        no = np.empty(0, np.int64)
+
+        def again(token: int, role: int, transaction: str | None, at: int) -> None:
+            inner = ix.decoded(token)
+            if inner is not None and _json_like(inner):
+                more.append((todo[ix.doc[token]][0], role, transaction, at, inner))  # noqa: B023
+
+        def members(holders: np.ndarray, which: int) -> np.ndarray:
+            """The last member of that name of each of the objects."""
+            mark = np.zeros(len(ix.pos) + 1, bool)
+            mark[holders] = True
+            mark[-1] = False  # parent -1: none
+            m = v[(name[v] == which) & mark[parent[v]]]
+            m = m[np.lexsort((m, parent[m]))]
+            return m[np.append(np.diff(parent[m]) != 0, True)] if len(m) else m
+
+        def elements(lists: np.ndarray) -> np.ndarray:
+            mark = np.zeros(len(ix.pos) + 1, bool)
+            mark[lists] = True
+            mark[-1] = False
+            return v[(parent[v] >= 0) & mark[parent[v]]]
+
+        roots = v[parent[v] < 0]
+        r = role[ix.doc[roots]]
+        # Bodies: objects are envelopes; arrays of them, to any depth.
+        envelopes, level = [], roots[r == BODY]
+        while len(level):
+            envelopes.append(level[obj(level)])
+            for t in level[text(level)]:
+                again(t, BODY, None, 0)
+            level = elements(level[arr(level)])
+        envelopes = np.concatenate([no, *envelopes])
+        parts = members(envelopes, PAYLOAD)
+        for t in parts[text(parts)]:
+            again(t, PAYLOAD_PART, None, 0)
+        own = roots[r == PAYLOAD_PART]
+        for t in own[text(own)]:
+            again(t, PAYLOAD_PART, None, 0)
+        payloads = np.concatenate([parts[obj(parts)], own[obj(own)]])
+        said = {parent[t]: ix.decoded(t) for t in members(payloads, TRANSACTION)}
+        # The line items: an array, one object, or a text that holds either.
+        held = [(t, said.get(parent[t])) for t in members(payloads, ITEMS)]
+        held += [(t, todo[ix.doc[t]][2]) for t in roots[r == LINES_PART]]
+        items: list[tuple[int, str | None, int]] = []
+        lists: dict[int, str | None] = {}
+        for t, transaction in held:
+            if ix.byte[t] == 91:
+                lists[t] = transaction
+            elif ix.byte[t] == 123:
+                items.append((t, transaction, 1))
+            elif ix.kind[t] == _STRING:
+                again(t, LINES_PART, transaction, 0)
+        if lists:
+            for t in elements(np.fromiter(lists, np.int64, len(lists))):
+                transaction, at = lists[parent[t]], int(ix.rank[t])
+                if ix.byte[t] == 123:
+                    items.append((t, transaction, at))
+                elif ix.kind[t] == _STRING:
+                    again(t, LINE_PART, transaction, at)
+        for t in roots[r == LINE_PART]:
+            _, _, transaction, at, _ = todo[ix.doc[t]]
+            if ix.byte[t] == 123:
+                items.append((t, transaction, at))
+            elif ix.kind[t] == _STRING:
+                again(t, LINE_PART, transaction, at)
+        holders = np.fromiter((x[0] for x in items), np.int64, len(items))
+        fields = [{parent[t]: t for t in members(holders, which)} for which in (PRODUCT, QUANTITY, PRICE)]
+        for t, transaction, at in items:
+            got = [ix.decoded(f[t]) if t in f else None for f in fields]
+            if None not in got:
+                out[(todo[ix.doc[t]][0], transaction, at, *got)] = None
+        todo = more
+    return list(out)
+
+
+def flat_lines(bodies: DataFrame) -> DataFrame:
+    """Line rows (LINES_SCHEMA) of raw_id, event_json: the flat child table, linked by raw_id and transaction_id.
+
+    A line is an object in payload.line_items of any envelope of a body, with product_id, quantity and unit_price present
+    and not null; other lines give no row but keep their position. quantity and unit_price come as text as written.
+    Null, empty or broken bodies (not JSON by RFC 8259) give none. line_items that is one object is a list of one.
+    Bodies, payloads, line_items and lines that are JSON text count as what they hold; text that is not JSON counts as no
+    lines. A member given twice counts as last given. A missing or null transaction_id is null. Narrow: no shuffle.
+    """
+    schema = pa.schema([("raw_id", pa.int64()), ("transaction_id", pa.string()), ("line_pos", pa.int32()), ("product_id", pa.string()), ("quantity", pa.string()), ("unit_price", pa.string())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, size = [], 0
+            for raw, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text is None:
+                    continue
+                if part and size + len(text) > SLICE_BYTES:
+                    yield made(part)
+                    part, size = [], 0
+                part.append((raw, text))
+                size += len(text)
+            if part:
+                yield made(part)
+
+    def made(part: list[tuple[int, str]]) -> pa.RecordBatch:
+        found = extract_lines(part)
+        clean = lambda x: x.encode("utf-8", "replace").decode() if isinstance(x, str) else x  # noqa: E731  lone surrogates
+        columns = list(zip(*found)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array([clean(x) for x in c], t.type) for c, t in zip(columns, schema)], schema=schema)
+
+    return bodies.select("raw_id", "event_json").mapInArrow(rows, LINES_SCHEMA)

@@ -1,0 +1,75 @@
+"""Session settings and the shared work folder."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Settings every job of this package relies on; a cluster may override all but the first two.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "false",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def build_session(master: str | None = None, app: str = "kedai", shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+    """A session with UTC, ANSI off, adaptive execution and a RocksDB state store.
+
+    shuffle_partitions: left to the cluster (and to adaptive execution) unless given.
+    """
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    conf = dict(SETTINGS)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    return builder.config(map=conf | (extra or {})).getOrCreate()
+
+
+def pin_semantics(spark: SparkSession) -> None:
+    """UTC and non-ANSI casts, which the results depend on, in a session built elsewhere."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = os.path.join(tempfile.gettempdir(), f"kedai-{os.getuid()}-{os.getpid()}")
+        spark.conf.set("spark.checkpoint.dir", base)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table that cuts lineage."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, reliably checkpointed in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """The same rows, written to and read from a Parquet table in the shared folder."""
+    path = work_path(df.sparkSession, name)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rows_at_most(df: DataFrame, bound: int) -> bool:
+    """Whether df has at most bound rows; reads no further than one row beyond the bound."""
+    return df.limit(bound + 1).count() <= bound
