@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kedai.llm import packing, together, tokenizer
+from kedai.llm import packing, residue, together, tokenizer
 from kedai.plans.general import surplus_sales, table
 
 
@@ -34,7 +34,11 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokenizer.count_tokens(table(spark, sf_dir, "documents")), specs)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p8_ids, p9_containers)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p8_ids, p9_containers, p10_found)}
 
 _BASKETS = """(select record_id, list_distinct(list_filter(list_transform(payload.line_items, lambda x: x.product_id), lambda x: x is not null)) as items from pos_transactions where record_id not in (
     select record_id from (select record_id, metadata.event_id is not null and record_id > min(record_id) over (partition by metadata.event_id) as e,

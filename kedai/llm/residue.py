@@ -1,0 +1,283 @@
+"""Template residue, filler, error pages and scripts-required notices in place of real content.
+
+Two positive-unlabelled naive Bayes models over hashed words and word pairs of passages, fitted by expectation
+maximisation over all documents:
+
+* residue against content: positives are passages that begin as error pages, notices or filler do (TRUSTED, or mere
+  repetition); every other passage is unlabelled. The expectation mixes a passage's own score with its document's, so
+  wording that goes along with trusted passages is learned.
+* explained against unfilled placeholders: passages without any placeholder are trusted as ordinary; those with one are
+  unlabelled. Where the words around a placeholder also occur without one, it was left unfilled; words that only ever
+  occur around placeholders (how templates work) explain it.
+
+A document is residue if it has an unfilled placeholder, or if its residue passages outweigh its content. Page
+furniture and headings count for neither. The models are SIZE numbers each, whatever the corpus; each iteration sums
+partial counts of the tasks, so nothing else is gathered.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+#: Hashed features of a model; iterations after the first count; smoothing.
+SIZE, ITERATIONS, SMOOTH = 1 << 18, 2, 0.5
+#: How often more frequent around placeholders than elsewhere words must be, to be taken for explaining at first.
+LEAD = 20.0
+
+# Spellings of placeholders (fixed values): {{x}} {{{x}}} ${x} $(x) #{x} {!x} {x} <%= x %> {% x %} %x% %%x%% %s @@x@@
+# __x__ [[x]] [x] <<x>> <x goes here> *|x|* 【x】 「填写x」 (x to be filled in) XXXX undefined.
+_NAME = r"[\w.\-]+(?:\s*\|\s*\w+)?"
+SLOT = re.compile(
+    r"\{\{\{?\s*" + _NAME + r"\s*\}\}\}?|[$#]\{\s*" + _NAME + r"\s*\}|\$\(\s*" + _NAME + r"\s*\)|\{!?\s*" + _NAME + r"\s*\}|<%=?\s*" + _NAME + r"\s*%>|\{%\s*" + _NAME + r"\s*%\}"
+    r"|%%" + _NAME + r"%%|%[A-Za-z_.一-鿿]{2,40}%|(?<![\w%])%[sd]\b|@@" + _NAME + r"@@|__[A-Za-z一-鿿][\w.]*?__|\[\[" + _NAME + r"\]\]|<<" + _NAME + r">>|\*\|" + _NAME + r"\|\*"
+    r"|\[(?:insert|masukkan)\s[^\[\]\n]{1,40}\]|\[[A-Za-z_.一-鿿]{2,40}\]|<[\w.]+ goes here>|【[^【】\n]{1,30}】|「填写[^「」\n]{0,30}」|\([\w.]+ to be filled in\)|\bX{3,}\b|\bundefined\b",
+    re.IGNORECASE,
+)
+# What every placeholder has (a cheap test before SLOT).
+_MARK = re.compile(r"[{}\[\]%@<>【「*]|\$\(|__|to be filled|XXX|undefined", re.IGNORECASE)
+# How residue begins (fixed values).
+TRUSTED = re.compile(
+    r"(?:http\s*|error\s*|ralat\s*|错误\s*)?[45]\d\d\s*(?:$|[:：]|bad request|unauthorized|forbidden|not found|page not found|request timeout|too many requests|internal server error|bad gateway|service unavailable|gateway timeout)"
+    r"|(?:http|error|ralat|错误)\s*[45]\d\d|\{\"status\":\s*[45]\d\d|unhandled exception|access denied|akses ditolak|拒绝访问|we are down for maintenance|laman ini sedang diselenggara|网站维护中"
+    r"|(?:please |you need to |sila )?(?:enable|aktifkan|启用) ?javascript|请启用 ?javascript|javascript is (?:disabled|required)|this (?:page|site|view|tool) (?:needs|depends on|works only with|requires) (?:client-side )?(?:java)?scripts?|laman ini (?:memerlukan|tidak berfungsi)|本站需要脚本"
+    r"|oops|whoops|hmm|oh no|alamak|糟糕|sorry|unfortunately|maaf|harap maaf|抱歉|something went wrong|an? (?:unexpected )?(?:error|fault) occurred|your session has expired|sesi anda telah tamat|登录已过期|could not connect|too many visitors|upstream timed out|the page you|halaman yang anda|the server did not|您要找的|您没有权限|提示[:：]|要查看价格|为了正常使用|继续之前"
+    r"|lorem.ipsum|sample text|your content goes here|text goes here|placeholder for|this is a dummy|click to edit|copy to follow|heading one|teks contoh|kandungan akan menyusul|isi kandungan di sini|ruang untuk|此处为示例|在此输入|文案待补充|测试测试|本段仅用于排版|some words about|here comes the description|sedikit ayat tentang|\(text for|\(teks untuk|关于.{1,60}的内容[,，]尚未|这里放.{1,60}的说明",
+    re.IGNORECASE,
+)
+# Navigation, rights, feedback and loading lines: short parts between bars, dashes or arrows, or well-known beginnings.
+FURNITURE = re.compile(r"(?:[^|>.!?]{1,25}(?:\s[|>\-·/]\s)){1,8}[^|>.!?]{1,25}|(?:\(c\)|©).*|all rights reserved\.?|was this page helpful\?.*|yes / no|menu\b.{0,30}|learn how|#{1,6}\s.*|loading\.*", re.IGNORECASE)
+_TAGS = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>", re.IGNORECASE)
+_PAGE = re.compile(r"<(?:html|title|noscript|h1)\b", re.IGNORECASE)
+_ENTITY = re.compile(r"&lt;([\w.]{1,40})&gt;")
+# Ends of passages: sentence ends, blank lines, list items; a single line break may be mere wrapping.
+_SPLIT = re.compile(r"(?<=[^.][.!?])\s+|(?<=[。！？])|\n[^\S\n]*\n\s*|\n(?=\s*[-*•#]\s)")
+#: Least number of features around a placeholder that can explain it.
+LEAST_CONTEXT = 10
+_BULLET = re.compile(r"^[\s\-*•>\"“]+(?=\S)")
+_DOUBLED = re.compile(r"^(.+?)\1+$")
+_WORD = re.compile("￿|[^\\W\\d_一-鿿]+|[一-鿿]|\\d+")
+_HIDDEN = re.compile("[​-‏⁠﻿­]")
+
+
+@dataclass
+class Passages:
+    """The passages of a document, as arrays.
+
+    own, pairs: hashed words and neighbours, own_ok, pair_ok: those that count (not a placeholder, not across passages);
+    first: the first word of each passage; chars, slot, trusted, neutral: of each passage.
+    """
+
+    own: np.ndarray
+    pairs: np.ndarray
+    own_ok: np.ndarray
+    pair_ok: np.ndarray
+    first: np.ndarray
+    chars: np.ndarray
+    slot: np.ndarray
+    trusted: np.ndarray
+    neutral: np.ndarray
+
+    def sums(self, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Sums by passage of a number per word and one per pair."""
+        return np.add.reduceat(np.where(self.own_ok, own, 0) + np.append(np.where(self.pair_ok, pairs, 0), 0), self.first)
+
+    def sizes(self) -> np.ndarray:
+        """Features of each passage."""
+        return self.sums(np.ones(len(self.own)), np.ones(len(self.pairs)))
+
+    def weighted(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features, and the weight of the passage of each."""
+        each = np.repeat(weight, np.diff(self.first, append=len(self.own)))
+        return np.concatenate([self.own[self.own_ok], self.pairs[self.pair_ok]]), np.concatenate([each[self.own_ok], each[:-1][self.pair_ok]])
+
+
+_memo: dict[str, int] = {"￿": -1}
+
+
+def _hash(word: str) -> int:
+    if len(_memo) > 500_000:
+        _memo.clear()
+        _memo["￿"] = -1
+    known = _memo[word] = crc32((word if not word[0].isdigit() else "0").encode("utf-8", "replace"))
+    return known
+
+
+def _repeats(words: list[str]) -> bool:
+    """One or two words over and over (test test test, asdf asdf2)."""
+    if len(set(words)) > 10:
+        return False
+    plain = [_DOUBLED.sub(r"\1", w) for w in words if w != "￿" and not w.isdigit()]
+    if not plain:  # 123 1231 123123
+        short = min(map(len, words))
+        plain = [w[:short] for w in words]
+    few = len(set(plain))
+    return few <= 2 and len(plain) >= 3 * few
+
+
+def passages(text: str) -> Passages | None:
+    """The passages of a whole text: sentences and paragraphs, without markup, in one case and composed form."""
+    text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+    text = _ENTITY.sub(r"[[\1]]", text)
+    tagged = "<" in text and _PAGE.search(text) is not None
+    if tagged:
+        text = _TAGS.sub("\n\n", text)
+    elif _MARK.search(text):
+        text = _TAGS.sub("\n\n", SLOT.sub("￿", text))
+    ids: list[int] = []
+    first, chars, slots, trusted, neutral = [], [], [], [], []
+    known = _memo.get
+    for raw in _SPLIT.split(text):
+        line = " ".join(raw.split())
+        if not line:
+            continue
+        slot = "￿" in line
+        furniture = not slot and FURNITURE.fullmatch(line) is not None
+        line = _BULLET.sub("", line).lower()
+        words = _WORD.findall(line)
+        if not words:
+            continue
+        first.append(len(ids))
+        ids += [k if (k := known(w)) is not None else _hash(w) for w in words]
+        chars.append(len(line) - line.count(" "))
+        slots.append(slot)
+        trusted.append(tagged or TRUSTED.match(line) is not None or _repeats(words))
+        neutral.append(furniture)
+    if not ids:
+        return None
+    h = np.array(ids, np.int64)
+    word = h >= 0
+    own = np.where(word, h, 0) % SIZE
+    pairs = (h[:-1] * 31 + h[1:] * 17 + 7) % SIZE
+    inside = np.ones(len(h), bool)
+    inside[first] = False
+    return Passages(own, pairs, word, word[:-1] & word[1:] & inside[1:], np.array(first), np.array(chars, float), np.array(slots), np.array(trusted), np.array(neutral))
+
+
+class Model:
+    """Log ratios of two hashed distributions, in the order (against, in favour)."""
+
+    def __init__(self, against: np.ndarray, favour: np.ndarray, lead: float = 1.0):
+        a, f = against + SMOOTH, favour + SMOOTH * max(favour.sum(), 1.0) / max(against.sum(), 1.0)
+        self.ratio = (np.log(f / f.sum()) - np.log(a / a.sum()) - np.log(lead)).astype(np.float32)
+
+    def means(self, p: Passages) -> np.ndarray:
+        """Mean score of each passage's features; 0 for a passage without any."""
+        return p.sums(self.ratio[p.own], self.ratio[p.pairs]) / np.maximum(p.sizes(), 1)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+
+
+def residue_shares(p: Passages, model: Model | None) -> np.ndarray:
+    """Expected share of residue of each passage.
+
+    At first: 1 for trusted passages and for all of a document that mostly consists of such, else 0. Later by the
+    passage's own and its document's mean score.
+    """
+    weight = np.where(p.neutral, 0, p.chars)
+    if model is None:
+        trusted = float(weight[p.trusted].sum())
+        if trusted and trusted * 2 >= weight.sum():
+            return np.where(p.neutral, 0.0, 1.0)
+        return np.where(p.trusted, 1.0, 0.0)
+    scores = model.means(p)
+    weight = np.where(p.slot, 0, weight)
+    whole = float((scores * weight).sum() / max(1.0, weight.sum()))
+    return np.where(p.trusted & (whole > 0), 1.0, _sigmoid(3.0 * (scores + whole)))
+
+
+def unfilled(p: Passages, explained: Model) -> np.ndarray:
+    """The passages with a placeholder that nothing around it explains."""
+    return p.slot & ~((p.sizes() >= LEAST_CONTEXT) & (explained.means(p) > 0))
+
+
+def is_residue(p: Passages | None, residue: Model, explained: Model) -> bool:
+    """The decision on a document."""
+    if p is None:
+        return False
+    if p.slot.any() and unfilled(p, explained).any():
+        return True
+    scores, chars = residue.means(p), np.where(p.neutral, 0, p.chars)
+    return bool(chars[scores > 0].sum() > chars[scores <= 0].sum())
+
+
+def _counts(batches: Iterator[pa.RecordBatch], models: tuple[Model, Model] | None) -> list[np.ndarray]:
+    """Expected counts of features: content, residue, ordinary, explained."""
+    sums = [np.zeros(SIZE) for _ in range(4)]
+    held: list[list] = [[], [], [], [], []]  # features, and for each its weight in the four counts
+    size = 0
+
+    def add() -> None:
+        if held[0]:
+            features = np.concatenate(held[0])
+            for s, w in zip(sums, held[1:]):
+                s += np.bincount(features, np.concatenate(w), SIZE)
+        for x in held:
+            x.clear()
+
+    for batch in batches:
+        for text in batch.column(batch.num_columns - 1):
+            text = text.as_py()
+            p = passages(text) if text else None
+            if p is None:
+                continue
+            share = residue_shares(p, models[0] if models else None)
+            explain = np.ones(len(share)) if models is None else _sigmoid(6.0 * models[1].means(p))
+            ordinary = np.where(p.slot, 0.0 if models is None else 1.0 - explain, 1.0)
+            weights = np.where(p.slot, 0, 1 - share), np.where(p.slot, 0, share), ordinary, np.where(p.slot, explain, 0)
+            features = None
+            for x, w in zip(held[1:], weights):
+                features, each = p.weighted(w)
+                x.append(each)
+            held[0].append(features)
+            size += len(features)
+            if size > 1_000_000:
+                add()
+                size = 0
+    add()
+    return sums
+
+
+def fit(documents: DataFrame, iterations: int = ITERATIONS) -> tuple[Model, Model]:
+    """The two models, from all documents (column text; null and empty ones say nothing)."""
+    schema = pa.schema([("feature", pa.int32()), *((c, pa.float64()) for c in "abcd")])
+    texts = documents.select("text").where("text is not null")
+    spark = documents.sparkSession
+    models: tuple[Model, Model] | None = None
+    for step in range(iterations + 1):
+        shared = spark.sparkContext.broadcast(models)  # two arrays of SIZE numbers
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = _counts(batches, shared.value)  # noqa: B023
+            some = np.flatnonzero(sum(sums))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(s[some]) for s in sums)], schema=schema)
+
+        got = texts.mapInArrow(count, "feature int, a double, b double, c double, d double").groupBy("feature").agg(*[F.sum(c).alias(c) for c in "abcd"]).toArrow()  # at most SIZE rows
+        total = [np.zeros(SIZE) for _ in range(4)]
+        for t, c in zip(total, "abcd"):
+            t[got.column("feature").to_numpy()] = got.column(c).to_numpy()
+        models = Model(total[0], total[1]), Model(total[2], total[3], LEAD if step == 0 else 1.0)
+    assert models
+    return models
+
+
+def find_residue(documents: DataFrame, models: tuple[Model, Model] | None = None) -> DataFrame:
+    """doc_id of the documents to exclude. Null, empty and blank texts are none; texts are scored whole."""
+    shared = documents.sparkSession.sparkContext.broadcast(models or fit(documents))
+    schema = pa.schema([("doc_id", pa.int64())])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = [i for i, text in zip(batch.column(0).to_pylist(), batch.column(1)) if text.as_py() and is_residue(passages(text.as_py()), *shared.value)]
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], schema=schema)
+
+    return documents.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(decide, "doc_id bigint")
