@@ -72,7 +72,7 @@ class Passages:
     """The passages of a document, as arrays.
 
     own, pairs: hashed words and neighbours, own_ok, pair_ok: those that count (not a placeholder, not across passages);
-    first: the first word of each passage; chars, slot, trusted, neutral: of each passage.
+    first: the first word of each passage; chars, slot, trusted, filler (mere repetition), neutral: of each passage.
     """
 
     own: np.ndarray
@@ -83,6 +83,7 @@ class Passages:
     chars: np.ndarray
     slot: np.ndarray
     trusted: np.ndarray
+    filler: np.ndarray
     neutral: np.ndarray
 
     def sums(self, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -132,7 +133,7 @@ def passages(text: str) -> Passages | None:
     elif _MARK.search(text):
         text = _TAGS.sub("\n\n", SLOT.sub("￿", text))
     ids: list[int] = []
-    first, chars, slots, trusted, neutral = [], [], [], [], []
+    first, chars, slots, trusted, filler, neutral = [], [], [], [], [], []
     known = _memo.get
     for raw in _SPLIT.split(text):
         line = " ".join(raw.split())
@@ -148,7 +149,8 @@ def passages(text: str) -> Passages | None:
         ids += [k if (k := known(w)) is not None else _hash(w) for w in words]
         chars.append(len(line) - line.count(" "))
         slots.append(slot)
-        trusted.append(tagged or TRUSTED.match(line) is not None or _repeats(words))
+        filler.append(_repeats(words))
+        trusted.append(tagged or filler[-1] or TRUSTED.match(line) is not None)
         neutral.append(furniture)
     if not ids:
         return None
@@ -158,7 +160,7 @@ def passages(text: str) -> Passages | None:
     pairs = (h[:-1] * 31 + h[1:] * 17 + 7) % SIZE
     inside = np.ones(len(h), bool)
     inside[first] = False
-    return Passages(own, pairs, word, word[:-1] & word[1:] & inside[1:], np.array(first), np.array(chars, float), np.array(slots), np.array(trusted), np.array(neutral))
+    return Passages(own, pairs, word, word[:-1] & word[1:] & inside[1:], np.array(first), np.array(chars, float), np.array(slots), np.array(trusted), np.array(filler), np.array(neutral))
 
 
 class Model:
@@ -206,8 +208,8 @@ def is_residue(p: Passages | None, residue: Model, explained: Model) -> bool:
         return False
     if p.slot.any() and unfilled(p, explained).any():
         return True
-    scores, chars = residue.means(p), np.where(p.neutral, 0, p.chars)
-    return bool(chars[scores > 0].sum() > chars[scores <= 0].sum())
+    bad, chars = (residue.means(p) > 0) | p.filler, np.where(p.neutral, 0, p.chars)
+    return bool(chars[bad].sum() > chars[~bad].sum())
 
 
 def _counts(batches: Iterator[pa.RecordBatch], models: tuple[Model, Model] | None) -> list[np.ndarray]:
