@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kedai.session import cut, rows_at_most
+from millrace.session import cut, rows_at_most
 
 #: Nodes are broadcast up to this many rows; beyond, both sides are shuffled on entity and node.
 BROADCAST_NODES = 500_000

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kedai.operators.ordered import with_neighbours, with_position
+from millrace.operators.ordered import with_neighbours, with_position
 
 OPEN = -1
 #: Chunk of valid time that one task sweeps for one entity.

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kedai.functions.clock import micros, rfc3339, window_start_s
-from kedai.session import work_path
+from millrace.functions.clock import micros, rfc3339, window_start_s
+from millrace.session import work_path
 
 WINDOW_S = 300
 LATENESS_S = 6 * 3600

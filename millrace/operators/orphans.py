@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kedai.functions.clock import micros, rfc3339
-from kedai.operators.ordered import with_neighbours
-from kedai.session import cut, rows_at_most
+from millrace.functions.clock import micros, rfc3339
+from millrace.operators.ordered import with_neighbours
+from millrace.session import cut, rows_at_most
 
 PRODUCTS, CUSTOMERS, STORES = "product_updates", "customer_events", "store_reference"
 #: Bounds of time, in microseconds.

@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from kedai.functions.keys import NOT_APPLICABLE, qualify_row_number, ratio
-from kedai.operators.windows import product_units_1h
-from kedai.plans.warehouse import Warehouse
+from millrace.functions.keys import NOT_APPLICABLE, qualify_row_number, ratio
+from millrace.operators.windows import product_units_1h
+from millrace.plans.warehouse import Warehouse
 
 AS_OF, HOUR = "2026-04-21", "2026-04-15 10:00:00"
 
@@ -85,8 +85,8 @@ def current_products(w: Warehouse) -> DataFrame:
 def position(w: Warehouse) -> DataFrame:
     """Stock at the latest snapshot date; the date comes from a scalar subquery, so it prunes the scan."""
     s = w.snapshots
-    s.createOrReplaceTempView("kedai_snapshots")
-    latest = s.sparkSession.sql("select * from kedai_snapshots where date_key = (select max(date_key) from kedai_snapshots)")
+    s.createOrReplaceTempView("millrace_snapshots")
+    latest = s.sparkSession.sql("select * from millrace_snapshots where date_key = (select max(date_key) from millrace_snapshots)")
     return latest.join(w.dim_store.select("store_key", "store_name", "region"), "store_key").join(w.dim_product.select("product_key", "product_name", "category", "subcategory"), "product_key")
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kedai.functions.clock import micros, rfc3339
-from kedai.operators import asof, dedup, history, late, nested, orphans
-from kedai.session import pin_semantics, written
+from millrace.functions.clock import micros, rfc3339
+from millrace.operators import asof, dedup, history, late, nested, orphans
+from millrace.session import pin_semantics, written
 
 #: Arrival slices in which the late-event operator replays the sales.
 INCREMENTS = 3

@@ -10,11 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from kedai.functions.clock import micros, rfc3339
-from kedai.functions.keys import NOT_APPLICABLE, UNKNOWN, beginning_of_time, date_key, end_of_time, md5_lower64, scd2_key
-from kedai.operators.asof import attach_as_of
-from kedai.operators.ordered import with_neighbours, with_position
-from kedai.session import pin_semantics, work_path
+from millrace.functions.clock import micros, rfc3339
+from millrace.functions.keys import NOT_APPLICABLE, UNKNOWN, beginning_of_time, date_key, end_of_time, md5_lower64, scd2_key
+from millrace.operators.asof import attach_as_of
+from millrace.operators.ordered import with_neighbours, with_position
+from millrace.session import pin_semantics, work_path
 
 DEFAULT_TZ = "Asia/Kuala_Lumpur"
 #: Chunk of event time for building version chains.

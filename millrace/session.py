@@ -20,7 +20,7 @@ SETTINGS = {
 }
 
 
-def build_session(master: str | None = None, app: str = "kedai", shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+def build_session(master: str | None = None, app: str = "millrace", shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """A session with UTC, ANSI off, adaptive execution and a RocksDB state store.
 
     shuffle_partitions: left to the cluster (and to adaptive execution) unless given.
@@ -44,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where that is unset a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.path.join(tempfile.gettempdir(), f"kedai-{os.getuid()}-{os.getpid()}")
+        base = os.path.join(tempfile.gettempdir(), f"millrace-{os.getuid()}-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
