@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kedai.session import rows_at_most, written
+from millrace.session import rows_at_most, written
 
 #: Parts in which the documents of one length are ranked.
 SLICES = 64

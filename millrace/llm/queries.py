@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kedai.llm import packing, residue, together, tokenizer
-from kedai.plans.general import surplus_sales, table
+from millrace.llm import packing, residue, together, tokenizer
+from millrace.plans.general import surplus_sales, table
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

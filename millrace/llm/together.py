@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kedai.session import cut, rows_at_most, written
+from millrace.session import cut, rows_at_most, written
 
 #: Largest basket that is paired in one piece.
 CHUNK = 256
