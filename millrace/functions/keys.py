@@ -30,9 +30,10 @@ def end_of_time() -> Column:
     return F.lit(END).cast("timestamp")
 
 
-def ratio(a: Column, b: Column, digits: int = 6) -> Column:
-    """a / b in doubles, rounded; null where b is null or 0."""
-    return F.round(F.try_divide(a.cast("double"), b.cast("double")), digits)
+def ratio(a: Column, b: Column, digits: int | None = None) -> Column:
+    """a / b in doubles, rounded to digits if given; null where b is null or 0."""
+    quotient = F.try_divide(a.cast("double"), b.cast("double"))
+    return quotient if digits is None else F.round(quotient, digits)
 
 
 def qualify_row_number(df: DataFrame, partition: list[str], order: list[Column], at_most: int = 1) -> DataFrame:

@@ -1,6 +1,6 @@
 """Analytics over the star schema: each query as a DataFrame function and as the SQL it must equal.
 
-Periods end at AS_OF (never the wall clock). Ratios are doubles rounded to six digits; ties are broken by id.
+Periods end at AS_OF (never the wall clock). Ratios are single divisions of exact sums; ties are broken by id.
 """
 
 from __future__ import annotations
@@ -78,6 +78,11 @@ def dated(w: Warehouse, fact: DataFrame) -> DataFrame:
     return fact.join(w.dim_date.select("date_key", "full_date", "day_name", "is_weekend", "year_month"), "date_key")
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean of decimals or integers: one division of an exact sum, so it does not depend on the order of rows."""
+    return F.sum(value).cast("double") / F.count(value)
+
+
 def current_products(w: Warehouse) -> DataFrame:
     return w.dim_product.where("is_current")
 
@@ -121,32 +126,32 @@ def q05_hourly_profile(w: Warehouse) -> DataFrame:
 def q06_daily_changes(w: Warehouse) -> DataFrame:
     daily = dated(w, w.fact_sales).groupBy("full_date", "day_name", "is_weekend").agg(F.sum("net_amount").cast("decimal(24,2)").alias("revenue"), F.count_distinct("transaction_id").alias("transactions"))
     order = Window.orderBy("full_date")  # one row per calendar day
-    change = lambda n: F.round(F.try_divide(F.col("revenue").cast("double"), F.lag("revenue", n).over(order).cast("double")) - 1, 6)
+    change = lambda n: F.try_divide(F.col("revenue").cast("double"), F.lag("revenue", n).over(order).cast("double")) - 1
     return daily.select("full_date", "day_name", "is_weekend", "revenue", "transactions", change(1).alias("dod_change"), change(7).alias("wow_change"))
 
 
 def q07_moving_average(w: Warehouse) -> DataFrame:
     daily = dated(w, w.fact_sales).join(w.dim_store.select("store_key", "region"), "store_key").groupBy("full_date", "region").agg(F.sum("net_amount").cast("decimal(24,2)").alias("revenue"))
     week = Window.partitionBy("region").orderBy("full_date").rowsBetween(-6, 0)
-    return daily.select("full_date", "region", "revenue", F.round(F.avg(F.col("revenue").cast("double")).over(week), 4).alias("revenue_7d_moving_avg"))
+    return daily.select("full_date", "region", "revenue", (F.sum("revenue").over(week).cast("double") / F.count("revenue").over(week)).alias("revenue_7d_moving_avg"))
 
 
 def q08_weekend_uplift(w: Warehouse) -> DataFrame:
-    daily = w.fact_sales.groupBy("store_key", "date_key").agg(F.sum("net_amount").cast("double").alias("daily_revenue"))
+    daily = w.fact_sales.groupBy("store_key", "date_key").agg(F.sum("net_amount").alias("daily_revenue"))
     joined = dated(w, daily).join(w.dim_store.select("store_key", "store_format"), "store_key")
-    on, off = F.avg(F.when(F.col("is_weekend"), F.col("daily_revenue"))), F.avg(F.when(~F.col("is_weekend"), F.col("daily_revenue")))
-    return joined.groupBy("store_format").agg(F.round(F.try_divide(on, off) - 1, 6).alias("weekend_uplift"))
+    on, off = exact_mean(F.when(F.col("is_weekend"), F.col("daily_revenue"))), exact_mean(F.when(~F.col("is_weekend"), F.col("daily_revenue")))
+    return joined.groupBy("store_format").agg((F.try_divide(on, off) - 1).alias("weekend_uplift"))
 
 
 def q09_baskets_by_store(w: Warehouse) -> DataFrame:
-    baskets = w.fact_sales.groupBy("transaction_id", "store_key").agg(F.sum("net_amount").cast("double").alias("value"), F.sum("quantity").alias("units"), F.count(F.lit(1)).alias("lines"))
-    by = baskets.groupBy("store_key").agg(F.count(F.lit(1)).alias("transactions"), F.round(F.avg("value"), 4).alias("avg_basket_value_myr"), F.round(F.median("value"), 4).alias("median_basket_value_myr"), F.round(F.avg("units"), 6).alias("avg_units_per_basket"), F.round(F.avg("lines"), 6).alias("avg_lines_per_basket"))
+    baskets = w.fact_sales.groupBy("transaction_id", "store_key").agg(F.sum("net_amount").alias("value"), F.sum("quantity").alias("units"), F.count(F.lit(1)).alias("lines"))
+    by = baskets.groupBy("store_key").agg(F.count(F.lit(1)).alias("transactions"), exact_mean(F.col("value")).alias("avg_basket_value_myr"), F.median(F.col("value").cast("double")).alias("median_basket_value_myr"), exact_mean(F.col("units")).alias("avg_units_per_basket"), exact_mean(F.col("lines")).alias("avg_lines_per_basket"))
     return by.join(w.dim_store.select("store_key", "store_id", "store_name"), "store_key").drop("store_key")
 
 
 def q10_baskets_by_payment_tier(w: Warehouse) -> DataFrame:
-    baskets = w.fact_sales.groupBy("transaction_id").agg(F.max("payment_method").alias("payment_method"), F.max("customer_key").alias("customer_key"), F.sum("net_amount").cast("double").alias("value"))
-    return baskets.join(w.dim_customer.select("customer_key", "loyalty_tier"), "customer_key").groupBy("payment_method", "loyalty_tier").agg(F.count(F.lit(1)).alias("transactions"), F.round(F.avg("value"), 4).alias("avg_basket_value_myr"))
+    baskets = w.fact_sales.groupBy("transaction_id").agg(F.max("payment_method").alias("payment_method"), F.max("customer_key").alias("customer_key"), F.sum("net_amount").alias("value"))
+    return baskets.join(w.dim_customer.select("customer_key", "loyalty_tier"), "customer_key").groupBy("payment_method", "loyalty_tier").agg(F.count(F.lit(1)).alias("transactions"), exact_mean(F.col("value")).alias("avg_basket_value_myr"))
 
 
 def q11_top10_per_category(w: Warehouse) -> DataFrame:
@@ -172,10 +177,11 @@ def q13_price_changes(w: Warehouse) -> DataFrame:
 
 
 def q14_store_performance(w: Warehouse) -> DataFrame:
-    sold = dated(w, w.fact_sales).where(since(30)).groupBy("store_key").agg(F.sum("net_amount").cast("double").alias("revenue"), F.sum((F.col("net_amount") - F.col("cost_amount")).cast("decimal(14,2)")).cast("double").alias("margin"), F.count_distinct("transaction_id").alias("transactions"), F.count_distinct("date_key").alias("days"))
+    sold = dated(w, w.fact_sales).where(since(30)).groupBy("store_key").agg(F.sum("net_amount").cast("decimal(24,2)").alias("revenue"), F.sum((F.col("net_amount") - F.col("cost_amount")).cast("decimal(14,2)")).cast("double").alias("margin"), F.count_distinct("transaction_id").alias("transactions"), F.count_distinct("date_key").alias("days"))
     by = sold.join(w.dim_store, "store_key")
-    per_sqm = F.try_divide(F.col("revenue"), F.col("size_sqm").cast("double"))
-    return by.select("store_id", "store_name", "region", "store_format", F.round("revenue", 2).alias("revenue"), ratio(F.col("revenue"), F.col("days")).alias("revenue_per_day"), F.round(per_sqm, 6).alias("revenue_per_sqm"), ratio(F.col("margin"), F.col("revenue")).alias("gross_margin_pct"), ratio(F.col("revenue"), F.col("transactions")).alias("avg_basket_value"), F.round(F.col("revenue") / F.avg("revenue").over(Window.partitionBy("region")) - 1, 6).alias("vs_region_avg"), F.rank().over(Window.partitionBy("store_format").orderBy(per_sqm.desc_nulls_last())).cast("bigint").alias("productivity_rank_in_format"))
+    region = Window.partitionBy("region")
+    per_sqm = ratio(F.col("revenue"), F.col("size_sqm"))
+    return by.select("store_id", "store_name", "region", "store_format", "revenue", ratio(F.col("revenue"), F.col("days")).alias("revenue_per_day"), per_sqm.alias("revenue_per_sqm"), ratio(F.col("margin"), F.col("revenue")).alias("gross_margin_pct"), ratio(F.col("revenue"), F.col("transactions")).alias("avg_basket_value"), (F.col("revenue").cast("double") / (F.sum("revenue").over(region).cast("double") / F.count("revenue").over(region)) - 1).alias("vs_region_avg"), F.rank().over(Window.partitionBy("store_format").orderBy(per_sqm.desc_nulls_last())).cast("bigint").alias("productivity_rank_in_format"))
 
 
 def q15_inventory_position(w: Warehouse) -> DataFrame:
@@ -183,7 +189,7 @@ def q15_inventory_position(w: Warehouse) -> DataFrame:
 
 
 def q16_low_stock(w: Warehouse) -> DataFrame:
-    cover = ratio(F.col("closing_on_hand"), F.col("avg_daily_units_sold_7d"), 4)
+    cover = ratio(F.col("closing_on_hand"), F.col("avg_daily_units_sold_7d"))
     low = position(w).where("is_below_reorder_point").select("store_id", "store_name", "product_id", "product_name", "category", "closing_on_hand", F.col("avg_daily_units_sold_7d").cast("double").alias("avg_daily_units_sold_7d"), cover.alias("days_of_cover"))
     return low.orderBy(F.asc_nulls_first("days_of_cover"), F.desc_nulls_last("avg_daily_units_sold_7d"), "store_id", "product_id").limit(100)
 
@@ -191,9 +197,9 @@ def q16_low_stock(w: Warehouse) -> DataFrame:
 def q17_turnover(w: Warehouse) -> DataFrame:
     rows = w.snapshots.where(since(30, "snapshot_date")).join(current_products(w).select("product_id", "category"), "product_id")
     daily = rows.groupBy("category", "date_key").agg(F.sum("closing_on_hand").alias("on_hand"), F.sum("units_sold").alias("sold"))
-    by = daily.groupBy("category").agg(F.sum("sold").alias("units_sold"), F.avg("on_hand").alias("avg_on_hand"))
+    by = daily.groupBy("category").agg(F.sum("sold").alias("units_sold"), exact_mean(F.col("on_hand")).alias("avg_on_hand"))
     turn = F.try_divide(F.col("units_sold").cast("double"), F.col("avg_on_hand"))
-    return by.select("category", "units_sold", F.round("avg_on_hand", 6).alias("avg_units_on_hand"), F.round(turn, 6).alias("turnover_30d"), F.round(F.try_divide(F.lit(30.0), turn), 4).alias("days_of_inventory"))
+    return by.select("category", "units_sold", F.col("avg_on_hand").alias("avg_units_on_hand"), turn.alias("turnover_30d"), F.try_divide(F.lit(30.0), turn).alias("days_of_inventory"))
 
 
 def q18_movements(w: Warehouse) -> DataFrame:
@@ -204,12 +210,12 @@ def q19_shrinkage(w: Warehouse) -> DataFrame:
     lost = -F.sum(F.when(F.col("reason_code").isin("DAMAGED", "EXPIRED", "SHRINKAGE"), F.col("quantity_delta")).otherwise(0))
     sold = -F.sum(F.when(F.col("movement_type") == "SALE", F.col("quantity_delta")).otherwise(0))
     by = w.fact_inventory.groupBy("store_key").agg(lost.alias("units_lost"), sold.alias("units_sold"))
-    return by.join(w.dim_store.select("store_key", "store_id", "store_name"), "store_key").select("store_id", "store_name", "units_lost", "units_sold", ratio(1000 * F.col("units_lost"), F.col("units_sold"), 4).alias("lost_per_1000_sold"))
+    return by.join(w.dim_store.select("store_key", "store_id", "store_name"), "store_key").select("store_id", "store_name", "units_lost", "units_sold", ratio(1000 * F.col("units_lost"), F.col("units_sold")).alias("lost_per_1000_sold"))
 
 
 def q20_revenue_by_tier(w: Warehouse) -> DataFrame:
     sold = w.fact_sales.join(w.dim_customer.select("customer_key", "loyalty_tier"), "customer_key")
-    return sold.groupBy("loyalty_tier").agg(F.count_distinct("transaction_id").alias("transactions"), F.sum("net_amount").cast("decimal(24,2)").alias("revenue_myr"), ratio(F.sum("net_amount"), F.count_distinct("transaction_id"), 4).alias("avg_basket_myr"))
+    return sold.groupBy("loyalty_tier").agg(F.count_distinct("transaction_id").alias("transactions"), F.sum("net_amount").cast("decimal(24,2)").alias("revenue_myr"), ratio(F.sum("net_amount"), F.count_distinct("transaction_id")).alias("avg_basket_myr"))
 
 
 def q21_tier_migrations(w: Warehouse) -> DataFrame:
@@ -281,7 +287,7 @@ def wh_fact_inventory(w: Warehouse) -> DataFrame:
 
 def wh_snapshots(w: Warehouse) -> DataFrame:
     text = lambda c: F.col(c).cast("string").alias(c)
-    return w.snapshots.select("date_key", *map(text, ("store_key", "product_key")), "closing_on_hand", "closing_value", "units_received", "units_sold", "units_adjusted", F.round(F.col("avg_daily_units_sold_7d").cast("double"), 6).alias("avg7"), "is_below_reorder_point")
+    return w.snapshots.select("date_key", *map(text, ("store_key", "product_key")), "closing_on_hand", "closing_value", "units_received", "units_sold", "units_adjusted", F.col("avg_daily_units_sold_7d").cast("double").alias("avg7"), "is_below_reorder_point")
 
 
 def wh_vw_sales(w: Warehouse) -> DataFrame:
@@ -298,31 +304,31 @@ _30 = f"full_date >= date '{AS_OF}' - 30"
 _POS = "pos as (select s.*, st.store_name, st.region, p.product_name, p.category from snapshots s join dim_store st on st.store_key = s.store_key join dim_product p on p.product_key = s.product_key where date_key = (select max(date_key) from snapshots))"
 SQL = {
     "q01_revenue_30d": sql(f"select cast(sum(net_amount) as decimal(24,2)) as revenue_myr, count(distinct transaction_id) as transactions, cast(sum(quantity) as bigint) as units_sold from fact_sales where {_30}"),
-    "q02_revenue_by_outlet": sql("select store_id, store_name, region, store_format, revenue_myr, round(revenue_myr::double / sum(revenue_myr) over (), 6) as share_of_total, rank() over (order by revenue_myr desc) as revenue_rank from (select s.store_id, store_name, region, store_format, cast(sum(net_amount) as decimal(24,2)) as revenue_myr from fact_sales f join dim_store s on s.store_key = f.store_key group by all)"),
+    "q02_revenue_by_outlet": sql("select store_id, store_name, region, store_format, revenue_myr, (revenue_myr::double / sum(revenue_myr) over ()) as share_of_total, rank() over (order by revenue_myr desc) as revenue_rank from (select s.store_id, store_name, region, store_format, cast(sum(net_amount) as decimal(24,2)) as revenue_myr from fact_sales f join dim_store s on s.store_key = f.store_key group by all)"),
     "q03_top_products": sql("select f.product_id, any_value(p.product_name) as product_name, cast(sum(net_amount) as decimal(24,2)) as revenue_myr, cast(sum(quantity) as bigint) as units_sold from fact_sales f join dim_product p on p.product_id = f.product_id and p.is_current group by 1 order by 3 desc, 1 limit 20"),
     "q04_as_was_as_is": sql(", was as (select category, subcategory, sum(net_amount) as r from fact_sales f join dim_product p on p.product_key = f.product_key group by all), now as (select category, subcategory, sum(net_amount) as r from fact_sales f join dim_product p on p.product_id = f.product_id and p.is_current group by all) select coalesce(w.category, n.category) as category, coalesce(w.subcategory, n.subcategory) as subcategory, cast(w.r as decimal(24,2)) as revenue_as_was, cast(n.r as decimal(24,2)) as revenue_as_is, cast(coalesce(n.r, 0) - coalesce(w.r, 0) as decimal(24,2)) as restatement_delta from was w full join now n on n.category = w.category and n.subcategory = w.subcategory"),
-    "q05_hourly_profile": sql(f"select cast(local_hour as int) as local_hour, round(sum(net_amount)::double / count(distinct date_key), 6) as avg_revenue_per_day_myr, round(count(distinct transaction_id)::double / count(distinct date_key), 6) as avg_transactions_per_day from fact_sales where full_date >= date '{AS_OF}' - 28 group by 1"),
-    "q06_daily_changes": sql(", daily as (select full_date, cast(sum(net_amount) as decimal(24,2)) as revenue, count(distinct transaction_id) as transactions from fact_sales group by 1) select full_date, strftime(full_date, '%a') as day_name, isodow(full_date) >= 6 as is_weekend, revenue, transactions, round(revenue::double / lag(revenue) over (order by full_date) - 1, 6) as dod_change, round(revenue::double / lag(revenue, 7) over (order by full_date) - 1, 6) as wow_change from daily"),
-    "q07_moving_average": sql(", daily as (select full_date, region, cast(sum(net_amount) as decimal(24,2)) as revenue from fact_sales f join dim_store s on s.store_key = f.store_key group by all) select *, round(avg(revenue::double) over (partition by region order by full_date rows between 6 preceding and current row), 4) as revenue_7d_moving_avg from daily"),
-    "q08_weekend_uplift": sql("select store_format, round(avg(r) filter (where isodow(full_date) >= 6) / avg(r) filter (where isodow(full_date) < 6) - 1, 6) as weekend_uplift from (select store_key, full_date, sum(net_amount)::double as r from fact_sales group by all) x join dim_store s on s.store_key = x.store_key group by 1"),
-    "q09_baskets_by_store": sql("select store_id, store_name, count(*) as transactions, round(avg(v), 4) as avg_basket_value_myr, round(median(v), 4) as median_basket_value_myr, round(avg(u), 6) as avg_units_per_basket, round(avg(n), 6) as avg_lines_per_basket from (select transaction_id, store_key, sum(net_amount)::double as v, sum(quantity) as u, count(*) as n from fact_sales group by all) b join dim_store s on s.store_key = b.store_key group by all"),
-    "q10_baskets_by_payment_tier": sql("select payment_method, loyalty_tier, count(*) as transactions, round(avg(v), 4) as avg_basket_value_myr from (select transaction_id, max(payment_method) as payment_method, max(customer_key) as customer_key, sum(net_amount)::double as v from fact_sales group by 1) b join dim_customer_all c on c.customer_key = b.customer_key group by all"),
+    "q05_hourly_profile": sql(f"select cast(local_hour as int) as local_hour, (sum(net_amount)::double / count(distinct date_key)) as avg_revenue_per_day_myr, (count(distinct transaction_id)::double / count(distinct date_key)) as avg_transactions_per_day from fact_sales where full_date >= date '{AS_OF}' - 28 group by 1"),
+    "q06_daily_changes": sql(", daily as (select full_date, cast(sum(net_amount) as decimal(24,2)) as revenue, count(distinct transaction_id) as transactions from fact_sales group by 1) select full_date, strftime(full_date, '%a') as day_name, isodow(full_date) >= 6 as is_weekend, revenue, transactions, (revenue::double / lag(revenue) over (order by full_date) - 1) as dod_change, (revenue::double / lag(revenue, 7) over (order by full_date) - 1) as wow_change from daily"),
+    "q07_moving_average": sql(", daily as (select full_date, region, cast(sum(net_amount) as decimal(24,2)) as revenue from fact_sales f join dim_store s on s.store_key = f.store_key group by all) select *, cast(sum(revenue) over w as double) / count(*) over w as revenue_7d_moving_avg from daily window w as (partition by region order by full_date rows between 6 preceding and current row)"),
+    "q08_weekend_uplift": sql("select store_format, ((sum(r) filter (where isodow(full_date) >= 6))::double / count(*) filter (where isodow(full_date) >= 6)) / ((sum(r) filter (where isodow(full_date) < 6))::double / count(*) filter (where isodow(full_date) < 6)) - 1 as weekend_uplift from (select store_key, full_date, sum(net_amount) as r from fact_sales group by all) x join dim_store s on s.store_key = x.store_key group by 1"),
+    "q09_baskets_by_store": sql("select store_id, store_name, count(*) as transactions, sum(v)::double / count(*) as avg_basket_value_myr, median(v::double) as median_basket_value_myr, sum(u)::double / count(*) as avg_units_per_basket, sum(n)::double / count(*) as avg_lines_per_basket from (select transaction_id, store_key, sum(net_amount) as v, sum(quantity) as u, count(*) as n from fact_sales group by all) b join dim_store s on s.store_key = b.store_key group by all"),
+    "q10_baskets_by_payment_tier": sql("select payment_method, loyalty_tier, count(*) as transactions, sum(v)::double / count(*) as avg_basket_value_myr from (select transaction_id, max(payment_method) as payment_method, max(customer_key) as customer_key, sum(net_amount) as v from fact_sales group by 1) b join dim_customer_all c on c.customer_key = b.customer_key group by all"),
     "q11_top10_per_category": sql(f"select category, f.product_id, product_name, cast(sum(quantity) as bigint) as units_sold, cast(sum(net_amount) as decimal(24,2)) as revenue from fact_sales f join dim_product p on p.product_id = f.product_id and p.is_current where {_30} group by 1, 2, 3 qualify row_number() over (partition by category order by sum(quantity) desc, f.product_id) <= 10"),
     "q12_underperformers": sql(f", s as (select product_id, sum(quantity) as u, sum(net_amount) as r, max(event_ts_local) as last_sold_at from fact_sales where {_30} group by 1) select * exclude (decile) from (select p.product_id, product_name, category, subcategory, cast(coalesce(u, 0) as bigint) as units_30d, cast(coalesce(r, 0) as decimal(24,2)) as revenue_30d, last_sold_at, ntile(10) over (partition by category order by coalesce(u, 0), p.product_id) as decile from dim_product p left join s on s.product_id = p.product_id where is_current and is_active and not is_inferred) where decile = 1"),
-    "q13_price_changes": sql(f", v as (select *, lag(list_price) over (partition by product_id order by version_number) as previous_price from dim_product where not is_inferred), s as (select product_key, sum(quantity) as u from fact_sales group by 1) select product_id, previous_price, list_price as new_price, effective_from_utc as changed_at, round(u::double / nullif(date_diff('day', effective_from_utc::date, least(effective_to_utc, timestamp '{AS_OF}')::date), 0), 6) as units_per_day_at_new_price from v left join s on s.product_key = v.product_key where previous_price <> list_price"),
-    "q14_store_performance": sql(f", x as (select s.store_id, store_name, region, store_format, size_sqm, sum(net_amount)::double as revenue, sum(net_amount - cost_amount)::double as margin, count(distinct transaction_id) as t, count(distinct date_key) as d from fact_sales f join dim_store s on s.store_key = f.store_key where {_30} group by all) select store_id, store_name, region, store_format, round(revenue, 2) as revenue, round(revenue / d, 6) as revenue_per_day, round(revenue / nullif(size_sqm, 0), 6) as revenue_per_sqm, round(margin / nullif(revenue, 0), 6) as gross_margin_pct, round(revenue / t, 6) as avg_basket_value, round(revenue / avg(revenue) over (partition by region) - 1, 6) as vs_region_avg, rank() over (partition by store_format order by revenue / nullif(size_sqm, 0) desc nulls last) as productivity_rank_in_format from x"),
+    "q13_price_changes": sql(f", v as (select *, lag(list_price) over (partition by product_id order by version_number) as previous_price from dim_product where not is_inferred), s as (select product_key, sum(quantity) as u from fact_sales group by 1) select product_id, previous_price, list_price as new_price, effective_from_utc as changed_at, (u::double / nullif(date_diff('day', effective_from_utc::date, least(effective_to_utc, timestamp '{AS_OF}')::date), 0)) as units_per_day_at_new_price from v left join s on s.product_key = v.product_key where previous_price <> list_price"),
+    "q14_store_performance": sql(f", x as (select s.store_id, store_name, region, store_format, size_sqm, cast(sum(net_amount) as decimal(24,2)) as revenue, sum(net_amount - cost_amount)::double as margin, count(distinct transaction_id) as t, count(distinct date_key) as d from fact_sales f join dim_store s on s.store_key = f.store_key where {_30} group by all) select store_id, store_name, region, store_format, revenue, revenue::double / d as revenue_per_day, revenue::double / nullif(size_sqm, 0) as revenue_per_sqm, margin / nullif(revenue::double, 0) as gross_margin_pct, revenue::double / t as avg_basket_value, revenue::double / (cast(sum(revenue) over (partition by region) as double) / count(*) over (partition by region)) - 1 as vs_region_avg, rank() over (partition by store_format order by revenue::double / nullif(size_sqm, 0) desc nulls last) as productivity_rank_in_format from x"),
     "q15_inventory_position": sql(f", {_POS} select region, store_name, category, cast(sum(closing_on_hand) as bigint) as units_on_hand, cast(sum(closing_value) as decimal(24,2)) as stock_value_at_cost_myr from pos group by all"),
-    "q16_low_stock": sql(f", {_POS} select store_id, store_name, product_id, product_name, category, closing_on_hand, avg7 as avg_daily_units_sold_7d, round(closing_on_hand::double / nullif(avg7, 0), 4) as days_of_cover from pos where is_below_reorder_point order by days_of_cover nulls first, avg7 desc, store_id, product_id limit 100"),
-    "q17_turnover": sql(f", d as (select category, date_key, sum(closing_on_hand) as h, sum(units_sold) as s from snapshots sn join dim_product p on p.product_id = sn.product_id and p.is_current where snapshot_date >= date '{AS_OF}' - 30 group by all) select category, cast(sum(s) as bigint) as units_sold, round(avg(h), 6) as avg_units_on_hand, round(sum(s)::double / avg(h), 6) as turnover_30d, round(30 / nullif(sum(s)::double / nullif(avg(h), 0), 0), 4) as days_of_inventory from d group by 1"),
+    "q16_low_stock": sql(f", {_POS} select store_id, store_name, product_id, product_name, category, closing_on_hand, avg7 as avg_daily_units_sold_7d, (closing_on_hand::double / nullif(avg7, 0)) as days_of_cover from pos where is_below_reorder_point order by days_of_cover nulls first, avg7 desc, store_id, product_id limit 100"),
+    "q17_turnover": sql(f", d as (select category, date_key, sum(closing_on_hand) as h, sum(units_sold) as s from snapshots sn join dim_product p on p.product_id = sn.product_id and p.is_current where snapshot_date >= date '{AS_OF}' - 30 group by all) select category, cast(sum(s) as bigint) as units_sold, sum(h)::double / count(*) as avg_units_on_hand, sum(s)::double / (sum(h)::double / count(*)) as turnover_30d, 30.0::double / nullif(sum(s)::double / nullif(sum(h)::double / count(*), 0), 0) as days_of_inventory from d group by 1"),
     "q18_movements": sql(f"select movement_type, coalesce(reason_code, 'n/a') as reason_code, count(*) as movements, cast(sum(quantity_delta) as bigint) as net_units, cast(sum(movement_value) as decimal(24,2)) as net_value_myr from fact_inventory where {_30} group by all"),
-    "q19_shrinkage": sql(", x as (select s.store_id, store_name, cast(-sum(case when reason_code in ('DAMAGED','EXPIRED','SHRINKAGE') then quantity_delta else 0 end) as bigint) as units_lost, cast(-sum(case when movement_type = 'SALE' then quantity_delta else 0 end) as bigint) as units_sold from fact_inventory f join dim_store s on s.store_key = f.store_key group by all) select *, round(1000 * units_lost::double / nullif(units_sold, 0), 4) as lost_per_1000_sold from x"),
-    "q20_revenue_by_tier": sql("select loyalty_tier, count(distinct transaction_id) as transactions, cast(sum(net_amount) as decimal(24,2)) as revenue_myr, round(sum(net_amount)::double / count(distinct transaction_id), 4) as avg_basket_myr from fact_sales f join dim_customer_all c on c.customer_key = f.customer_key group by 1"),
+    "q19_shrinkage": sql(", x as (select s.store_id, store_name, cast(-sum(case when reason_code in ('DAMAGED','EXPIRED','SHRINKAGE') then quantity_delta else 0 end) as bigint) as units_lost, cast(-sum(case when movement_type = 'SALE' then quantity_delta else 0 end) as bigint) as units_sold from fact_inventory f join dim_store s on s.store_key = f.store_key group by all) select *, (1000 * units_lost::double / nullif(units_sold, 0)) as lost_per_1000_sold from x"),
+    "q20_revenue_by_tier": sql("select loyalty_tier, count(distinct transaction_id) as transactions, cast(sum(net_amount) as decimal(24,2)) as revenue_myr, (sum(net_amount)::double / count(distinct transaction_id)) as avg_basket_myr from fact_sales f join dim_customer_all c on c.customer_key = f.customer_key group by 1"),
     "q21_tier_migrations": sql(", t as (select effective_from_utc as f, loyalty_tier as to_tier, lag(loyalty_tier) over (partition by customer_id order by version_number) as from_tier from dim_customer where not is_inferred) select strftime(f, '%Y-%m') as month, from_tier, to_tier, count(*) as customers from t where from_tier <> to_tier group by all"),
-    "q22_guest_share": sql("select region, round(g::double / t, 6) as guest_share, round((t - g)::double / t, 6) as member_share from (select region, sum(case when customer_key = '-2' then net_amount else 0 end) as g, sum(net_amount) as t from fact_sales f join dim_store s on s.store_key = f.store_key group by 1)"),
-    "q23_margin": sql("select strftime(full_date, '%Y-%m') as year_month, category, cast(sum(net_amount) as decimal(24,2)) as revenue, cast(sum(cost_amount) as decimal(24,2)) as cost, cast(sum(net_amount - cost_amount) as decimal(24,2)) as gross_margin, round(sum(net_amount - cost_amount)::double / sum(net_amount)::double, 6) as gross_margin_pct from fact_sales f join dim_product p on p.product_key = f.product_key where cost_amount is not null group by all"),
+    "q22_guest_share": sql("select region, (g::double / t) as guest_share, ((t - g)::double / t) as member_share from (select region, sum(case when customer_key = '-2' then net_amount else 0 end) as g, sum(net_amount) as t from fact_sales f join dim_store s on s.store_key = f.store_key group by 1)"),
+    "q23_margin": sql("select strftime(full_date, '%Y-%m') as year_month, category, cast(sum(net_amount) as decimal(24,2)) as revenue, cast(sum(cost_amount) as decimal(24,2)) as cost, cast(sum(net_amount - cost_amount) as decimal(24,2)) as gross_margin, (sum(net_amount - cost_amount)::double / sum(net_amount)::double) as gross_margin_pct from fact_sales f join dim_product p on p.product_key = f.product_key where cost_amount is not null group by all"),
     "q24_inferred_revenue": sql("select is_inferred, count(*) as lines, cast(sum(net_amount) as decimal(24,2)) as revenue from fact_sales f join dim_product p on p.product_key = f.product_key group by 1"),
     "d01_top_stores_series": "with d as (select * from store_revenue_5m where window_start >= timestamp '2026-04-15' and window_start < timestamp '2026-04-16') select window_start as time, store_id as metric, revenue as value from d where store_id in (select store_id from d group by 1 order by sum(revenue) desc, 1 limit 8)",
-    "d02_store_table": f"select store_id, cast(sum(revenue) as decimal(24,2)) as revenue_myr, cast(sum(transactions) as bigint) as transactions, round(sum(revenue)::double / nullif(sum(transactions), 0), 2) as avg_basket_myr from store_revenue_5m where window_start >= timestamp '{HOUR}' group by 1",
+    "d02_store_table": f"select store_id, cast(sum(revenue) as decimal(24,2)) as revenue_myr, cast(sum(transactions) as bigint) as transactions, case when sum(transactions) <> 0 then ((cast(sum(revenue) * 200 as hugeint) + cast(sum(transactions) as hugeint)) // (2 * cast(sum(transactions) as hugeint)))::double / 100 end as avg_basket_myr from store_revenue_5m where window_start >= timestamp '{HOUR}' group by 1",
     "d03_top_products_hour": sql(f"select l.product_id as product_id, cast(sum(l.quantity) as bigint) as units, cast(sum(l.quantity * l.unit_price - coalesce(l.discount_amount, 0)) as decimal(14,2)) as revenue_myr from raw_lines where event_ts >= timestamp '{HOUR}' and event_ts < timestamp '{HOUR}' + interval 1 hour and l.product_id is not null group by 1 order by 2 desc, 1 limit 15"),
     "d04_revenue_series": "select window_start as time, cast(sum(revenue) as decimal(24,2)) as revenue from store_revenue_5m group by 1",
     "wh_dim_product": sql("select product_key, product_id, product_name, brand, category, subcategory, list_price, unit_cost, is_active, effective_from_utc, effective_to_utc, is_current, is_inferred, cast(version_number as int) as version_number from dim_product"),

@@ -16,7 +16,7 @@ INGEST_TRIGGER, REALTIME_TRIGGER = "30 seconds", "10 seconds"
 OBSERVED = "ingest"
 
 
-def validated(records: DataFrame, dataset: Dataset, now: Column | None = None) -> DataFrame:
+def validated(records: DataFrame, dataset: Dataset, now: Column | str | None = None) -> DataFrame:
     """Source records, decoded, parsed and judged by the rules of their dataset."""
     return apply_rules(parse(unframe(records), dataset), rules_for(dataset), now)
 
@@ -32,19 +32,19 @@ def _start(df: DataFrame, name: str, mode: str, write: Callable[[DataFrame, int]
     return df.writeStream.queryName(name).outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def start_ingest(records: DataFrame, dataset: Dataset, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None, now: Column | None = None) -> StreamingQuery:
+def start_ingest(records: DataFrame, dataset: Dataset, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None, now: Column | str | None = None) -> StreamingQuery:
     """Stateless: no watermark, so an event of any age is landed."""
     return _start(observed(validated(records, dataset, now)), f"ingest-{dataset.name}", "append", write, checkpoint, trigger or {"processingTime": INGEST_TRIGGER})
 
 
-def valid_sales(records: DataFrame, now: Column | None = None) -> DataFrame:
+def valid_sales(records: DataFrame, now: Column | str | None = None) -> DataFrame:
     """The columns that windows need, of valid sales, de-duplicated: little state."""
     good = validated(records, POS, now).where("is_valid")
     slim = good.select(F.col("metadata.event_id").alias("event_id"), "event_ts", F.col("payload.store_id").alias("store_id"), F.col("payload.line_items").alias("line_items"), F.col("payload.total_amount").alias("total_amount"))
     return watermarked(slim)
 
 
-def start_realtime(source: Callable[[], DataFrame], writers: dict[str, Callable[[DataFrame, int], None]], checkpoints: str, trigger: dict | None = None, now: Column | None = None) -> list[StreamingQuery]:
+def start_realtime(source: Callable[[], DataFrame], writers: dict[str, Callable[[DataFrame, int], None]], checkpoints: str, trigger: dict | None = None, now: Column | str | None = None) -> list[StreamingQuery]:
     """Two independent queries, each with its own reader and checkpoint, in update mode with absolute values."""
     aggregates = {"store_revenue_5m": store_revenue_5m, "product_units_1h": product_units_1h}
     return [_start(aggregates[name](valid_sales(source(), now)), f"realtime-{name}", "update", write, f"{checkpoints}/{name}", trigger or {"processingTime": REALTIME_TRIGGER}) for name, write in writers.items()]
