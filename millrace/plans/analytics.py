@@ -227,7 +227,7 @@ def q21_tier_migrations(w: Warehouse) -> DataFrame:
 def q22_guest_share(w: Warehouse) -> DataFrame:
     guest = F.col("customer_key") == NOT_APPLICABLE
     by = w.fact_sales.groupBy("store_key").agg(F.sum(F.when(guest, F.col("net_amount")).otherwise(0)).alias("g"), F.sum("net_amount").alias("t")).join(w.dim_store.select("store_key", "region"), "store_key")
-    total = by.groupBy("region").agg(F.sum("g").cast("double").alias("g"), F.sum("t").cast("double").alias("t"))
+    total = by.groupBy("region").agg(F.sum("g").alias("g"), F.sum("t").alias("t"))
     return total.select("region", ratio(F.col("g"), F.col("t")).alias("guest_share"), ratio(F.col("t") - F.col("g"), F.col("t")).alias("member_share"))
 
 
