@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of products bought together, with its counts and lift."""
     pairs = _pairs(spark, sf_dir)
-    return pairs.withColumn("lift", F.round(together.lift(pairs), 6))
+    return pairs.withColumn("lift", together.lift(pairs))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +48,5 @@ _PAIRS = f"""with baskets as (select record_id, items from {_BASKETS} where len(
     pairs as (select x.p as a, y.p as b, count(*) as n_ab from lines x join lines y on x.record_id = y.record_id and x.p < y.p group by all)"""
 SQL = {
     "p1_found": f"{_PAIRS} select a as product_id_a, b as product_id_b from pairs join c ca on a = ca.p join c cb on b = cb.p, n where n_ab >= 5 and n_ab * 500 >= n and n_ab::hugeint * n >= 3::hugeint * ca.k * cb.k",
-    "p1_pairs": f"{_PAIRS} select a as product_id_a, b as product_id_b, n_ab, ca.k as n_a, cb.k as n_b, n, round(n_ab::double * n / (ca.k::double * cb.k), 6) as lift from pairs join c ca on a = ca.p join c cb on b = cb.p, n",
+    "p1_pairs": f"{_PAIRS} select a as product_id_a, b as product_id_b, n_ab, ca.k as n_a, cb.k as n_b, n, n_ab::double * n / (ca.k::double * cb.k) as lift from pairs join c ca on a = ca.p join c cb on b = cb.p, n",
 }
