@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.session import cut, rows_at_most
 
-#: Nodes are broadcast up to this many rows; beyond, both sides are shuffled on entity and node.
-BROADCAST_NODES = 500_000
+#: Nodes are broadcast up to this many rows; beyond, both sides are shuffled on entity and node, in SALTS parts each, as a
+#: hot entity's events share its upper nodes.
+BROADCAST_NODES, SALTS = 500_000, 16
 #: A leaf is 2**32 microseconds, about 72 minutes.
 LEAF_BITS = 32
 
@@ -56,13 +57,16 @@ def attach_as_of(events: DataFrame, versions: DataFrame, entity: str, at: str, l
     leaves = max(1, ((span.b - origin) >> leaf_bits) + 1) if span.a is not None else 1
     levels = (leaves - 1).bit_length() + 1
     nodes = cut(dyadic_nodes(side, F.col("_low"), F.col("_high"), origin, leaf_bits, levels))
+    salt = F.lit(0)
     if rows_at_most(nodes, BROADCAST_NODES):
-        nodes = F.broadcast(nodes)
+        nodes = F.broadcast(nodes.withColumn("_ns", F.lit(0)))
+    else:
+        nodes, salt = nodes.withColumn("_ns", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), F.pmod(F.xxhash64(*event_key), F.lit(SALTS)).cast("int")
     leaf = F.shiftright(F.col(at) - origin, leaf_bits)
     # Level -1 matches nothing: it carries events through that have no version.
     keys = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(leaf, k).alias("node")) for k in range(levels)], F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("node")))
-    probes = events.withColumn("_k", F.explode(keys)).withColumn("_kl", F.col("_k.level")).withColumn("_kn", F.col("_k.node")).drop("_k")
-    hit = (F.col(entity) == F.col("_e")) & (F.col("_kl") == F.col("level")) & (F.col("_kn") == F.col("node")) & (F.col(at) >= F.col("_low")) & (F.col(at) < F.col("_high"))
+    probes = events.withColumn("_k", F.explode(keys)).withColumn("_kl", F.col("_k.level")).withColumn("_kn", F.col("_k.node")).withColumn("_ks", salt).drop("_k")
+    hit = (F.col(entity) == F.col("_e")) & (F.col("_kl") == F.col("level")) & (F.col("_kn") == F.col("node")) & (F.col("_ks") == F.col("_ns")) & (F.col(at) >= F.col("_low")) & (F.col(at) < F.col("_high"))
     met = probes.join(nodes, hit, "left").where("_kl = -1 or _v is not null")
     rest = [c for c in events.columns if c not in event_key]
     best = met.groupBy(*event_key).agg(F.max("_v").alias("_v"), F.first(F.struct(*rest)).alias("_r") if rest else F.lit(None).alias("_r"))
