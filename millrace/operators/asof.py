@@ -46,7 +46,7 @@ def attach_as_of(events: DataFrame, versions: DataFrame, entity: str, at: str, l
     """Each event once, with struct `version` of the carried columns of the version valid at the event's time, or null.
 
     at, low, high: microseconds (bigint); valid means low <= at < high. entity: column of both sides. event_key: columns
-    that identify an event (a repeated event comes out once). Among overlapping versions the one with the greatest
+    that identify an event; rows equal in these, entity and time come out once (with the greatest of the other columns). Among overlapping versions the one with the greatest
     `precedence` columns wins (nulls lowest, then the carried values), whatever the order of rows. Null entity or time:
     version null. A version with null entity or bound matches nothing. Extra columns of either side do not clash: events
     keep theirs, of versions only `carry` is taken, inside the struct.
@@ -68,6 +68,7 @@ def attach_as_of(events: DataFrame, versions: DataFrame, entity: str, at: str, l
     probes = events.withColumn("_k", F.explode(keys)).withColumn("_kl", F.col("_k.level")).withColumn("_kn", F.col("_k.node")).withColumn("_ks", salt).drop("_k")
     hit = (F.col(entity) == F.col("_e")) & (F.col("_kl") == F.col("level")) & (F.col("_kn") == F.col("node")) & (F.col("_ks") == F.col("_ns")) & (F.col(at) >= F.col("_low")) & (F.col(at) < F.col("_high"))
     met = probes.join(nodes, hit, "left").where("_kl = -1 or _v is not null")
-    rest = [c for c in events.columns if c not in event_key]
-    best = met.groupBy(*event_key).agg(F.max("_v").alias("_v"), F.first(F.struct(*rest)).alias("_r") if rest else F.lit(None).alias("_r"))
-    return best.select(*[F.col(c) if c in event_key else F.col(f"_r.{c}").alias(c) for c in events.columns], F.col("_v.v").alias("version"))
+    same = [*dict.fromkeys([*event_key, entity, at])]
+    rest = [c for c in events.columns if c not in same]
+    best = met.groupBy(*same).agg(F.max("_v").alias("_v"), F.max(F.struct(*rest)).alias("_r") if rest else F.max(F.lit(0)).alias("_r"))
+    return best.select(*[F.col(c) if c in same else F.col(f"_r.{c}").alias(c) for c in events.columns], F.col("_v.v").alias("version"))
