@@ -40,9 +40,9 @@ def sf001(raw: dict[str, DataFrame]) -> DataFrame:
 
 def sf002(duplicates: DataFrame, samples: int = 10) -> DataFrame:
     """duplicates: business_key. The sample is the smallest keys, by a top-k, never a whole collection."""
-    few = duplicates.select("business_key").orderBy("business_key").limit(samples).agg(F.array_sort(F.collect_list("business_key")).alias("sample_keys"))
-    n = duplicates.agg(F.count(F.lit(1)).alias("n"))
-    return result(n.withColumn("k", F.lit(1)).join(few.withColumn("k", F.lit(1)), "k"), "SF-002", F.col("n"), F.struct("sample_keys"))
+    few = duplicates.select("business_key").orderBy("business_key").limit(samples).agg(F.array_sort(F.collect_list("business_key")).alias("sample_keys")).withColumn("n", F.lit(0).cast("bigint"))
+    count = duplicates.agg(F.count(F.lit(1)).alias("n")).withColumn("sample_keys", F.lit(None).cast("array<string>"))
+    return result(few.unionByName(count).agg(F.sum("n").alias("n"), F.max("sample_keys").alias("sample_keys")), "SF-002", F.col("n"), F.struct("sample_keys"))
 
 
 def _counts(**parts: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def sf005(audit: DataFrame, raw: DataFrame) -> DataFrame:
     key = ["dataset", "spark_query_id", "spark_batch_id"]
     valid = latest_audit(audit).groupBy(*key).agg(F.sum("records_valid").alias("valid"))
     loaded = raw.groupBy(*key).agg(F.count_distinct("kafka_topic", "kafka_partition", "kafka_offset").alias("loaded"))
-    both = valid.join(loaded, key, "left").withColumn("loaded", F.coalesce("loaded", F.lit(0)))
+    both = valid.unionByName(loaded, allowMissingColumns=True).groupBy(*key).agg(F.max("valid").alias("valid"), F.coalesce(F.max("loaded"), F.lit(0)).alias("loaded")).where("valid is not null")
     wrong = F.coalesce(F.count_if(F.col("valid") != F.col("loaded")), F.lit(0))
     total = both.agg(F.count(F.lit(1)).alias("batches_checked"), F.coalesce(F.sum("valid"), F.lit(0)).alias("records_valid"), F.coalesce(F.sum("loaded"), F.lit(0)).alias("records_loaded"), wrong.alias("wrong"))
     return result(total, "SF-005", F.col("wrong"), F.struct("batches_checked", "records_valid", "records_loaded"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators.quality import latest_audit
@@ -21,7 +23,8 @@ def gather(watermarks: DataFrame, audit: DataFrame, raw: DataFrame, staged: Data
     log = log.groupBy("topic").agg(F.sum(F.greatest(F.col("high") - F.col("low"), F.lit(0))).alias("in_retention"), F.sum(behind).alias("not_yet_processed"))
     spark = last.groupBy(F.col("kafka_topic").alias("topic")).agg(F.sum("records_read").alias("spark_read"), F.sum("records_valid").alias("spark_valid"), F.sum("records_rejected").alias("spark_rejected"))
     kept = raw.groupBy(F.col("kafka_topic").alias("topic")).agg(F.count_distinct("kafka_partition", "kafka_offset").alias("raw_offsets"), F.count_distinct("business_key").alias("raw_keys"))
-    out = log.join(spark, "topic", "left").join(kept, "topic", "left").join(staged, "topic", "left")
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [log, spark, kept, staged.select("topic", "staged_keys")])
+    out = every.groupBy("topic").agg(*[F.max(c).alias(c) for c in every.columns if c != "topic"]).where("in_retention is not null")
     return out.fillna(0, ["spark_read", "spark_valid", "spark_rejected", "raw_offsets", "raw_keys"])
 
 

@@ -150,7 +150,7 @@ def q09_baskets_by_store(w: Warehouse) -> DataFrame:
 
 
 def q10_baskets_by_payment_tier(w: Warehouse) -> DataFrame:
-    baskets = w.fact_sales.groupBy("transaction_id").agg(F.max("payment_method").alias("payment_method"), F.max("customer_key").alias("customer_key"), F.sum("net_amount").alias("value"))
+    baskets = w.fact_sales.groupBy("transaction_id", "payment_method", "customer_key").agg(F.sum("net_amount").alias("value"))  # one of each per transaction
     return baskets.join(w.dim_customer.select("customer_key", "loyalty_tier"), "customer_key").groupBy("payment_method", "loyalty_tier").agg(F.count(F.lit(1)).alias("transactions"), exact_mean(F.col("value")).alias("avg_basket_value_myr"))
 
 
