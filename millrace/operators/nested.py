@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.session import spread
+
 #: Bytes indexed at once; a longer body is indexed alone.
 SLICE_BYTES = 1 << 21
 LINES_SCHEMA = "raw_id bigint, transaction_id string, line_pos int, product_id string, quantity string, unit_price string"
@@ -317,7 +319,7 @@ def flat_lines(bodies: DataFrame) -> DataFrame:
     and not null; other lines give no row but keep their position. quantity and unit_price come as text as written.
     Null, empty or broken bodies (not JSON by RFC 8259) give none. line_items that is one object is a list of one.
     Bodies, payloads, line_items and lines that are JSON text count as what they hold; text that is not JSON counts as no
-    lines. A member given twice counts as last given. A missing or null transaction_id is null. Narrow: no shuffle.
+    lines. A member given twice counts as last given. A missing or null transaction_id is null. No shuffle but for inputs of fewer partitions than cores.
     """
     schema = pa.schema([("raw_id", pa.int64()), ("transaction_id", pa.string()), ("line_pos", pa.int32()), ("product_id", pa.string()), ("quantity", pa.string()), ("unit_price", pa.string())])
 
@@ -341,4 +343,4 @@ def flat_lines(bodies: DataFrame) -> DataFrame:
         columns = list(zip(*found)) or [[]] * 6
         return pa.RecordBatch.from_arrays([pa.array([clean(x) for x in c], t.type) for c, t in zip(columns, schema)], schema=schema)
 
-    return bodies.select("raw_id", "event_json").mapInArrow(rows, LINES_SCHEMA)
+    return spread(bodies.select("raw_id", "event_json"), "raw_id").mapInArrow(rows, LINES_SCHEMA)

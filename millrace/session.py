@@ -75,3 +75,12 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 def rows_at_most(df: DataFrame, bound: int) -> bool:
     """Whether df has at most bound rows; reads no further than one row beyond the bound."""
     return df.limit(bound + 1).count() <= bound
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over at least as many tasks as there are cores, by hash of key; as it is where the input has as many already.
+
+    For work that costs far more than moving its rows; a large input is never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
