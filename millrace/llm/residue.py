@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.session import spread
+
 #: Hashed features of a model; iterations after the first count; smoothing.
 SIZE, ITERATIONS, SMOOTH = 1 << 18, 2, 0.5
 #: How often more frequent around placeholders than elsewhere words must be, to be taken for explaining at first.
@@ -252,7 +254,7 @@ def _counts(batches: Iterator[pa.RecordBatch], models: tuple[Model, Model] | Non
 def fit(documents: DataFrame, iterations: int = ITERATIONS) -> tuple[Model, Model]:
     """The two models, from all documents (column text; null and empty ones say nothing)."""
     schema = pa.schema([("feature", pa.int32()), *((c, pa.float64()) for c in "abcd")])
-    texts = documents.select("text").where("text is not null")
+    texts = spread(documents.select("doc_id", "text").where("text is not null"), "doc_id")
     spark = documents.sparkSession
     models: tuple[Model, Model] | None = None
     for step in range(iterations + 1):
@@ -282,4 +284,4 @@ def find_residue(documents: DataFrame, models: tuple[Model, Model] | None = None
             bad = [i for i, text in zip(batch.column(0).to_pylist(), batch.column(1)) if text.as_py() and is_residue(passages(text.as_py()), *shared.value)]
             yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], schema=schema)
 
-    return documents.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(decide, "doc_id bigint")
+    return spread(documents.selectExpr("cast(doc_id as bigint) as doc_id", "text"), "doc_id").mapInArrow(decide, "doc_id bigint")

@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from millrace.session import spread
+
 TOKENIZER = "byte_bpe_50k.json"
 #: Splits a text before the merges (fixed value of the tokenizer).
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -246,7 +248,7 @@ def encoder(path: str) -> Encoder:
 def encode_corpus(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array of int) of every document. Null and empty texts give []; a blank text gives its ids.
 
-    Extra columns of documents are left out. Narrow (no shuffle); texts are taken whole, whatever their length.
+    Extra columns of documents are left out. No shuffle but for inputs of fewer partitions than cores; texts are taken whole, whatever their length.
     """
     path = path or default_path()
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -264,7 +266,7 @@ def encode_corpus(documents: DataFrame, path: str | None = None) -> DataFrame:
                 offsets = pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], schema=out)
 
-    return documents.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(rows, "doc_id bigint, ids array<int>")
+    return spread(documents.selectExpr("cast(doc_id as bigint) as doc_id", "text"), "doc_id").mapInArrow(rows, "doc_id bigint, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -278,7 +280,7 @@ def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
             sizes = pa.array([len(encode(x.as_py())) for x in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes], schema=out)
 
-    return documents.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(rows, "doc_id bigint, n_tokens bigint")
+    return spread(documents.selectExpr("cast(doc_id as bigint) as doc_id", "text"), "doc_id").mapInArrow(rows, "doc_id bigint, n_tokens bigint")
 
 
 def decode_corpus(encoded: DataFrame, path: str | None = None) -> DataFrame:
