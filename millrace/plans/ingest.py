@@ -10,8 +10,11 @@ from millrace.operators.decode import kafka_shaped
 from millrace.operators.windows import product_units_1h, store_revenue_5m, watermarked
 from millrace.plans.analytics import sql
 from millrace.plans.warehouse import Warehouse, business_duplicates, typed_movements, typed_sales
-from millrace.sources import generator
-from millrace.streaming.jobs import validated
+from millrace.session import work_path
+from millrace.sources import generator, landing
+from millrace.sources.kafka import file_stream
+from millrace.streaming.jobs import start_ingest, start_realtime, validated
+from millrace.streaming.sinks import IngestWriter, WindowTable, topic_folder
 
 NOW = "2026-04-21 00:00:00"
 QUERY_ID, BATCH = "batch", 0
@@ -127,6 +130,29 @@ def gen_dry_run(w: Warehouse) -> DataFrame:
     return generator.dry_run(validated(records, POS, now()))
 
 
+def _fed(w: Warehouse) -> str:
+    """The sales as a folder of framed records, as a source would find them."""
+    path = work_path(w.spark, "feed")
+    kafka_shaped(w.raw("pos_transactions"), POS).write.parquet(path)
+    return path
+
+
+def str_stream_windows(w: Warehouse) -> DataFrame:
+    """The real-time query itself, run over all records at hand, and its serving table."""
+    feed, table = _fed(w), WindowTable(work_path(w.spark, "serving"), ["store_id", "window_start"])
+    everything = lambda: file_stream(w.spark, feed, 1 << 20)  # noqa: E731  one batch: nothing is late
+    start_realtime(everything, {"store_revenue_5m": table}, work_path(w.spark, "checkpoints"), {"availableNow": True}, NOW)[0].awaitTermination()
+    return table.read(w.spark).select("store_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "revenue", "transactions", "units")
+
+
+def snk_landing_cycle(w: Warehouse) -> DataFrame:
+    """Streaming ingest into the landing zone, one load cycle into the raw table, and the raw table."""
+    feed, zone, check, raw, kept, dead = _fed(w), *(work_path(w.spark, x) for x in ("landing", "checkpoints", "raw", "archive", "dead"))
+    start_ingest(file_stream(w.spark, feed, 4), POS, IngestWriter(POS, zone, check, topic_folder(dead)), check, {"availableNow": True}, NOW).awaitTermination()
+    landing.load_landed(w.spark, zone, raw, kept, [POS.name], NOW)
+    return landing.raw_table(w.spark, raw, POS.name).select("kafka_partition", "kafka_offset", "event_id", F.col("event_timestamp").cast("timestamp_ntz").alias("event_ts"))
+
+
 def _meta(types: str) -> list[tuple[str, str]]:
     m = "metadata.event_id metadata.event_type metadata.schema_version metadata.event_timestamp metadata.produced_at metadata.producer metadata.correlation_id".split()
     return [("ENV-003", " or ".join(f"{c} is null" for c in m)), ("ENV-004", f"metadata.event_type not in ({types})"), ("ENV-005", "not regexp_full_match(metadata.schema_version, '1[.][0-9]+')"), ("ENV-006", f"try_cast(metadata.event_timestamp as timestamptz) is null or try_cast(metadata.event_timestamp as timestamptz) > timestamptz '{NOW}+00' + interval 5 minute")]
@@ -181,6 +207,10 @@ SQL = {
     "rec_report": sql(f", j as (select * from {_POS}), v as (select * from j where rejected_by is null), p as (select kafka_partition, max(record_id) + 1 - min(record_id) as n from j group by 1) select 'pos.transactions' as topic, (select cast(sum(n) as bigint) from p) as in_retention, 0::bigint as not_yet_processed, (select count(*) from j) as spark_read, (select count(*) from v) as spark_valid, (select count(*) from j where rejected_by is not null) as spark_rejected, (select count(*) from v) as raw_offsets, 0::bigint as not_yet_loaded, (select count(*) - count(distinct payload.transaction_id) from v) as duplicates, true as balanced, 0::bigint as unexplained, 'OK' as status"),
     "wh_freshness": sql("select 'raw' as layer, max(event_ts) as max_event_ts from typed_sales union all select 'staging', max(event_ts) from stg_lines union all select 'facts', max(event_ts) from fact_sales"),
 }
-FUNCTIONS = {f.__name__: f for f in (ing_audit, ing_landed, ing_dead_letters, dlq_inspect, dlq_redrive, str_store_revenue_5m, str_product_units_1h, wh_business_duplicates, dq_results, rec_report, rec_gate, wh_freshness, alr_fired, gen_dry_run)} | {f"rules_{t}": _rule_query(t) for t in TABLES}
+SQL |= {
+    "str_stream_windows": f"select payload.store_id as store_id, time_bucket(interval '5 minutes', try_cast(metadata.event_timestamp as timestamptz) at time zone 'UTC') as window_start, cast(sum(payload.total_amount) as decimal(14,2)) as revenue, count(*) as transactions, cast(sum(list_sum(list_transform(payload.line_items, lambda l: l.quantity))) as bigint) as units from (select * from {_POS} where rejected_by is null qualify row_number() over (partition by metadata.event_id order by record_id) = 1) group by all",
+    "snk_landing_cycle": f"select kafka_partition, record_id as kafka_offset, metadata.event_id as event_id, try_cast(metadata.event_timestamp as timestamptz) at time zone 'UTC' as event_ts from {_POS} where rejected_by is null",
+}
+FUNCTIONS = {f.__name__: f for f in (str_stream_windows, snk_landing_cycle, ing_audit, ing_landed, ing_dead_letters, dlq_inspect, dlq_redrive, str_store_revenue_5m, str_product_units_1h, wh_business_duplicates, dq_results, rec_report, rec_gate, wh_freshness, alr_fired, gen_dry_run)} | {f"rules_{t}": _rule_query(t) for t in TABLES}
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(Warehouse(spark, sf_dir))) for name, f in FUNCTIONS.items()}
 assert set(DATASETS) == {d.name for d in TABLES.values()}
