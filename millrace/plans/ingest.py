@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.contracts import DATASETS, POS, TABLES
-from millrace.operators import alerts, outputs, quality, reconcile, redrive
+from millrace.operators import alerts, contract, outputs, quality, reconcile, redrive
 from millrace.operators.decode import kafka_shaped
 from millrace.operators.windows import product_units_1h, store_revenue_5m, watermarked
 from millrace.plans.analytics import sql
@@ -130,6 +132,12 @@ def gen_dry_run(w: Warehouse) -> DataFrame:
     return generator.dry_run(validated(records, POS, now()))
 
 
+def flt03_contract(w: Warehouse) -> DataFrame:
+    """Violations of the producers' contract per table and text, of all records."""
+    parts = [contract.violations(w.raw(t), d).select(F.lit(t).alias("source_table"), F.explode("violations").alias("violation")) for t, d in TABLES.items() if d is not POS]
+    return reduce(DataFrame.unionByName, parts).groupBy("source_table", "violation").agg(F.count(F.lit(1)).alias("records"))
+
+
 def _fed(w: Warehouse) -> str:
     """The sales as a folder of framed records, as a source would find them."""
     path = work_path(w.spark, "feed")
@@ -211,6 +219,7 @@ SQL |= {
     "str_stream_windows": f"select payload.store_id as store_id, time_bucket(interval '5 minutes', try_cast(metadata.event_timestamp as timestamptz) at time zone 'UTC') as window_start, cast(sum(payload.total_amount) as decimal(14,2)) as revenue, count(*) as transactions, cast(sum(list_sum(list_transform(payload.line_items, lambda l: l.quantity))) as bigint) as units from (select * from {_POS} where rejected_by is null qualify row_number() over (partition by metadata.event_id order by record_id) = 1) group by all",
     "snk_landing_cycle": f"select kafka_partition, record_id as kafka_offset, metadata.event_id as event_id, try_cast(metadata.event_timestamp as timestamptz) at time zone 'UTC' as event_ts from {_POS} where rejected_by is null",
 }
-FUNCTIONS = {f.__name__: f for f in (str_stream_windows, snk_landing_cycle, ing_audit, ing_landed, ing_dead_letters, dlq_inspect, dlq_redrive, str_store_revenue_5m, str_product_units_1h, wh_business_duplicates, dq_results, rec_report, rec_gate, wh_freshness, alr_fired, gen_dry_run)} | {f"rules_{t}": _rule_query(t) for t in TABLES}
+SQL["flt03_contract"] = " union all ".join(f"select '{t}' as source_table, v as violation, count(*) as records from (select unnest(list_filter([{', '.join(f"case when {bad} then '{path}: {message}' end" for path, message, bad in contract.constraints(d, 'regexp_matches'))}], lambda x: x is not null)[:{contract.MOST}]) as v from {t}) group by 2" for t, d in TABLES.items() if d is not POS)
+FUNCTIONS = {f.__name__: f for f in (flt03_contract, str_stream_windows, snk_landing_cycle, ing_audit, ing_landed, ing_dead_letters, dlq_inspect, dlq_redrive, str_store_revenue_5m, str_product_units_1h, wh_business_duplicates, dq_results, rec_report, rec_gate, wh_freshness, alr_fired, gen_dry_run)} | {f"rules_{t}": _rule_query(t) for t in TABLES}
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(Warehouse(spark, sf_dir))) for name, f in FUNCTIONS.items()}
 assert set(DATASETS) == {d.name for d in TABLES.values()}
