@@ -55,7 +55,8 @@ TRUSTED = re.compile(
     re.IGNORECASE,
 )
 # Navigation, rights, feedback and loading lines: short parts between bars, dashes or arrows, or well-known beginnings.
-FURNITURE = re.compile(r"(?:[^|>.!?]{1,25}(?:\s[|>\-·/]\s)){1,8}[^|>.!?]{1,25}|(?:\(c\)|©).*|all rights reserved\.?|was this page helpful\?.*|yes / no|menu\b.{0,30}|learn how|#{1,6}\s.*|loading\.*", re.IGNORECASE)
+FURNITURE = re.compile(r"(?:\(c\)|©).*|all rights reserved\.?|was this page helpful\?.*|yes / no|menu\b.{0,30}|learn how|#{1,6}\s.*|loading\.*", re.IGNORECASE)
+_BARS, _NO_PART = re.compile(r"\s[|>\-·/]\s"), re.compile(r"[|>.!?]")
 _TAGS = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>", re.IGNORECASE)
 _PAGE = re.compile(r"<(?:html|title|noscript|h1)\b", re.IGNORECASE)
 _ENTITY = re.compile(r"&lt;([\w.]{1,40})&gt;")
@@ -66,7 +67,7 @@ LEAST_CONTEXT = 10
 _BULLET = re.compile(r"^[\s\-*•>\"“]+(?=\S)")
 _DOUBLED = re.compile(r"^(.+?)\1+$")
 _WORD = re.compile("￿|[^\\W\\d_一-鿿]+|[一-鿿]|\\d+")
-_HIDDEN = re.compile("[​-‏⁠﻿­]")
+_HIDDEN = re.compile("[￿​-‏⁠﻿­]")
 
 
 @dataclass
@@ -113,11 +114,19 @@ def _hash(word: str) -> int:
     return known
 
 
+def furniture(line: str) -> bool:
+    """Whether a line is page furniture or a heading."""
+    if FURNITURE.fullmatch(line):
+        return True
+    parts = _BARS.split(line) if len(line) <= 250 else ()
+    return 2 <= len(parts) <= 9 and all(0 < len(x) <= 25 and not _NO_PART.search(x) for x in parts)
+
+
 def _repeats(words: list[str]) -> bool:
     """One or two words over and over (test test test, asdf asdf2)."""
     if len(set(words)) > 10:
         return False
-    plain = [_DOUBLED.sub(r"\1", w) for w in words if w != "￿" and not w.isdigit()]
+    plain = [_DOUBLED.sub(r"\1", w) if len(w) <= 40 else w for w in words if w != "￿" and not w.isdigit()]
     if not plain:  # 123 1231 123123
         short = min(map(len, words))
         plain = [w[:short] for w in words]
@@ -142,7 +151,7 @@ def passages(text: str) -> Passages | None:
         if not line:
             continue
         slot = "￿" in line
-        furniture = not slot and FURNITURE.fullmatch(line) is not None
+        aside = not slot and furniture(line)
         line = _BULLET.sub("", line).lower()
         words = _WORD.findall(line)
         if not words:
@@ -153,7 +162,7 @@ def passages(text: str) -> Passages | None:
         slots.append(slot)
         filler.append(_repeats(words))
         trusted.append(tagged or filler[-1] or TRUSTED.match(line) is not None)
-        neutral.append(furniture)
+        neutral.append(aside)
     if not ids:
         return None
     h = np.array(ids, np.int64)
