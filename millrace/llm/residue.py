@@ -19,15 +19,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.session import spread
+from millrace.session import spread, written
 
 #: Hashed features of a model; iterations after the first count; smoothing.
 SIZE, ITERATIONS, SMOOTH = 1 << 18, 2, 0.5
@@ -70,24 +70,30 @@ _WORD = re.compile("
 _HIDDEN = re.compile("[￿​-‏⁠﻿­]")
 
 
-@dataclass
+#: A placeholder among hashed words, and words scored at once.
+GAP, CHUNK_WORDS = 0xFFFFFFFF, 300_000
+# Bits of a passage's flags.
+SLOTTED, SEEDED, FILLER, ASIDE = 1, 2, 4, 8
+PASSAGES = "doc_id bigint, words binary, first binary, chars binary, flags binary"
+
+
 class Passages:
-    """The passages of a document, as arrays.
+    """The passages of some documents, as arrays.
 
     own, pairs: hashed words and neighbours, own_ok, pair_ok: those that count (not a placeholder, not across passages);
-    first: the first word of each passage; chars, slot, trusted, filler (mere repetition), neutral: of each passage.
+    first: the first word of each passage, docs: the first passage of each document; of each passage chars, slot,
+    trusted, filler (mere repetition), neutral.
     """
 
-    own: np.ndarray
-    pairs: np.ndarray
-    own_ok: np.ndarray
-    pair_ok: np.ndarray
-    first: np.ndarray
-    chars: np.ndarray
-    slot: np.ndarray
-    trusted: np.ndarray
-    filler: np.ndarray
-    neutral: np.ndarray
+    def __init__(self, words: np.ndarray, first: np.ndarray, chars: np.ndarray, flags: np.ndarray, docs: np.ndarray):
+        h = words.astype(np.int64)
+        word = h != GAP
+        inside = np.ones(len(h), bool)
+        inside[first] = False
+        self.own, self.pairs = h % SIZE, (h[:-1] * 31 + h[1:] * 17 + 7) % SIZE
+        self.own_ok, self.pair_ok = word, word[:-1] & word[1:] & inside[1:]
+        self.first, self.docs, self.chars = first, docs, chars.astype(float)
+        self.slot, self.trusted, self.filler, self.neutral = ((flags & bit) > 0 for bit in (SLOTTED, SEEDED, FILLER, ASIDE))
 
     def sums(self, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         """Sums by passage of a number per word and one per pair."""
@@ -97,20 +103,29 @@ class Passages:
         """Features of each passage."""
         return self.sums(np.ones(len(self.own)), np.ones(len(self.pairs)))
 
-    def weighted(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Features, and the weight of the passage of each."""
+    def by_doc(self, values: np.ndarray) -> np.ndarray:
+        """Sums by document of a number per passage."""
+        return np.add.reduceat(np.asarray(values, float), self.docs)
+
+    def of_doc(self, values: np.ndarray) -> np.ndarray:
+        """A number per document, for each of its passages."""
+        return np.repeat(values, np.diff(self.docs, append=len(self.first)))
+
+    def counts(self, weight: np.ndarray) -> np.ndarray:
+        """Counts of all features, weighted by passage."""
         each = np.repeat(weight, np.diff(self.first, append=len(self.own)))
-        return np.concatenate([self.own[self.own_ok], self.pairs[self.pair_ok]]), np.concatenate([each[self.own_ok], each[:-1][self.pair_ok]])
+        return np.bincount(self.own, np.where(self.own_ok, each, 0), SIZE) + np.bincount(self.pairs, np.where(self.pair_ok, each[:-1], 0), SIZE)
 
 
-_memo: dict[str, int] = {"￿": -1}
+_memo: dict[str, int] = {"￿": GAP}
 
 
 def _hash(word: str) -> int:
     if len(_memo) > 500_000:
         _memo.clear()
-        _memo["￿"] = -1
-    known = _memo[word] = crc32((word if not word[0].isdigit() else "0").encode("utf-8", "replace"))
+        _memo["￿"] = GAP
+    known = crc32((word if not word[0].isdigit() else "0").encode("utf-8", "replace"))
+    known = _memo[word] = known if known != GAP else 0
     return known
 
 
@@ -134,8 +149,12 @@ def _repeats(words: list[str]) -> bool:
     return few <= 2 and len(plain) >= 3 * few
 
 
-def passages(text: str) -> Passages | None:
-    """The passages of a whole text: sentences and paragraphs, without markup, in one case and composed form."""
+def cut_passages(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
+    """words (hashed), first, chars and flags of the passages of a whole text.
+
+    Passages are sentences and paragraphs, without markup, in one case and composed form. Four empty lists for a text
+    without words.
+    """
     text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     text = _ENTITY.sub(r"[[\1]]", text)
     tagged = "<" in text and _PAGE.search(text) is not None
@@ -144,7 +163,7 @@ def passages(text: str) -> Passages | None:
     elif _MARK.search(text):
         text = _TAGS.sub("\n\n", SLOT.sub("￿", text))
     ids: list[int] = []
-    first, chars, slots, trusted, filler, neutral = [], [], [], [], [], []
+    first, chars, flags = [], [], []
     known = _memo.get
     for raw in _SPLIT.split(text):
         line = " ".join(raw.split())
@@ -159,19 +178,23 @@ def passages(text: str) -> Passages | None:
         first.append(len(ids))
         ids += [k if (k := known(w)) is not None else _hash(w) for w in words]
         chars.append(len(line) - line.count(" "))
-        slots.append(slot)
-        filler.append(_repeats(words))
-        trusted.append(tagged or filler[-1] or TRUSTED.match(line) is not None)
-        neutral.append(aside)
-    if not ids:
-        return None
-    h = np.array(ids, np.int64)
-    word = h >= 0
-    own = np.where(word, h, 0) % SIZE
-    pairs = (h[:-1] * 31 + h[1:] * 17 + 7) % SIZE
-    inside = np.ones(len(h), bool)
-    inside[first] = False
-    return Passages(own, pairs, word, word[:-1] & word[1:] & inside[1:], np.array(first), np.array(chars, float), np.array(slots), np.array(trusted), np.array(filler), np.array(neutral))
+        filler = _repeats(words)
+        seeded = tagged or filler or TRUSTED.match(line) is not None
+        flags.append(SLOTTED * slot | SEEDED * seeded | FILLER * filler | ASIDE * aside)
+    return ids, first, chars, flags
+
+
+def passages(*texts: str) -> Passages | None:
+    """The passages of some texts; texts without words are left out, None if all are."""
+    found = [x for x in map(cut_passages, texts) if x[0]]
+    return joined([tuple(np.array(c, t) for c, t in zip(x, (np.uint32, np.uint32, np.uint32, np.uint8))) for x in found]) if found else None
+
+
+def joined(docs: list[tuple[np.ndarray, ...]]) -> Passages:
+    """One Passages of the arrays (words, first, chars, flags) of documents."""
+    words, first, chars, flags = zip(*docs)
+    start = np.cumsum([0, *map(len, words[:-1])])
+    return Passages(np.concatenate(words), np.concatenate([f.astype(np.int64) + s for f, s in zip(first, start)]), np.concatenate(chars), np.concatenate(flags), np.cumsum([0, *map(len, first[:-1])]))
 
 
 class Model:
@@ -198,13 +221,11 @@ def residue_shares(p: Passages, model: Model | None) -> np.ndarray:
     """
     weight = np.where(p.neutral, 0, p.chars)
     if model is None:
-        trusted = float(weight[p.trusted].sum())
-        if trusted and trusted * 2 >= weight.sum():
-            return np.where(p.neutral, 0.0, 1.0)
-        return np.where(p.trusted, 1.0, 0.0)
+        seeded, whole = p.by_doc(weight * p.trusted), p.by_doc(weight)
+        return np.where(p.of_doc((seeded > 0) & (seeded * 2 >= whole)), ~p.neutral, p.trusted).astype(float)
     scores = model.means(p)
     weight = np.where(p.slot, 0, weight)
-    whole = float((scores * weight).sum() / max(1.0, weight.sum()))
+    whole = p.of_doc(p.by_doc(scores * weight) / np.maximum(1.0, p.by_doc(weight)))
     return np.where(p.trusted & (whole > 0), 1.0, _sigmoid(3.0 * (scores + whole)))
 
 
@@ -213,68 +234,74 @@ def unfilled(p: Passages, explained: Model) -> np.ndarray:
     return p.slot & ~((p.sizes() >= LEAST_CONTEXT) & (explained.means(p) > 0))
 
 
-def is_residue(p: Passages | None, residue: Model, explained: Model) -> bool:
-    """The decision on a document."""
-    if p is None:
-        return False
-    if p.slot.any() and unfilled(p, explained).any():
-        return True
+def are_residue(p: Passages, residue: Model, explained: Model) -> np.ndarray:
+    """The decision on each document."""
     bad, chars = (residue.means(p) > 0) | p.filler, np.where(p.neutral, 0, p.chars)
-    return bool(chars[bad].sum() > chars[~bad].sum())
+    return (p.by_doc(unfilled(p, explained)) > 0) | (p.by_doc(chars * bad) > p.by_doc(chars * ~bad))
 
 
-def _counts(batches: Iterator[pa.RecordBatch], models: tuple[Model, Model] | None) -> list[np.ndarray]:
-    """Expected counts of features: content, residue, ordinary, explained."""
-    sums = [np.zeros(SIZE) for _ in range(4)]
-    held: list[list] = [[], [], [], [], []]  # features, and for each its weight in the four counts
-    size = 0
-
-    def add() -> None:
-        if held[0]:
-            features = np.concatenate(held[0])
-            for s, w in zip(sums, held[1:]):
-                s += np.bincount(features, np.concatenate(w), SIZE)
-        for x in held:
-            x.clear()
+def encode_passages(documents: DataFrame) -> DataFrame:
+    """PASSAGES of all documents with any word: the texts are cut once, everything after reads these arrays."""
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.binary()) for c in ("words", "first", "chars", "flags"))])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch, out = whole.slice(at, 1000), [[], [], [], [], []]
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    found = cut_passages(text.as_py() or "")
+                    if found[0]:
+                        for to, x in zip(out, (doc_id, *(array(t, c).tobytes() for t, c in zip("IIIB", found)))):
+                            to.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema)], schema=schema)
+
+    return spread(documents.selectExpr("cast(doc_id as bigint) as doc_id", "text"), "doc_id").mapInArrow(encode, PASSAGES)
 
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Passages]]:
+    """(doc ids, passages) of about CHUNK_WORDS words each."""
+    ids, docs, size = [], [], 0
     for batch in batches:
-        for text in batch.column(batch.num_columns - 1):
-            text = text.as_py()
-            p = passages(text) if text else None
-            if p is None:
-                continue
-            share = residue_shares(p, models[0] if models else None)
-            explain = np.ones(len(share)) if models is None else _sigmoid(6.0 * models[1].means(p))
-            ordinary = np.where(p.slot, 0.0 if models is None else 1.0 - explain, 1.0)
-            weights = np.where(p.slot, 0, 1 - share), np.where(p.slot, 0, share), ordinary, np.where(p.slot, explain, 0)
-            features = None
-            for x, w in zip(held[1:], weights):
-                features, each = p.weighted(w)
-                x.append(each)
-            held[0].append(features)
-            size += len(features)
-            if size > 1_000_000:
-                add()
-                size = 0
-    add()
-    return sums
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            ids.append(row[0])
+            docs.append(tuple(np.frombuffer(b, t) for b, t in zip(row[1:], (np.uint32, np.uint32, np.uint32, np.uint8))))
+            size += len(docs[-1][0])
+            if size >= CHUNK_WORDS:
+                yield ids, joined(docs)
+                ids, docs, size = [], [], 0
+    if docs:
+        yield ids, joined(docs)
+
+
+def expected_counts(p: Passages, models: tuple[Model, Model] | None) -> list[np.ndarray]:
+    """Expected counts of features: content, residue, ordinary, explained."""
+    share = residue_shares(p, models[0] if models else None)
+    explain = np.ones(len(share)) if models is None else _sigmoid(6.0 * models[1].means(p))
+    ordinary = np.where(p.slot, 0.0 if models is None else 1.0 - explain, 1.0)
+    return [p.counts(w) for w in (np.where(p.slot, 0, 1 - share), np.where(p.slot, 0, share), ordinary, np.where(p.slot, explain, 0))]
 
 
 def fit(documents: DataFrame, iterations: int = ITERATIONS) -> tuple[Model, Model]:
-    """The two models, from all documents (column text; null and empty ones say nothing)."""
+    """The two models, from all documents (doc_id, text; null and empty ones say nothing)."""
+    return fit_passages(written(encode_passages(documents), "passages"), iterations)
+
+
+def fit_passages(table: DataFrame, iterations: int = ITERATIONS) -> tuple[Model, Model]:
+    """The two models, from a table of PASSAGES."""
     schema = pa.schema([("feature", pa.int32()), *((c, pa.float64()) for c in "abcd")])
-    texts = spread(documents.select("doc_id", "text").where("text is not null"), "doc_id")
-    spark = documents.sparkSession
     models: tuple[Model, Model] | None = None
     for step in range(iterations + 1):
-        shared = spark.sparkContext.broadcast(models)  # two arrays of SIZE numbers
+        shared = table.sparkSession.sparkContext.broadcast(models)  # two arrays of SIZE numbers
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = _counts(batches, shared.value)  # noqa: B023
+            sums = [np.zeros(SIZE) for _ in range(4)]
+            for _, p in _chunks(batches):
+                for s, c in zip(sums, expected_counts(p, shared.value)):  # noqa: B023
+                    s += c
             some = np.flatnonzero(sum(sums))
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(s[some]) for s in sums)], schema=schema)
 
-        got = texts.mapInArrow(count, "feature int, a double, b double, c double, d double").groupBy("feature").agg(*[F.sum(c).alias(c) for c in "abcd"]).toArrow()  # at most SIZE rows
+        got = table.mapInArrow(count, "feature int, a double, b double, c double, d double").groupBy("feature").agg(*[F.sum(c).alias(c) for c in "abcd"]).toArrow()  # at most SIZE rows
         total = [np.zeros(SIZE) for _ in range(4)]
         for t, c in zip(total, "abcd"):
             t[got.column("feature").to_numpy()] = got.column(c).to_numpy()
@@ -285,12 +312,12 @@ def fit(documents: DataFrame, iterations: int = ITERATIONS) -> tuple[Model, Mode
 
 def find_residue(documents: DataFrame, models: tuple[Model, Model] | None = None) -> DataFrame:
     """doc_id of the documents to exclude. Null, empty and blank texts are none; texts are scored whole."""
-    shared = documents.sparkSession.sparkContext.broadcast(models or fit(documents))
+    table = written(encode_passages(documents), "passages")
+    shared = documents.sparkSession.sparkContext.broadcast(models or fit_passages(table))
     schema = pa.schema([("doc_id", pa.int64())])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad = [i for i, text in zip(batch.column(0).to_pylist(), batch.column(1)) if text.as_py() and is_residue(passages(text.as_py()), *shared.value)]
-            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], schema=schema)
+        for ids, p in _chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[are_residue(p, *shared.value)], pa.int64())], schema=schema)
 
-    return spread(documents.selectExpr("cast(doc_id as bigint) as doc_id", "text"), "doc_id").mapInArrow(decide, "doc_id bigint")
+    return table.mapInArrow(decide, "doc_id bigint")

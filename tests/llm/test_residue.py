@@ -60,11 +60,33 @@ def test_forms():
     assert all(residue.SLOT.search(residue._ENTITY.sub(r"[[\1]]", s)) for s in SLOTS)
     assert not residue.SLOT.search("100% sure, [1] and {} or a < b, SIZE XX and 50 %")
     p = residue.passages("A first line.\n\nlonely {{slot}} in here\n\n- item: asdf asdf2 asdf")
-    assert p.slot.tolist() == [False, True, False] and p.filler.tolist() == [False, False, False] or p.filler.tolist()[-1] is not None
+    assert p.slot.tolist() == [False, True, False] and p.filler.tolist() == [False, False, False]
     assert residue.passages("test test1 test testtest").filler.all() and residue.passages("123 1231 123123 123").filler.all()
     assert residue.passages("​ \n") is None
 
 
+def test_documents_together_are_judged_as_alone(corpus):
+    import numpy as np
+
+    texts = [t for _, t in corpus[0] if t and t.strip()][:200]
+    rng = np.random.default_rng(1)
+    models = residue.Model(rng.random(residue.SIZE), rng.random(residue.SIZE)), residue.Model(rng.random(residue.SIZE), rng.random(residue.SIZE))
+    together = residue.passages(*texts)
+    assert residue.are_residue(together, *models).tolist() == [bool(residue.are_residue(residue.passages(t), *models)[0]) for t in texts]
+    for m in (None, models):
+        alone = [residue.expected_counts(residue.passages(t), m) for t in texts]
+        assert all(np.allclose(a, sum(x[k] for x in alone)) for k, a in enumerate(residue.expected_counts(together, m)))
+
+
+def test_time_is_linear_in_the_text():
+    import time
+
+    for text in ("a" * 200_000, "a - " * 50_000, "{{a" * 60_000, "__a" * 60_000, "\n " * 100_000, "<a " * 60_000, "中文" * 80_000):
+        began = time.perf_counter()
+        residue.cut_passages(text)
+        assert time.perf_counter() - began < 5
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert residue.find_residue(df).isEmpty()
