@@ -35,13 +35,13 @@ def unframe(records: DataFrame) -> DataFrame:
 def parse(records: DataFrame, dataset: Dataset) -> DataFrame:
     """Adds is_envelope, metadata, payload and event_ts.
 
+    is_envelope: the body is an object whose metadata and payload are objects; found by the one parse that all else uses.
     A leaf of another type is null and its siblings stay; a body that is no JSON gives null structs. Unknown fields are
     ignored. event_ts is null if unreadable; a date alone is its midnight.
     """
-    begins = lambda path: F.coalesce(F.get_json_object("body", path).startswith("{"), F.lit(False))
-    once = F.struct((begins("$.metadata") & begins("$.payload")).alias("is_envelope"), F.from_json("body", dataset.envelope, {"mode": "PERMISSIVE"}).alias("e"))
-    parsed = computed_once(records, "_p", once)
-    return parsed.withColumns({"is_envelope": F.col("_p.is_envelope"), "metadata": F.col("_p.e.metadata"), "payload": F.col("_p.e.payload"), "event_ts": F.col("_p.e.metadata.event_timestamp").try_cast("timestamp")}).drop("_p")
+    parsed = computed_once(records, "_p", F.from_json("body", dataset.envelope, {"mode": "PERMISSIVE"}))
+    whole = F.coalesce(F.ltrim("body", F.lit(" \n\r\t")).startswith("{"), F.lit(False)) & F.col("_p.metadata").isNotNull() & F.col("_p.payload").isNotNull()
+    return parsed.withColumns({"is_envelope": whole, "metadata": F.col("_p.metadata"), "payload": F.col("_p.payload"), "event_ts": F.col("_p.metadata.event_timestamp").try_cast("timestamp")}).drop("_p")
 
 
 def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:

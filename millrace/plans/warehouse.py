@@ -36,11 +36,14 @@ class Warehouse:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def table(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+        """The table, built if it is not there. by: a folder per value, so that filters on it (also those that come from a
+        joined dimension) skip files; rows are rebalanced by it, which splits large values and merges small ones."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _BUILT:
             path = work_path(self.spark, f"wh-{name}")
-            build().write.mode("overwrite").parquet(path)
+            rows = build()
+            (rows.hint("rebalance", by).write.partitionBy(by) if by else rows.write).mode("overwrite").parquet(path)
             _BUILT[key] = path
         return self.spark.read.parquet(_BUILT[key])
 
@@ -96,15 +99,15 @@ class Warehouse:
 
     @property
     def fact_sales(self) -> DataFrame:
-        return self.table("fact_sales", lambda: fact_sales(self.stg_lines, self.dim_date, self.dim_store, self.dim_product, self.dim_customer))
+        return self.table("fact_sales", lambda: fact_sales(self.stg_lines, self.dim_date, self.dim_store, self.dim_product, self.dim_customer), "date_key")
 
     @property
     def fact_inventory(self) -> DataFrame:
-        return self.table("fact_inventory", lambda: fact_inventory(self.stg_movements, self.dim_date, self.dim_store, self.dim_product))
+        return self.table("fact_inventory", lambda: fact_inventory(self.stg_movements, self.dim_date, self.dim_store, self.dim_product), "date_key")
 
     @property
     def snapshots(self) -> DataFrame:
-        return self.table("snapshots", lambda: inventory_snapshots(self.fact_inventory, self.dim_store, self.dim_product, SNAPSHOT_FROM, SNAPSHOT_TO))
+        return self.table("snapshots", lambda: inventory_snapshots(self.fact_inventory, self.dim_store, self.dim_product, SNAPSHOT_FROM, SNAPSHOT_TO), "date_key")
 
 
 def stage_stores(reference: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def verdicts(spark, values, dataset=POS):
 def test_rules_of_sales(spark):
     drop = lambda d, k: {x: y for x, y in d.items() if x != k}
     cases = [
-        (framed(envelope()), None), (b"no frame", "ENV-001"), (None, "ENV-001"), (b"\0\0\0\0\1", "ENV-001"), (framed(envelope()[:40]), "ENV-002"), (framed(b"\xff\xfe"), "ENV-002"), (framed(b"\xff\xfe", 128), "ENV-002"), (framed(b'{"metadata": [], "payload": {}}'), "ENV-002"), (framed(b'{"metadata": "{", "payload": {}}'), "ENV-002"),
+        (framed(envelope()), None), (b"no frame", "ENV-001"), (None, "ENV-001"), (b"\0\0\0\0\1", "ENV-001"), (framed(envelope()[:40]), "ENV-002"), (framed(b"\xff\xfe"), "ENV-002"), (framed(b"\xff\xfe", 128), "ENV-002"), (framed(b'{"metadata": [], "payload": {}}'), "ENV-002"), (framed(b"[" + envelope() + b"]"), "ENV-002"), (framed(json.dumps({"metadata": [META], "payload": SALE}).encode()), "ENV-002"), (framed(json.dumps({"metadata": META, "payload": json.dumps(SALE)}).encode()), "ENV-002"), (framed(b"\n " + envelope()), None), (framed(envelope() + b" garbage"), None), (framed(b"null"), "ENV-002"), (framed(b'{"metadata": "{", "payload": {}}'), "ENV-002"),
         (framed(json.dumps({"metadata": drop(META, "event_id"), "payload": SALE}).encode(), 200), "ENV-003"), (framed(envelope(meta={"event_type": "product.updated"})), "ENV-004"), (framed(envelope(meta={"schema_version": "2.0"})), "ENV-005"), (framed(envelope(meta={"schema_version": "1.1"}, extra="x")), None),
         (framed(envelope(meta={"event_timestamp": "2026-09-01T14:00:00Z"})), "ENV-006"), (framed(envelope(meta={"event_timestamp": "soon"})), "ENV-006"), (framed(envelope(meta={"event_timestamp": "2025-01-01T00:00:00Z"})), None), (framed(envelope(meta={"event_timestamp": "2026-09-01T12:05:00Z"})), None),
         (framed(envelope(store_id=None)), "POS-001"), (framed(envelope(line_items=[])), "POS-002"), (framed(envelope(line_items=[None])), "POS-002"), (framed(envelope(line_items=line(quantity="two"))), "POS-002"), (framed(envelope(line_items=line(quantity=2.0))), "POS-002"), (framed(envelope(line_items=line(quantity=-1))), "POS-003"),
