@@ -12,7 +12,7 @@ from millrace.operators.decode import kafka_shaped
 from millrace.operators.windows import product_units_1h, store_revenue_5m, watermarked
 from millrace.plans.analytics import sql
 from millrace.plans.warehouse import Warehouse, business_duplicates, typed_movements, typed_sales
-from millrace.session import work_path
+from millrace.session import spread, work_path
 from millrace.sources import generator, landing
 from millrace.sources.kafka import file_stream
 from millrace.streaming.jobs import start_ingest, start_realtime, validated
@@ -28,7 +28,7 @@ def now() -> Column:
 
 def judged(w: Warehouse, table: str) -> DataFrame:
     """A table's events, framed and judged as the ingest would (decode, parse, rules)."""
-    return validated(kafka_shaped(w.raw(table), TABLES[table]), TABLES[table], now())
+    return validated(kafka_shaped(spread(w.raw(table), "record_id"), TABLES[table]), TABLES[table], now())
 
 
 def _rule_query(table: str):
