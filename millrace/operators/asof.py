@@ -42,16 +42,14 @@ def dyadic_nodes(versions: DataFrame, low: Column, high: Column, origin: int, le
     return out.withColumn("_n", F.explode(nodes)).select(*versions.columns, F.col("_n.level").alias("level"), F.col("_n.node").alias("node"))
 
 
-def attach_as_of(events: DataFrame, versions: DataFrame, entity: str, at: str, low: str, high: str, carry: list[str], precedence: list[str], event_key: list[str], leaf_bits: int = LEAF_BITS) -> DataFrame:
-    """Each event once, with struct `version` of the carried columns of the version valid at the event's time, or null.
+def match_as_of(events: DataFrame, versions: DataFrame, entity: str, at: str, low: str, high: str, carry: list[str], precedence: list[str], event_key: list[str], leaf_bits: int = LEAF_BITS) -> DataFrame:
+    """event_key, entity, at and struct `version` of the events that have a version; see attach_as_of.
 
-    at, low, high: microseconds (bigint); valid means low <= at < high. entity: column of both sides. event_key: columns
-    that identify an event; rows equal in these, entity and time come out once (with the greatest of the other columns). Among overlapping versions the one with the greatest
-    `precedence` columns wins (nulls lowest, then the carried values), whatever the order of rows. Null entity or time:
-    version null. A version with null entity or bound matches nothing. Extra columns of either side do not clash: events
-    keep theirs, of versions only `carry` is taken, inside the struct.
+    Only these columns are multiplied by the levels, and only matches are combined, map-side before the shuffle.
     """
-    span = events.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    key = [*dict.fromkeys([*event_key, entity, at])]
+    slim = events.select(*key).where(F.col(entity).isNotNull() & F.col(at).isNotNull())
+    span = slim.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
     side = versions.select(F.col(entity).alias("_e"), F.col(low).alias("_low"), F.col(high).alias("_high"), F.struct(*[F.col(c).alias(f"p{k}") for k, c in enumerate(precedence)], F.struct(*carry).alias("v")).alias("_v")).where("_e is not null")
     origin = span.a if span.a is not None else 0
     leaves = max(1, ((span.b - origin) >> leaf_bits) + 1) if span.a is not None else 1
@@ -63,12 +61,27 @@ def attach_as_of(events: DataFrame, versions: DataFrame, entity: str, at: str, l
     else:
         nodes, salt = nodes.withColumn("_ns", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), F.pmod(F.xxhash64(*event_key), F.lit(SALTS)).cast("int")
     leaf = F.shiftright(F.col(at) - origin, leaf_bits)
-    # Level -1 matches nothing: it carries events through that have no version.
-    keys = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(leaf, k).alias("node")) for k in range(levels)], F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("node")))
-    probes = events.withColumn("_k", F.explode(keys)).withColumn("_kl", F.col("_k.level")).withColumn("_kn", F.col("_k.node")).withColumn("_ks", salt).drop("_k")
+    keys = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(leaf, k).alias("node")) for k in range(levels)])
+    probes = slim.withColumn("_ks", salt).withColumn("_k", F.explode(keys)).withColumn("_kl", F.col("_k.level")).withColumn("_kn", F.col("_k.node")).drop("_k")
     hit = (F.col(entity) == F.col("_e")) & (F.col("_kl") == F.col("level")) & (F.col("_kn") == F.col("node")) & (F.col("_ks") == F.col("_ns")) & (F.col(at) >= F.col("_low")) & (F.col(at) < F.col("_high"))
-    met = probes.join(nodes, hit, "left").where("_kl = -1 or _v is not null")
-    same = [*dict.fromkeys([*event_key, entity, at])]
-    rest = [c for c in events.columns if c not in same]
-    best = met.groupBy(*same).agg(F.max("_v").alias("_v"), F.max(F.struct(*rest)).alias("_r") if rest else F.max(F.lit(0)).alias("_r"))
-    return best.select(*[F.col(c) if c in same else F.col(f"_r.{c}").alias(c) for c in events.columns], F.col("_v.v").alias("version"))
+    best = probes.join(nodes, hit).groupBy(*key).agg(F.max("_v").alias("_v"))
+    return best.select(*key, F.col("_v.v").alias("version"))
+
+
+def attach_as_of(events: DataFrame, versions: DataFrame, entity: str, at: str, low: str, high: str, carry: list[str], precedence: list[str], event_key: list[str], leaf_bits: int = LEAF_BITS, probe: DataFrame | None = None) -> DataFrame:
+    """events, every row as it is, with struct `version` of the carried columns of the version valid at its time, or null.
+
+    at, low, high: microseconds (bigint); valid means low <= at < high. entity: column of both sides. event_key: columns
+    that spread a hot entity (together with entity and time they need not be unique; nulls in them are equal). Among
+    overlapping versions the one with the greatest `precedence` columns wins (nulls lowest, then the carried values),
+    whatever the order of rows. Null entity or time: version null. A version with null entity or bound matches nothing.
+    Extra columns of either side do not clash: events keep theirs, of versions only `carry` is taken, inside the struct.
+    probe: a cheaper table with the same event_key, entity and at as events, to match from.
+    """
+    found = match_as_of(events if probe is None else probe, versions, entity, at, low, high, carry, precedence, event_key, leaf_bits)
+    key = [c for c in found.columns if c != "version"]
+    side = found.select(*[F.col(c).alias(f"_m{k}") for k, c in enumerate(key)], "version")
+    same = F.lit(True)
+    for k, c in enumerate(key):
+        same &= (F.col(c) == F.col(f"_m{k}")) if c in (entity, at) else F.col(c).eqNullSafe(F.col(f"_m{k}"))
+    return events.join(side, same, "left").select(*events.columns, "version")

@@ -266,16 +266,17 @@ def with_inferred_customers(dim: DataFrame, used: DataFrame) -> DataFrame:
     return dim.unionByName(inferred, allowMissingColumns=True).unionByName(_reserved(dim, "customer_id", "customer_key", ["loyalty_tier"], "Guest (no loyalty account)"), allowMissingColumns=True)
 
 
-def _as_of(df: DataFrame, dim: DataFrame, key: str, carry: list[str], unique: list[str]) -> DataFrame:
+def _as_of(df: DataFrame, dim: DataFrame, key: str, carry: list[str], unique: list[str], probe: DataFrame | None = None) -> DataFrame:
+    timed = lambda x: x.withColumn("_at_us", micros(F.col("event_ts")))
     sides = dim.select(key, micros(F.col("effective_from_utc")).alias("_low_us"), micros(F.col("effective_to_utc")).alias("_high_us"), "version_number", *carry)
-    return attach_as_of(df.withColumn("_at_us", micros(F.col("event_ts"))), sides, key, "_at_us", "_low_us", "_high_us", carry, ["_low_us", "version_number"], unique).drop("_at_us")
+    return attach_as_of(timed(df), sides, key, "_at_us", "_low_us", "_high_us", carry, ["_low_us", "version_number"], unique, probe=None if probe is None else timed(probe)).drop("_at_us")
 
 
 def fact_sales(lines: DataFrame, dates: DataFrame, stores: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
     """One row per transaction line with the keys valid at its time; -1 unknown, -2 guest."""
     unknown = lambda k: F.lit(k).cast("decimal(20,0)")
     out = _as_of(lines, products, "product_id", ["product_key", "unit_cost"], ["transaction_id", "line_number"]).withColumnRenamed("version", "p")
-    out = _as_of(out, customers, "customer_id", ["customer_key"], ["transaction_id", "line_number"]).withColumnRenamed("version", "c")
+    out = _as_of(out, customers, "customer_id", ["customer_key"], ["transaction_id", "line_number"], lines).withColumnRenamed("version", "c")
     out = out.join(stores.select("store_id", "store_key"), "store_id", "left").join(dates.where("date_key > 0").select("date_key", F.col("full_date").alias("business_date")), "business_date", "left")
     return out.select(
         md5_lower64(F.concat("transaction_id", F.lit("|"), F.col("line_number").cast("string"))).alias("sales_line_key"), F.coalesce("date_key", F.lit(UNKNOWN)).alias("date_key"), F.coalesce("store_key", unknown(UNKNOWN)).alias("store_key"), F.coalesce("p.product_key", unknown(UNKNOWN)).alias("product_key"),
