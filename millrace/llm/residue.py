@@ -35,16 +35,17 @@ SIZE, ITERATIONS, SMOOTH = 1 << 18, 2, 0.5
 LEAD = 20.0
 
 # Spellings of placeholders (fixed values): {{x}} {{{x}}} ${x} $(x) #{x} {!x} {x} <%= x %> {% x %} %x% %%x%% %s @@x@@
-# __x__ [[x]] [x] <<x>> <x goes here> *|x|* 【x】 「填写x」 (x to be filled in) XXXX undefined.
+# __x__ [[x]] [x] <<x>> <x goes here> *|x|* 【x】 「填写x」 (x to be filled in) XXXX undefined. A blank may be any run of blanks
+# or line breaks: SLOT reads the text as it is typeset.
 _NAME = r"[\w.\-]+(?:\s*\|\s*\w+)?"
 SLOT = re.compile(
     r"\{\{\{?\s*" + _NAME + r"\s*\}\}\}?|[$#]\{\s*" + _NAME + r"\s*\}|\$\(\s*" + _NAME + r"\s*\)|\{!?\s*" + _NAME + r"\s*\}|<%=?\s*" + _NAME + r"\s*%>|\{%\s*" + _NAME + r"\s*%\}"
     r"|%%" + _NAME + r"%%|%[A-Za-z_.一-鿿]{2,40}%|(?<![\w%])%[sd]\b|@@" + _NAME + r"@@|__[A-Za-z一-鿿][\w.]*?__|\[\[" + _NAME + r"\]\]|<<" + _NAME + r">>|\*\|" + _NAME + r"\|\*"
-    r"|\[(?:insert|masukkan)\s[^\[\]\n]{1,40}\]|\[[A-Za-z_.一-鿿]{2,40}\]|<[\w.]+ goes here>|【[^【】\n]{1,30}】|「填写[^「」\n]{0,30}」|\([\w.]+ to be filled in\)|\bX{3,}\b|\bundefined\b",
+    r"|\[(?:insert|masukkan)\s+[^\[\]]{1,40}\]|\[[A-Za-z_.一-鿿]{2,40}\]|<[\w.]+\s+goes\s+here>|【[^【】]{1,30}】|「填写[^「」]{0,30}」|\([\w.]+\s+to\s+be\s+filled\s+in\)|\bX{3,}\b|\bundefined\b",
     re.IGNORECASE,
 )
 # What every placeholder has (a cheap test before SLOT).
-_MARK = re.compile(r"[{}\[\]%@<>【「*]|\$\(|__|to be filled|XXX|undefined", re.IGNORECASE)
+_MARK = re.compile(r"[{}\[\]%@<>【「*]|\$\(|__|to\s+be\s+filled|XXX|undefined", re.IGNORECASE)
 # How residue begins (fixed values).
 TRUSTED = re.compile(
     r"(?:http\s*|error\s*|ralat\s*|错误\s*)?[45]\d\d\s*(?:$|[:：]|bad request|unauthorized|forbidden|not found|page not found|request timeout|too many requests|internal server error|bad gateway|service unavailable|gateway timeout)"

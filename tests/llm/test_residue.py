@@ -65,6 +65,14 @@ def test_forms():
     assert residue.passages("​ \n") is None
 
 
+def test_forms_with_any_blanks():
+    for s in SLOTS:
+        for blank in ("  ", "\n", " \n  ", "\u00a0 "):
+            p = residue.passages(f"A first line of this text.\n\nThe maker is {s.replace(' ', blank)} on this shelf.")
+            assert p.slot.any(), (s, blank)
+    assert residue.passages("See <maker  goes   here> now.").slot.tolist() == [True] == residue.passages("See (harga  to be\nfilled in) now.").slot.tolist()
+
+
 def test_documents_together_are_judged_as_alone(corpus):
     import numpy as np
 
