@@ -26,7 +26,7 @@ PAYLOAD = {
     "customer_events": [("payload.customer_id", False, "like", CUSTOMER), ("payload.loyalty_tier", False, "oneof", ("BASIC", "SILVER", "GOLD", "PLATINUM")), ("payload.home_store_id", False, "like", STORE), ("payload.city", False, "length", (1, 100)), ("payload.state", False, "length", (1, 100)), ("payload.signup_date", False, "like", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), ("payload.birth_year", True, "range", (1900, 2015)), ("payload.email_sha256", True, "like", "^[0-9a-f]{64}$"), ("payload.marketing_opt_in", False, "oneof", None)],
     "product_events": [("payload.product_id", False, "like", PRODUCT), ("payload.product_name", False, "length", (1, 200)), *[(f"payload.{c}", False, "length", (1, 100)) for c in ("brand", "category", "subcategory")], ("payload.list_price", False, "range", (0, 100_000)), ("payload.unit_cost", False, "range", (0, 100_000)), ("payload.currency", False, "like", CURRENCY), ("payload.unit_of_measure", False, "oneof", ("EACH", "KG", "LITRE", "PACK")), ("payload.is_active", False, "oneof", None)],
 }
-_LINE = [("line_number", "l.line_number < 1"), ("product_id", f"not regexp_like(l.product_id, '{PRODUCT}')"), ("quantity", "l.quantity < 1 or l.quantity > 999"), ("unit_price", "l.unit_price < 0 or l.unit_price > 100000"), ("discount_amount", "l.discount_amount < 0 or l.discount_amount > 100000")]
+LINE = [("line_number", "l.line_number < 1"), ("product_id", f"not regexp_like(l.product_id, '{PRODUCT}')"), ("quantity", "l.quantity < 1 or l.quantity > 999"), ("unit_price", "l.unit_price < 0 or l.unit_price > 100000"), ("discount_amount", "l.discount_amount < 0 or l.discount_amount > 100000")]
 MESSAGES = {"like": "does not match its pattern", "range": "is out of range", "oneof": "is none of its values", "length": "has the wrong length"}
 
 
@@ -53,5 +53,5 @@ def violations(df: DataFrame, dataset: Dataset) -> DataFrame:
     found = [F.when(F.expr(f"({bad})"), F.lit(f"{path}: {message}")) for path, message, bad in constraints(dataset)]
     if dataset.name == "pos_transactions":
         found.append(F.when(F.expr("payload.line_items is null or size(payload.line_items) = 0"), F.lit("payload.line_items: is missing")))
-        found += [F.when(F.expr(f"exists(payload.line_items, l -> l is null or l.{c} is null or {bad})"), F.lit(f"payload.line_items.{c}: is missing or wrong")) for c, bad in _LINE]
+        found += [F.when(F.expr(f"exists(payload.line_items, l -> l is null or l.{c} is null or {bad})"), F.lit(f"payload.line_items.{c}: is missing or wrong")) for c, bad in LINE]
     return df.withColumn("violations", F.slice(F.array_compact(F.array(*found)), 1, MOST))

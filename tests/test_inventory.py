@@ -41,3 +41,29 @@ def test_contract_of_producers(spark):
     df = spark.createDataFrame([(0, json.dumps(good)), (1, json.dumps(bad))], "i int, j string").select("i", F.from_json("j", POS.envelope).alias("e")).select("i", "e.*")
     got = {r.i: r.violations for r in contract.violations(df, POS).collect()}
     assert got[0] == [] and got[1] == ["metadata.event_id: does not match its pattern", "payload.store_id: is missing", "payload.register_id: does not match its pattern", "payload.payment_method: is none of its values", "payload.currency: does not match its pattern"]
+
+
+def test_contract_covers_the_sales(spark, data):
+    import re
+    from collections import Counter
+
+    got = {(r.source_table, r.violation): r.records for r in __spark_entry__.queries()["flt03_contract_all"](spark, data).collect()}
+    part = {(r.source_table, r.violation): r.records for r in __spark_entry__.queries()["flt03_contract"](spark, data).collect()}
+    assert {k: n for k, n in got.items() if k[0] != "pos_transactions"} == part
+    out = lambda x, least, most: x is None or x < least or x > most
+    wrong = {"line_number": lambda x: out(x, 1, 1 << 62), "product_id": lambda x: x is None or not re.search(contract.PRODUCT, x), "quantity": lambda x: out(x, 1, 999), "unit_price": lambda x: out(x, 0, 100_000), "discount_amount": lambda x: out(x, 0, 100_000)}
+    want = Counter()
+    for row in spark.read.parquet(f"{data}/pos_transactions.parquet").toLocalIterator():
+        found = []
+        for path, nullable, kind, arg in contract.METADATA + contract.PAYLOAD["pos_transactions"]:
+            head, name = path.split(".")
+            x = row[head][name] if row[head] is not None else None
+            if x is None:
+                found += [] if nullable else [f"{path}: is missing"]
+            elif not re.search(arg, x) if kind == "like" else x not in arg if kind == "oneof" else x < arg[0]:
+                found.append(f"{path}: {contract.MESSAGES[kind]}")
+        lines = row.payload.line_items if row.payload is not None else None
+        found += [] if lines else ["payload.line_items: is missing"]
+        found += [f"payload.line_items.{c}: is missing or wrong" for c, bad in wrong.items() if any(x is None or bad(x[c]) for x in lines or [])]
+        want.update(("pos_transactions", v) for v in found[: contract.MOST])
+    assert want and {k: n for k, n in got.items() if k[0] == "pos_transactions"} == dict(want)
