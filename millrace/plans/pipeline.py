@@ -87,7 +87,7 @@ class Pipeline:
         dates, dim_stores = w.dim_date(spark), self._read("dim_store", batch)
         self._facts(batch, "fact_sales", "stg_lines", lines, lambda df: w.fact_sales(df, dates, dim_stores, products, customers), {"product_id": "stg_products", "customer_id": "stg_customers"})
         self._facts(batch, "fact_inventory", "stg_movements", moves, lambda df: w.fact_inventory(df, dates, dim_stores, products), {"product_id": "stg_products"})
-        self._snapshots(batch, dim_stores, products)
+        self._snapshots(batch, dim_stores, products, self.latest("dim_product"))
         sales = self.days("fact_sales", batch)
         if sales is not None:
             stock = self.days("fact_inventory", batch)
@@ -138,10 +138,33 @@ class Pipeline:
             which = reduce(DataFrame.unionByName, touched).distinct()
             self._write(name, batch, build(lines.join(which, "business_date", "left_semi")), "date_key")
 
-    def _snapshots(self, batch: int, stores: DataFrame, products: DataFrame) -> None:
-        """Snapshots of the last SNAPSHOT_DAYS days up to the newest movement."""
+    def _snapshots(self, batch: int, stores: DataFrame, products: DataFrame, before: DataFrame | None) -> None:
+        """Snapshots from the earliest day that the batch changes up to that of the newest movement.
+
+        These are the last SNAPSHOT_DAYS days, the days after the newest one written so far, those from the first movement
+        of the batch on, and those from the beginning of a changed version of a product on. before: the products before
+        the batch.
+        """
         stock = self.days("fact_inventory", batch)
         last = stock.agg(F.to_date(F.max("event_ts_local")).alias("d")).first().d if stock is not None else None
-        if last is not None:
-            first = last.fromordinal(last.toordinal() - SNAPSHOT_DAYS + 1)
-            self._write("snapshots", batch, w.inventory_snapshots(stock, stores, products, str(first), str(last)), "date_key")
+        if last is None:
+            return
+        day, starts = F.to_date("event_ts_local"), [last.fromordinal(last.toordinal() - SNAPSHOT_DAYS + 1)]
+        held = self.days("snapshots")  # as committed
+        written = held.agg(F.max("snapshot_date").alias("d")).first().d if held is not None else None
+        if written is None:
+            starts.append(stock.agg(F.min(day).alias("d")).first().d)
+        else:
+            starts.append(written.fromordinal(written.toordinal() + 1))
+            if batch in self._batches("stg_movements", batch):
+                starts.append(self._read("stg_movements", batch).agg(F.min(day).alias("d")).first().d)
+            if before is not None:
+                # Each version ends where the next begins, so the beginnings say all. A day takes the version valid at its
+                # end, in local time: the day before that of a beginning in UTC is never concerned, but costs little.
+                version = ["product_id", "product_key", "unit_cost", "effective_from_utc"]
+                old, new = before.select(version), products.select(version)
+                changed = old.exceptAll(new).unionByName(new.exceptAll(old))
+                moved = stock.groupBy("product_id").agg(F.min(day).alias("moved"))
+                starts.append(changed.join(moved, "product_id").agg(F.min(F.greatest("moved", F.date_sub(F.to_date("effective_from_utc"), 1))).alias("d")).first().d)
+        first = min(d for d in starts if d is not None)
+        self._write("snapshots", batch, w.inventory_snapshots(stock, stores, products, str(first), str(last)), "date_key")

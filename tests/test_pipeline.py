@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from millrace.plans.pipeline import Pipeline
-from millrace.plans.warehouse import Warehouse
+from millrace.plans.warehouse import SNAPSHOT_FROM, SNAPSHOT_TO, Warehouse, inventory_snapshots
 
 from .conftest import rows
 
@@ -43,3 +43,41 @@ def test_batches_reach_what_one_build_gives(spark, data, tmp_path):
     # A reader that opens the tables anew sees the committed state; a run that died is not seen.
     p._write("stg_lines", 3, p.grown("stg_lines").limit(1))
     assert Pipeline(spark, str(tmp_path / "wh")).grown("stg_lines").count() == sales.count()
+
+
+def snapshots_of_one_build(p, first, last):
+    return inventory_snapshots(p.days("fact_inventory"), p.latest("dim_store"), p.latest("dim_product"), first, last)
+
+
+def all_columns(df):
+    return rows(df.select("date_key", "snapshot_date", *[F.col(c).cast("string") for c in ("store_key", "product_key")], "store_id", "product_id", "closing_on_hand", "closing_value", "units_received", "units_sold", "units_adjusted", "avg_daily_units_sold_7d", "is_below_reorder_point"))
+
+
+def test_batches_leave_no_day_without_snapshots(spark, data, tmp_path):
+    p = Pipeline(spark, str(tmp_path / "wh"))
+    whole = Warehouse(spark, data)
+    for k in range(3):
+        assert p.run(k, thirds(spark, data, k), "2026-04-21 00:00:00")
+    kept = p.days("snapshots").where(f"snapshot_date between '{SNAPSHOT_FROM}' and '{SNAPSHOT_TO}'")
+    assert kept.select("date_key").distinct().count() == whole.snapshots.select("date_key").distinct().count() > 40
+    assert all_columns(kept) == all_columns(whole.snapshots)
+
+
+def test_late_movements_products_and_gaps_correct_old_snapshots(spark, data, tmp_path):
+    p = Pipeline(spark, str(tmp_path / "wh"))
+    raw = {t: spark.read.parquet(f"{data}/{t}.parquet") for t in (*TABLES, "store_reference")}
+    moves, top = raw["inventory_events"], raw["inventory_events"].agg(F.max("record_id")).first()[0]
+    early, late = F.col("record_id") <= top // 5, F.col("record_id") > top // 2
+    first = {t: df.limit(0) for t, df in raw.items()} | {"store_reference": raw["store_reference"], "pos_transactions": raw["pos_transactions"].limit(5), "customer_events": raw["customer_events"].limit(5), "product_updates": raw["product_updates"].where("record_id % 3 = 0")}
+    batches = [
+        first | {"inventory_events": moves.where(early & (F.col("record_id") % 2 == 0))},
+        {"inventory_events": moves.where(late)},  # days without any movement lie between
+        {"inventory_events": moves.where(early & (F.col("record_id") % 2 == 1))},  # late
+        {"product_updates": raw["product_updates"].where("record_id % 3 <> 0")},  # late versions, no movement
+    ]
+    for k, batch in enumerate(batches):
+        assert p.run(k, batch, "2026-04-21 00:00:00")
+        days = p.days("snapshots").agg(F.min("snapshot_date").cast("string"), F.max("snapshot_date").cast("string")).first()
+        assert all_columns(p.days("snapshots")) == all_columns(snapshots_of_one_build(p, *days)), k
+        moved = p.days("fact_inventory").agg(F.min(F.to_date("event_ts_local")).cast("string"), F.max(F.to_date("event_ts_local")).cast("string")).first()
+        assert days[0] <= moved[0] and days[1] == moved[1], k
