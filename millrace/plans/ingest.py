@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millrace.contracts import DATASETS, POS, TABLES, Dataset
+from millrace.contracts import DATASETS, INVENTORY, POS, TABLES, Dataset
 from millrace.operators import alerts, contract, outputs, quality, reconcile, redrive
 from millrace.operators.decode import kafka_shaped
 from millrace.operators.windows import product_units_1h, store_revenue_5m, watermarked
@@ -38,28 +38,37 @@ def _rule_query(table: str):
     return query
 
 
-def ing_audit(w: Warehouse) -> DataFrame:
-    """Audit rows of one batch of sales per partition."""
-    a = outputs.audit(judged(w, "pos_transactions"), POS, QUERY_ID, BATCH)
+SALES = {"pos_transactions": POS}
+
+
+def _each(w: Warehouse, tables: dict[str, Dataset], f) -> DataFrame:
+    """f (judged events, dataset) of some tables, united."""
+    return reduce(DataFrame.unionByName, [f(judged(w, t), d) for t, d in tables.items()])
+
+
+def ing_audit(w: Warehouse, tables: dict[str, Dataset] = SALES) -> DataFrame:
+    """Audit rows of one batch of sales per partition; ing_audit_all: of all topics."""
+    a = _each(w, tables, lambda df, d: outputs.audit(df, d, QUERY_ID, BATCH))
     return a.select("dataset", "kafka_topic", "kafka_partition", "min_offset", "max_offset", "records_read", "records_valid", "records_rejected", "records_warned", "min_event_timestamp", "max_event_timestamp")
 
 
-def ing_landed(w: Warehouse) -> DataFrame:
-    return outputs.landed(judged(w, "pos_transactions"), QUERY_ID, BATCH).select("kafka_topic", "kafka_partition", "kafka_offset", "kafka_timestamp", "kafka_key", "schema_id", "event_id", "event_type", "schema_version", "event_timestamp", "producer", "correlation_id", "dq_warnings")
+def ing_landed(w: Warehouse, tables: dict[str, Dataset] = SALES) -> DataFrame:
+    return _each(w, tables, lambda df, d: outputs.landed(df, QUERY_ID, BATCH)).select("kafka_topic", "kafka_partition", "kafka_offset", "kafka_timestamp", "kafka_key", "schema_id", "event_id", "event_type", "schema_version", "event_timestamp", "producer", "correlation_id", "dq_warnings")
 
 
-def ing_dead_letters(w: Warehouse) -> DataFrame:
-    return outputs.dead_letters(judged(w, "pos_transactions"), QUERY_ID, BATCH).select("source_topic", "source_partition", "source_offset", "error_code", "error_stage", "event_id")
+def ing_dead_letters(w: Warehouse, tables: dict[str, Dataset] = SALES) -> DataFrame:
+    return _each(w, tables, lambda df, d: outputs.dead_letters(df, QUERY_ID, BATCH)).select("source_topic", "source_partition", "source_offset", "error_code", "error_stage", "event_id")
 
 
-def dlq_inspect(w: Warehouse) -> DataFrame:
-    dead = outputs.dead_records(judged(w, "pos_transactions"), POS).withColumn("timestamp", now())
+def dlq_inspect(w: Warehouse, tables: dict[str, Dataset] = SALES) -> DataFrame:
+    dead = _each(w, tables, outputs.dead_records).withColumn("timestamp", now())
     return redrive.inspect(dead).select("error_code", "error_stage", "records")
 
 
-def dlq_redrive(w: Warehouse) -> DataFrame:
+def dlq_redrive(w: Warehouse, tables: dict[str, Dataset] = SALES) -> DataFrame:
     """Outcomes of redriving everything rejected by POS-002."""
-    return redrive.redrive(outputs.dead_records(judged(w, "pos_transactions"), POS), POS, "POS-002")[1]
+    reports = _each(w, tables, lambda df, d: redrive.redrive(outputs.dead_records(df, d), d, "POS-002")[1])
+    return reports.groupBy("outcome").agg(F.sum("records").alias("records"))
 
 
 def str_store_revenue_5m(w: Warehouse) -> DataFrame:
@@ -84,10 +93,9 @@ def _raw_ids(w: Warehouse) -> dict[str, DataFrame]:
 
 
 def dq_results(w: Warehouse) -> DataFrame:
-    """SF-001 to SF-008 over the whole warehouse (SF-005 over the audit of one ingest batch)."""
-    pos = judged(w, "pos_transactions")
-    audit = outputs.audit(pos, POS, QUERY_ID, BATCH)
-    raw = outputs.landed(pos, QUERY_ID, BATCH).select(F.lit(POS.name).alias("dataset"), "spark_query_id", "spark_batch_id", "kafka_topic", "kafka_partition", "kafka_offset")
+    """SF-001 to SF-008 over the whole warehouse (SF-005 over the audit of one ingest batch of each topic)."""
+    audit = _each(w, TABLES, lambda df, d: outputs.audit(df, d, QUERY_ID, BATCH))
+    raw = _each(w, TABLES, lambda df, d: outputs.landed(df, QUERY_ID, BATCH).select(F.lit(d.name).alias("dataset"), "spark_query_id", "spark_batch_id", "kafka_topic", "kafka_partition", "kafka_offset"))
     key = lambda df, c: df.select(c)
     return quality.run_checks([
         quality.sf001(_raw_ids(w)), quality.sf002(business_duplicates(typed_sales(w.raw("pos_transactions")), "pos_transactions", "transaction_id")), quality.sf003(w.fact_sales, w.dim_product, w.dim_customer), quality.sf004(w.fact_sales, w.fact_inventory), quality.sf005(audit, raw),
@@ -96,17 +104,19 @@ def dq_results(w: Warehouse) -> DataFrame:
     ]).select("rule_id", "severity", "status", "observed", "threshold")
 
 
-def rec_report(w: Warehouse) -> DataFrame:
-    """Reconciliation of the sales topic: log, audit, landed and staged."""
-    pos = judged(w, "pos_transactions")
-    log = kafka_shaped(w.raw("pos_transactions"), POS).groupBy("topic", "partition").agg(F.min("offset").alias("low"), (F.max("offset") + 1).alias("high"))
-    landed = pos.where("is_valid").select(F.col("topic").alias("kafka_topic"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), F.col("payload.transaction_id").alias("business_key"))
-    staged = w.stg_lines.agg(F.count_distinct("transaction_id").alias("staged_keys")).select(F.lit(POS.topic).alias("topic"), "staged_keys")
-    return reconcile.reconcile(reconcile.gather(log, outputs.audit(pos, POS, QUERY_ID, BATCH), landed, staged)).select("topic", "in_retention", "not_yet_processed", "spark_read", "spark_valid", "spark_rejected", "raw_offsets", "not_yet_loaded", "duplicates", "balanced", "unexplained", "status")
+def rec_report(w: Warehouse, tables: dict[str, Dataset] = SALES) -> DataFrame:
+    """Reconciliation of the sales topic: log, audit, landed and staged; rec_report_all: of all topics."""
+    log = reduce(DataFrame.unionByName, [kafka_shaped(w.raw(t), d) for t, d in tables.items()]).groupBy("topic", "partition").agg(F.min("offset").alias("low"), (F.max("offset") + 1).alias("high"))
+    audit = _each(w, tables, lambda df, d: outputs.audit(df, d, QUERY_ID, BATCH))
+    key = lambda d: (F.col(f"payload.{d.business_key}") if d.business_key else F.lit(None).cast("string")).alias("business_key")
+    landed = _each(w, tables, lambda df, d: df.where("is_valid").select(F.col("topic").alias("kafka_topic"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), key(d)))
+    staged = [{POS: w.stg_lines, INVENTORY: w.stg_movements}[d].agg(F.count_distinct(d.business_key).alias("staged_keys")).select(F.lit(d.topic).alias("topic"), "staged_keys") for d in tables.values() if d.business_key]
+    return reconcile.reconcile(reconcile.gather(log, audit, landed, reduce(DataFrame.unionByName, staged))).select("topic", "in_retention", "not_yet_processed", "spark_read", "spark_valid", "spark_rejected", "raw_offsets", "not_yet_loaded", "duplicates", "balanced", "unexplained", "status")
 
 
 def rec_gate(w: Warehouse) -> DataFrame:
-    return reconcile.gate(rec_report(w), dq_results(w))
+    """The gate over all topics and rules."""
+    return reconcile.gate(rec_report(w, TABLES), dq_results(w))
 
 
 def wh_freshness(w: Warehouse) -> DataFrame:
@@ -235,6 +245,25 @@ _BAD_SALE = ", ".join(
     + [f"case when len(list_filter({_L}, lambda l: l is null or l.{c} is null or {bad.replace('regexp_like', 'regexp_matches')})) > 0 then '{_L}.{c}: is missing or wrong' end" for c, bad in contract.LINE]
 )
 SQL["flt03_contract_all"] = f"{SQL['flt03_contract']} union all select 'pos_transactions' as source_table, v as violation, count(*) as records from (select unnest(list_filter([{_BAD_SALE}], lambda x: x is not null)[:{contract.MOST}]) as v from pos_transactions) group by 2"
+
+
+def _sql_of(name: str, table: str) -> str:
+    """The SQL of one of the sales' queries over another table."""
+    d, out = TABLES[table], SQL[name].replace(_POS, _judged_sql(table))
+    return out.replace("'pos.transactions'", f"'{d.topic}'").replace("'pos_transactions' as dataset", f"'{d.name}' as dataset")
+
+
+def _rec_sql(table: str) -> str:
+    d = TABLES[table]
+    twice = f"(select count(*) - count(distinct payload.{d.business_key}) from v)" if d.business_key else "null::bigint"
+    return "select * from (" + _sql_of("rec_report", table).replace("(select count(*) - count(distinct payload.transaction_id) from v)", twice) + ")"
+
+
+ALL = (ing_audit, ing_landed, ing_dead_letters, dlq_inspect, dlq_redrive, rec_report)
+SQL |= {f"{n}_all": " union all ".join(f"select * from ({_sql_of(n, t)})" for t in TABLES) for n in ("ing_audit", "ing_landed", "ing_dead_letters")}
+SQL |= {f"{n}_all": f"select {by}, cast(sum(records) as bigint) as records from ({' union all '.join(f'select * from ({_sql_of(n, t)})' for t in TABLES)}) group by all" for n, by in (("dlq_inspect", "error_code, error_stage"), ("dlq_redrive", "outcome"))}
+SQL["rec_report_all"] = " union all ".join(map(_rec_sql, TABLES))
 FUNCTIONS = {f.__name__: f for f in (flt03_contract, flt03_contract_all, str_stream_windows, snk_landing_cycle, ing_audit, ing_landed, ing_dead_letters, dlq_inspect, dlq_redrive, str_store_revenue_5m, str_product_units_1h, wh_business_duplicates, dq_results, rec_report, rec_gate, wh_freshness, alr_fired, gen_dry_run)} | {f"rules_{t}": _rule_query(t) for t in TABLES}
+FUNCTIONS |= {f"{f.__name__}_all": (lambda w, f=f: f(w, TABLES)) for f in ALL}
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(Warehouse(spark, sf_dir))) for name, f in FUNCTIONS.items()}
 assert set(DATASETS) == {d.name for d in TABLES.values()}

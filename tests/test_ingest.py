@@ -150,3 +150,25 @@ def test_alerts(spark):
     assert fired([("component_up", m, 0) for m in (20, 28, 30)]) == {"ALR-11"}
     assert fired([("loader_up", m, m % 2) for m in (10, 11, 12, 13, 14)]) == {"ALR-10"}
     assert fired([("dlq_offset_total", 20, 0), ("dlq_offset_total", 29, 200)]) == {"ALR-12"}
+
+
+def test_all_topics_are_reconciled(spark, data, monkeypatch):
+    """A topic other than the sales whose accounts don't agree is reported and closes the gate."""
+    from millrace.contracts import DATASETS
+    from millrace.plans import ingest
+    from millrace.plans.warehouse import Warehouse
+
+    w = Warehouse(spark, data)
+    audit, gate, clean = outputs.audit, reconcile.gate, []
+    monkeypatch.setattr(reconcile, "gate", lambda report, quality: gate(report, quality.where("rule_id = 'SF-005'")))
+    for lost in (None, *DATASETS):
+        if lost not in (None, "pos_transactions"):
+            # One valid record less than landed, in each partition.
+            monkeypatch.setattr(outputs, "audit", lambda df, d, *a, lost=lost: audit(df, d, *a).withColumn("records_valid", F.col("records_valid") - (1 if d.name == lost else 0)))
+        elif lost:
+            continue
+        status = {r.topic: r.status for r in ingest.QUERIES["rec_report_all"](spark, data).collect()}
+        assert status == {d.topic: "INVESTIGATE" if n == lost else "OK" for n, d in DATASETS.items()}
+        assert {r.rule_id: r.status for r in ingest.dq_results(w).where("rule_id = 'SF-005'").collect()} == {"SF-005": "FAIL" if lost else "PASS"}
+        clean.append(ingest.rec_gate(w).first().passed)
+    assert clean == [True, False, False, False]
