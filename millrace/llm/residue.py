@@ -1,324 +1,218 @@
 """Template residue, filler, error pages and scripts-required notices in place of real content.
 
-Two positive-unlabelled naive Bayes models over hashed words and word pairs of passages, fitted by expectation
-maximisation over all documents:
-
-* residue against content: positives are passages that begin as error pages, notices or filler do (TRUSTED, or mere
-  repetition); every other passage is unlabelled. The expectation mixes a passage's own score with its document's, so
-  wording that goes along with trusted passages is learned.
-* explained against unfilled placeholders: passages without any placeholder are trusted as ordinary; those with one are
-  unlabelled. Where the words around a placeholder also occur without one, it was left unfilled; words that only ever
-  occur around placeholders (how templates work) explain it.
-
-A document is residue if it has an unfilled placeholder, or if its residue passages outweigh its content. Page
+Two positive-unlabelled naive Bayes mixtures over hashed features of passages (llm/passages.py), fitted by expectation
+maximisation over all documents until the expected mass of both settles:
+
+* residue against content. Positives are the passages that begin as error pages, notices or filler do, or merely repeat a
+  word, in documents that mostly consist of such; every other passage is unlabelled. Features are words, neighbours and
+  two marks (mere repetition, markup of a page). Each document has a share of residue of its own, drawn to the corpus's
+  share, so wording that goes along with trusted passages is learned, and a lone odd sentence among content is not.
+* explained against unfilled placeholders. Passages without placeholder are trusted as ordinary, passages with one that
+  speak of templates are trusted as explaining; the rest is unlabelled. Words that occur without placeholders, and above
+  all places (the words before and after) where text has other values, mean that a placeholder was left unfilled.
+  Spellings that text uses for other ends too ([word], XXX, undefined) need such a place.
+
+A document is residue if it has an unfilled placeholder, or if the residue of its passages outweighs its content. Page
 furniture and headings count for neither. The models are SIZE numbers each, whatever the corpus; each iteration sums
 partial counts of the tasks, so nothing else is gathered.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from array import array
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.llm.passages import ASIDE, GAP_STRONG, GAP_WEAK, PLACES, SEEDED, SIZE, SLOTTED, TAUGHT, Passages, blocks
 from millrace.session import spread, written
 
-#: Hashed features of a model; iterations after the first count; smoothing.
-SIZE, ITERATIONS, SMOOTH = 1 << 18, 2, 0.5
-#: How often more frequent around placeholders than elsewhere words must be, to be taken for explaining at first.
+#: Smoothing of counts; greatest weight of a feature around placeholders (log ratio); EM ends when neither expected mass
+#: moves by more than this share of itself, or after so many iterations.
+SMOOTH, MOST_WEIGHT, SETTLED, ITERATIONS = 0.5, 4.0, 0.02, 8
+#: How much more frequent around placeholders than elsewhere words must be, to be taken for explaining at first.
 LEAD = 20.0
+#: As how many independent features a passage's words count (evidence is normalised by length), and each mark.
+TEMPER, MARK = 3.0, 6.0
+#: A document's share of residue is drawn to the corpus's as if that were a text of so many characters.
+OWN = 40.0
+#: The beginning share of explaining passages among those with placeholders.
+SHARE_EXPLAINED = 0.2
+#: Log odds against a placeholder of those spellings that text also uses for other ends.
+WEAK_DOUBT = 3.0
+#: Numbers that an iteration sums besides the counts.
+SUMS = 6
+PASSAGES = "ids binary, words binary, first binary, chars binary, flags binary, docs binary"
+
 
-# Spellings of placeholders (fixed values): {{x}} {{{x}}} ${x} $(x) #{x} {!x} {x} <%= x %> {% x %} %x% %%x%% %s @@x@@
-# __x__ [[x]] [x] <<x>> <x goes here> *|x|* 【x】 「填写x」 (x to be filled in) XXXX undefined. A blank may be any run of blanks
-# or line breaks: SLOT reads the text as it is typeset.
-_NAME = r"[\w.\-]+(?:\s*\|\s*\w+)?"
-SLOT = re.compile(
-    r"\{\{\{?\s*" + _NAME + r"\s*\}\}\}?|[$#]\{\s*" + _NAME + r"\s*\}|\$\(\s*" + _NAME + r"\s*\)|\{!?\s*" + _NAME + r"\s*\}|<%=?\s*" + _NAME + r"\s*%>|\{%\s*" + _NAME + r"\s*%\}"
-    r"|%%" + _NAME + r"%%|%[A-Za-z_.一-鿿]{2,40}%|(?<![\w%])%[sd]\b|@@" + _NAME + r"@@|__[A-Za-z一-鿿][\w.]*?__|\[\[" + _NAME + r"\]\]|<<" + _NAME + r">>|\*\|" + _NAME + r"\|\*"
-    r"|\[(?:insert|masukkan)\s+[^\[\]]{1,40}\]|\[[A-Za-z_.一-鿿]{2,40}\]|<[\w.]+\s+goes\s+here>|【[^【】]{1,30}】|「填写[^「」]{0,30}」|\([\w.]+\s+to\s+be\s+filled\s+in\)|\bX{3,}\b|\bundefined\b",
-    re.IGNORECASE,
-)
-# What every placeholder has (a cheap test before SLOT).
-_MARK = re.compile(r"[{}\[\]%@<>【「*]|\$\(|__|to\s+be\s+filled|XXX|undefined", re.IGNORECASE)
-# How residue begins (fixed values).
-TRUSTED = re.compile(
-    r"(?:http\s*|error\s*|ralat\s*|错误\s*)?[45]\d\d\s*(?:$|[:：]|bad request|unauthorized|forbidden|not found|page not found|request timeout|too many requests|internal server error|bad gateway|service unavailable|gateway timeout)"
-    r"|(?:http|error|ralat|错误)\s*[45]\d\d|\{\"status\":\s*[45]\d\d|unhandled exception|access denied|akses ditolak|拒绝访问|we are down for maintenance|laman ini sedang diselenggara|网站维护中"
-    r"|(?:please |you need to |sila )?(?:enable|aktifkan|启用) ?javascript|请启用 ?javascript|javascript is (?:disabled|required)|this (?:page|site|view|tool) (?:needs|depends on|works only with|requires) (?:client-side )?(?:java)?scripts?|laman ini (?:memerlukan|tidak berfungsi)|本站需要脚本"
-    r"|oops|whoops|hmm|oh no|alamak|糟糕|sorry|unfortunately|maaf|harap maaf|抱歉|something went wrong|an? (?:unexpected )?(?:error|fault) occurred|your session has expired|sesi anda telah tamat|登录已过期|could not connect|too many visitors|upstream timed out|the page you|halaman yang anda|the server did not|您要找的|您没有权限|提示[:：]|要查看价格|为了正常使用|继续之前"
-    r"|lorem.ipsum|sample text|your content goes here|text goes here|placeholder for|this is a dummy|click to edit|copy to follow|heading one|teks contoh|kandungan akan menyusul|isi kandungan di sini|ruang untuk|此处为示例|在此输入|文案待补充|测试测试|本段仅用于排版|some words about|here comes the description|sedikit ayat tentang|\(text for|\(teks untuk|关于.{1,60}的内容[,，]尚未|这里放.{1,60}的说明",
-    re.IGNORECASE,
-)
-# Navigation, rights, feedback and loading lines: short parts between bars, dashes or arrows, or well-known beginnings.
-FURNITURE = re.compile(r"(?:\(c\)|©).*|all rights reserved\.?|was this page helpful\?.*|yes / no|menu\b.{0,30}|learn how|#{1,6}\s.*|loading\.*", re.IGNORECASE)
-_BARS, _NO_PART = re.compile(r"\s[|>\-·/]\s"), re.compile(r"[|>.!?]")
-_TAGS = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>", re.IGNORECASE)
-_PAGE = re.compile(r"<(?:html|title|noscript|h1)\b", re.IGNORECASE)
-_ENTITY = re.compile(r"&lt;([\w.]{1,40})&gt;")
-# Ends of passages: sentence ends, blank lines, list items; a single line break may be mere wrapping.
-_SPLIT = re.compile(r"(?<=[^.][.!?])\s+|(?<=[。！？])|\n[^\S\n]*\n\s*|\n(?=\s*[-*•#]\s)")
-#: Least number of features around a placeholder that can explain it.
-LEAST_CONTEXT = 10
-_BULLET = re.compile(r"^[\s\-*•>\"“]+(?=\S)")
-_DOUBLED = re.compile(r"^(.+?)\1+$")
-_WORD = re.compile("￿|[^\\W\\d_一-鿿]+|[一-鿿]|\\d+")
-_HIDDEN = re.compile("[￿​-‏⁠﻿­]")
-
-
-#: A placeholder among hashed words, and words scored at once.
-GAP, CHUNK_WORDS = 0xFFFFFFFF, 300_000
-# Bits of a passage's flags.
-SLOTTED, SEEDED, FILLER, ASIDE = 1, 2, 4, 8
-PASSAGES = "doc_id bigint, words binary, first binary, chars binary, flags binary"
-
-
-class Passages:
-    """The passages of some documents, as arrays.
-
-    own, pairs: hashed words and neighbours, own_ok, pair_ok: those that count (not a placeholder, not across passages);
-    first: the first word of each passage, docs: the first passage of each document; of each passage chars, slot,
-    trusted, filler (mere repetition), neutral.
-    """
-
-    def __init__(self, words: np.ndarray, first: np.ndarray, chars: np.ndarray, flags: np.ndarray, docs: np.ndarray):
-        h = words.astype(np.int64)
-        word = h != GAP
-        inside = np.ones(len(h), bool)
-        inside[first] = False
-        self.own, self.pairs = h % SIZE, (h[:-1] * 31 + h[1:] * 17 + 7) % SIZE
-        self.own_ok, self.pair_ok = word, word[:-1] & word[1:] & inside[1:]
-        self.first, self.docs, self.chars = first, docs, chars.astype(float)
-        self.slot, self.trusted, self.filler, self.neutral = ((flags & bit) > 0 for bit in (SLOTTED, SEEDED, FILLER, ASIDE))
-
-    def sums(self, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Sums by passage of a number per word and one per pair."""
-        return np.add.reduceat(np.where(self.own_ok, own, 0) + np.append(np.where(self.pair_ok, pairs, 0), 0), self.first)
-
-    def sizes(self) -> np.ndarray:
-        """Features of each passage."""
-        return self.sums(np.ones(len(self.own)), np.ones(len(self.pairs)))
-
-    def by_doc(self, values: np.ndarray) -> np.ndarray:
-        """Sums by document of a number per passage."""
-        return np.add.reduceat(np.asarray(values, float), self.docs)
-
-    def of_doc(self, values: np.ndarray) -> np.ndarray:
-        """A number per document, for each of its passages."""
-        return np.repeat(values, np.diff(self.docs, append=len(self.first)))
-
-    def counts(self, weight: np.ndarray) -> np.ndarray:
-        """Counts of all features, weighted by passage."""
-        each = np.repeat(weight, np.diff(self.first, append=len(self.own)))
-        return np.bincount(self.own, np.where(self.own_ok, each, 0), SIZE) + np.bincount(self.pairs, np.where(self.pair_ok, each[:-1], 0), SIZE)
-
-
-_memo: dict[str, int] = {"￿": GAP}
-
-
-def _hash(word: str) -> int:
-    if len(_memo) > 500_000:
-        _memo.clear()
-        _memo["￿"] = GAP
-    known = crc32((word if not word[0].isdigit() else "0").encode("utf-8", "replace"))
-    known = _memo[word] = known if known != GAP else 0
-    return known
-
-
-def furniture(line: str) -> bool:
-    """Whether a line is page furniture or a heading."""
-    if FURNITURE.fullmatch(line):
-        return True
-    parts = _BARS.split(line) if len(line) <= 250 else ()
-    return 2 <= len(parts) <= 9 and all(0 < len(x) <= 25 and not _NO_PART.search(x) for x in parts)
-
-
-def _repeats(words: list[str]) -> bool:
-    """One or two words over and over (test test test, asdf asdf2)."""
-    if len(set(words)) > 10:
-        return False
-    plain = [_DOUBLED.sub(r"\1", w) if len(w) <= 40 else w for w in words if w != "￿" and not w.isdigit()]
-    if not plain:  # 123 1231 123123
-        short = min(map(len, words))
-        plain = [w[:short] for w in words]
-    few = len(set(plain))
-    return few <= 2 and len(plain) >= 3 * few
-
-
-def cut_passages(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
-    """words (hashed), first, chars and flags of the passages of a whole text.
-
-    Passages are sentences and paragraphs, without markup, in one case and composed form. Four empty lists for a text
-    without words.
-    """
-    text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
-    text = _ENTITY.sub(r"[[\1]]", text)
-    tagged = "<" in text and _PAGE.search(text) is not None
-    if tagged:
-        text = _TAGS.sub("\n\n", text)
-    elif _MARK.search(text):
-        text = _TAGS.sub("\n\n", SLOT.sub("￿", text))
-    ids: list[int] = []
-    first, chars, flags = [], [], []
-    known = _memo.get
-    for raw in _SPLIT.split(text):
-        line = " ".join(raw.split())
-        if not line:
-            continue
-        slot = "￿" in line
-        aside = not slot and furniture(line)
-        line = _BULLET.sub("", line).lower()
-        words = _WORD.findall(line)
-        if not words:
-            continue
-        first.append(len(ids))
-        ids += [k if (k := known(w)) is not None else _hash(w) for w in words]
-        chars.append(len(line) - line.count(" "))
-        filler = _repeats(words)
-        seeded = tagged or filler or TRUSTED.match(line) is not None
-        flags.append(SLOTTED * slot | SEEDED * seeded | FILLER * filler | ASIDE * aside)
-    return ids, first, chars, flags
-
-
-def passages(*texts: str) -> Passages | None:
-    """The passages of some texts; texts without words are left out, None if all are."""
-    found = [x for x in map(cut_passages, texts) if x[0]]
-    return joined([tuple(np.array(c, t) for c, t in zip(x, (np.uint32, np.uint32, np.uint32, np.uint8))) for x in found]) if found else None
-
-
-def joined(docs: list[tuple[np.ndarray, ...]]) -> Passages:
-    """One Passages of the arrays (words, first, chars, flags) of documents."""
-    words, first, chars, flags = zip(*docs)
-    start = np.cumsum([0, *map(len, words[:-1])])
-    return Passages(np.concatenate(words), np.concatenate([f.astype(np.int64) + s for f, s in zip(first, start)]), np.concatenate(chars), np.concatenate(flags), np.cumsum([0, *map(len, first[:-1])]))
-
-
-class Model:
-    """Log ratios of two hashed distributions, in the order (against, in favour)."""
-
-    def __init__(self, against: np.ndarray, favour: np.ndarray, lead: float = 1.0):
-        a, f = against + SMOOTH, favour + SMOOTH * max(favour.sum(), 1.0) / max(against.sum(), 1.0)
-        self.ratio = (np.log(f / f.sum()) - np.log(a / a.sum()) - np.log(lead)).astype(np.float32)
-
-    def means(self, p: Passages) -> np.ndarray:
-        """Mean score of each passage's features; 0 for a passage without any."""
-        return p.sums(self.ratio[p.own], self.ratio[p.pairs]) / np.maximum(p.sizes(), 1)
+Counts = tuple[np.ndarray, ...]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def residue_shares(p: Passages, model: Model | None) -> np.ndarray:
-    """Expected share of residue of each passage.
-
-    At first: 1 for trusted passages and for all of a document that mostly consists of such, else 0. Later by the
-    passage's own and its document's mean score.
-    """
-    weight = np.where(p.neutral, 0, p.chars)
-    if model is None:
-        seeded, whole = p.by_doc(weight * p.trusted), p.by_doc(weight)
-        return np.where(p.of_doc((seeded > 0) & (seeded * 2 >= whole)), ~p.neutral, p.trusted).astype(float)
-    scores = model.means(p)
-    weight = np.where(p.slot, 0, weight)
-    whole = p.of_doc(p.by_doc(scores * weight) / np.maximum(1.0, p.by_doc(weight)))
-    return np.where(p.trusted & (whole > 0), 1.0, _sigmoid(3.0 * (scores + whole)))
-
-
-def unfilled(p: Passages, explained: Model) -> np.ndarray:
-    """The passages with a placeholder that nothing around it explains."""
-    return p.slot & ~((p.sizes() >= LEAST_CONTEXT) & (explained.means(p) > 0))
-
-
-def are_residue(p: Passages, residue: Model, explained: Model) -> np.ndarray:
-    """The decision on each document."""
-    bad, chars = (residue.means(p) > 0) | p.filler, np.where(p.neutral, 0, p.chars)
-    return (p.by_doc(unfilled(p, explained)) > 0) | (p.by_doc(chars * bad) > p.by_doc(chars * ~bad))
+def _ratio(favour: np.ndarray, against: np.ndarray, discount: float = 0.0, lead: float = 1.0, most: float = MOST_WEIGHT) -> np.ndarray:
+    """Log ratios of two smoothed distributions; what neither has counts 0. discount: taken off the counts in favour, so
+    that what was seen only once in favour says nothing. lead: how often more frequent a feature must be to speak in favour."""
+    f = np.maximum(favour - discount, 0)
+    k = lead * max(f.sum(), 1.0) / max(against.sum(), 1.0)
+    return np.clip(np.log((f / k + SMOOTH) / (against + SMOOTH)), -most, most).astype(np.float32)
+
+
+class Models:
+    """Log ratios of the features of residue and of explaining passages and of places, and the log odds of explaining."""
+
+    def __init__(self, fixed: Counts, counts: Counts, sums: np.ndarray, first: bool):
+        lead = LEAD if first else 1.0
+        ordinary, places = fixed
+        residue, explained, around = counts
+        self.residue = _ratio(residue, ordinary - residue, most=10.0)
+        self.explained = _ratio(explained, ordinary, 1.0, lead)
+        places = np.maximum(places - np.median(places), 0)  # less what unrelated places add to a cell
+        self.places = _ratio(around, places, 1.0, lead * 3)  # of the three kinds only the nearest is counted around placeholders
+        self.known = _ratio(np.zeros(PLACES), places)
+        self.share = min(max(sums[0] / max(sums[5], 1.0), 1e-4), 0.5)
+        # Odds of explaining without and with words that speak of placeholders, smoothed by one of each kind.
+        self.odds = np.log((sums[[1, 3]] + 1) / (sums[[2, 4]] - sums[[1, 3]] + 1))
+
+
+class Scored:
+    """Passages with what the models read in them, worked out once."""
+
+    def __init__(self, p: Passages):
+        self.p, self.n = p, len(p.first)
+        self.where, self.what, mark = p.features()
+        self.slots = np.flatnonzero(p.words >= GAP_WEAK)
+        self.of, self.places = p.owner()[self.slots], p.places(self.slots)
+        self.marks = np.where(mark, MARK, 1.0)
+        self.slot, self.aside = p.has(SLOTTED), p.has(ASIDE)
+        self.weight = np.where(self.aside, 0.0, p.chars)
+
+    def residue(self, m: Models | None) -> np.ndarray:
+        """The probability that each passage is residue.
+
+        Without a model: 1 for the seeded, for others the share of such in their document.
+        """
+        p, weight, seeded = self.p, self.weight, self.p.has(SEEDED)
+        share = lambda q: p.of_doc((OWN * m.share + p.by_doc(q * weight)) / (OWN + p.by_doc(weight)))
+        if m is None:
+            return np.where(seeded, 1.0, np.where(self.aside, 0.0, p.of_doc(p.by_doc(weight * seeded) / np.maximum(p.by_doc(weight), 1.0))))
+        own = TEMPER * np.bincount(self.where, self.marks * m.residue[self.what], self.n) / np.maximum(np.bincount(self.where, self.marks, self.n), 1.0)
+        q = _sigmoid(own)
+        for _ in range(4):
+            s = share(q)
+            q = _sigmoid(own + np.log(s / (1 - s)))
+        return q
+
+    def explained(self, m: Models | None) -> np.ndarray:
+        """The probability of each placeholder that it is none that was left unfilled.
+
+        Neighbours repeat what words say, so n features count as half. A spelling that text also uses for other ends is
+        one only in a place where, with one more word on either side, text has other values.
+        """
+        of, taught = self.of, self.p.has(TAUGHT)[self.of]
+        if m is None:
+            return np.where(taught, 1.0, SHARE_EXPLAINED)
+        near, left, right = self.places
+        around = (np.bincount(self.where, m.explained[self.what], self.n) / 2)[of]
+        weak = WEAK_DOUBT + 2 * np.maximum(m.known[left], m.known[right]) + np.maximum(around, 0)
+        return _sigmoid(m.odds[taught.astype(int)] + np.where(self.p.words[self.slots] == GAP_STRONG, around + 2 * m.places[near], weak))
+
+    def fixed(self) -> Counts:
+        """Counts of the features and places of ordinary passages."""
+        free = ~self.slot
+        return np.bincount(self.what, free[self.where], SIZE), sum(np.bincount(x, minlength=PLACES) for x in self.p.places(np.flatnonzero(free[self.p.owner()])))
+
+    def counts(self, m: Models | None) -> tuple[Counts, np.ndarray]:
+        """Expected counts of the features of residue and of explaining passages and of the places of explaining ones;
+        sums: residue, and explaining and all placeholders without and with words that speak of placeholders; passages
+        without placeholder."""
+        q, x = np.where(self.slot, 0.0, self.residue(m)), self.explained(m)
+        each, taught = np.zeros(self.n), self.p.has(TAUGHT)[self.of]
+        np.maximum.at(each, self.of, x)
+        count = lambda w: np.bincount(self.what, w[self.where], SIZE)
+        return (count(q), count(each), np.bincount(self.places[0], x, PLACES)), np.array([q.sum(), x[~taught].sum(), (~taught).sum(), x[taught].sum(), taught.sum(), (~self.slot).sum()])
+
+    def decide(self, m: Models) -> np.ndarray:
+        """Whether each document is residue."""
+        q, weight = self.residue(m), self.weight
+        left = np.zeros(self.n)
+        np.maximum.at(left, self.of, self.explained(m) < 0.5)
+        return (self.p.by_doc(left) > 0) | (self.p.by_doc(weight * q) > self.p.by_doc(weight * (1 - q)))
+
+
+def _packed(ids: np.ndarray, p: Passages) -> list[bytes]:
+    return [ids.tobytes(), *(getattr(p, name).astype(kind).tobytes() for name, kind in Passages.KINDS)]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Passages]]:
+    """What encode_passages packed."""
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            yield np.frombuffer(row[0], np.int64), Passages(*(np.frombuffer(x, kind) for x, (_, kind) in zip(row[1:], Passages.KINDS)))
 
 
 def encode_passages(documents: DataFrame) -> DataFrame:
-    """PASSAGES of all documents with any word: the texts are cut once, everything after reads these arrays."""
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.binary()) for c in ("words", "first", "chars", "flags"))])
+    """PASSAGES of all documents with any word, a row per block of documents: the texts are cut once, all else reads these."""
+    schema = pa.schema([(c.split()[0], pa.binary()) for c in PASSAGES.split(", ")])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch, out = whole.slice(at, 1000), [[], [], [], [], []]
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    found = cut_passages(text.as_py() or "")
-                    if found[0]:
-                        for to, x in zip(out, (doc_id, *(array(t, c).tobytes() for t, c in zip("IIIB", found)))):
-                            to.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema)], schema=schema)
+        for batch in batches:
+            for ids, p in blocks(batch.column(0).to_pylist(), batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _packed(ids, p)], schema=schema)
 
     return spread(documents.selectExpr("cast(doc_id as bigint) as doc_id", "text"), "doc_id").mapInArrow(encode, PASSAGES)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Passages]]:
-    """(doc ids, passages) of about CHUNK_WORDS words each."""
-    ids, docs, size = [], [], 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            ids.append(row[0])
-            docs.append(tuple(np.frombuffer(b, t) for b, t in zip(row[1:], (np.uint32, np.uint32, np.uint32, np.uint8))))
-            size += len(docs[-1][0])
-            if size >= CHUNK_WORDS:
-                yield ids, joined(docs)
-                ids, docs, size = [], [], 0
-    if docs:
-        yield ids, joined(docs)
-
-
-def expected_counts(p: Passages, models: tuple[Model, Model] | None) -> list[np.ndarray]:
-    """Expected counts of features: content, residue, ordinary, explained."""
-    share = residue_shares(p, models[0] if models else None)
-    explain = np.ones(len(share)) if models is None else _sigmoid(6.0 * models[1].means(p))
-    ordinary = np.where(p.slot, 0.0 if models is None else 1.0 - explain, 1.0)
-    return [p.counts(w) for w in (np.where(p.slot, 0, 1 - share), np.where(p.slot, 0, share), ordinary, np.where(p.slot, explain, 0))]
-
-
-def fit(documents: DataFrame, iterations: int = ITERATIONS) -> tuple[Model, Model]:
-    """The two models, from all documents (doc_id, text; null and empty ones say nothing)."""
+def fit(documents: DataFrame, iterations: int = ITERATIONS) -> Models:
+    """The models, from all documents (doc_id, text; null and empty ones say nothing)."""
     return fit_passages(written(encode_passages(documents), "passages"), iterations)
 
 
-def fit_passages(table: DataFrame, iterations: int = ITERATIONS) -> tuple[Model, Model]:
-    """The two models, from a table of PASSAGES."""
-    schema = pa.schema([("feature", pa.int32()), *((c, pa.float64()) for c in "abcd")])
-    models: tuple[Model, Model] | None = None
-    for step in range(iterations + 1):
-        shared = table.sparkSession.sparkContext.broadcast(models)  # two arrays of SIZE numbers
+def fit_passages(table: DataFrame, iterations: int = ITERATIONS) -> Models:
+    """The models, from a table of PASSAGES."""
+    schema = pa.schema([("kind", pa.int32()), ("feature", pa.int32()), ("value", pa.float64())])
+    sizes = (SIZE, SIZE, PLACES, SUMS, SIZE, PLACES)  # residue, explained, their places, sums; once: ordinary, places
+    models: Models | None = None
+    before, fixed = np.zeros(SUMS), ()
+    for step in range(iterations):
+        shared = table.sparkSession.sparkContext.broadcast(models)  # 2 * SIZE + 2 * PLACES numbers
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = [np.zeros(SIZE) for _ in range(4)]
-            for _, p in _chunks(batches):
-                for s, c in zip(sums, expected_counts(p, shared.value)):  # noqa: B023
-                    s += c
-            some = np.flatnonzero(sum(sums))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(s[some]) for s in sums)], schema=schema)
-
-        got = table.mapInArrow(count, "feature int, a double, b double, c double, d double").groupBy("feature").agg(*[F.sum(c).alias(c) for c in "abcd"]).toArrow()  # at most SIZE rows
-        total = [np.zeros(SIZE) for _ in range(4)]
-        for t, c in zip(total, "abcd"):
-            t[got.column("feature").to_numpy()] = got.column(c).to_numpy()
-        models = Model(total[0], total[1]), Model(total[2], total[3], LEAD if step == 0 else 1.0)
+            m = shared.value  # noqa: B023
+            totals = [np.zeros(n) for n in (sizes if m is None else sizes[:4])]
+            for _, p in _blocks(batches):
+                scored = Scored(p)
+                counts, sums = scored.counts(m)
+                for total, part in zip(totals, (*counts, sums, *(scored.fixed() if m is None else ()))):
+                    total += part
+            for kind, total in enumerate(totals):
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32)), pa.array(total[some])], schema=schema)
+
+        got = table.mapInArrow(count, "kind int, feature int, value double").groupBy("kind", "feature").agg(F.sum("value").alias("value")).toArrow()  # at most sum(sizes) rows
+        kinds, features, values = (got.column(c).to_numpy() for c in ("kind", "feature", "value"))
+        totals = [np.bincount(features[kinds == k], values[kinds == k], n) for k, n in enumerate(sizes)]
+        fixed = fixed or tuple(totals[4:])
+        models, sums = Models(fixed, tuple(totals[:3]), totals[3], step == 0), totals[3]
+        shared.unpersist()
+        if step > 1 and (np.abs(sums - before)[:2] <= SETTLED * np.maximum(before[:2], 1)).all():
+            break
+        before = sums
     assert models
     return models
 
 
-def find_residue(documents: DataFrame, models: tuple[Model, Model] | None = None) -> DataFrame:
+def find_residue(documents: DataFrame, models: Models | None = None) -> DataFrame:
     """doc_id of the documents to exclude. Null, empty and blank texts are none; texts are scored whole."""
     table = written(encode_passages(documents), "passages")
     shared = documents.sparkSession.sparkContext.broadcast(models or fit_passages(table))
     schema = pa.schema([("doc_id", pa.int64())])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, p in _chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[are_residue(p, *shared.value)], pa.int64())], schema=schema)
+        for ids, p in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[Scored(p).decide(shared.value)], pa.int64())], schema=schema)
 
     return table.mapInArrow(decide, "doc_id bigint")
