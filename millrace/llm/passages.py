@@ -204,7 +204,12 @@ def cut_passages(plain: list[str], page: np.ndarray) -> tuple[Passages, np.ndarr
     passage = np.cumsum(fresh) - 1
     heads = np.flatnonzero(fresh)
 
-    # Words: runs of letters or digits, single Han characters, placeholders, and codes (letters, hyphens and digits in a row).
+    # Words: runs of letters, numbers (digits, also with points, commas, colons or strokes between), single Han characters,
+    # placeholders, and codes (letters, hyphens and digits in a row).
+    digit = kind == _DIGIT
+    inner = np.flatnonzero(np.isin(cp[1:-1], (44, 46, 47, 58)) & digit[:-2] & digit[2:]) + 1
+    kind = kind.copy()
+    kind[inner] = _DIGIT
     spelt = (kind == _LETTER) | (kind == _DIGIT)
     hyphen = np.flatnonzero((cp[1:-1] == 45) & spelt[:-2] & spelt[2:]) + 1
     if len(hyphen):
@@ -241,6 +246,7 @@ def cut_passages(plain: list[str], page: np.ndarray) -> tuple[Passages, np.ndarr
     width = 1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF)
     offset = np.concatenate([[0], np.cumsum(width)])[bounds]
     strings = pa.LargeStringArray.from_buffers(len(heads), pa.py_buffer(offset.astype(np.int64)), pa.py_buffer(one.encode())).take(pa.array(kept))
+    strings = pc.replace_substring_regex(strings, r"[\s\p{Z}]+", " ")
     match = lambda pattern: pc.match_substring_regex(strings, pattern).to_numpy(zero_copy_only=False)
 
     where = np.cumsum([0, *(len(t) + 2 for t in plain[:-1])])

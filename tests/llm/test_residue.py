@@ -97,6 +97,7 @@ def test_words_and_passages():
     p = cut("One two. Three four-five! SKU-123 REG-05\n\n中文。好 e.g... so on\n- item")
     sizes = p.lengths().tolist()
     assert sizes == [2, 3, 2, 2, 5, 1]
+    assert cut("at 19:28, RM 1,000.50 or 3/4").lengths().tolist() == [6] and cut("Error  404\nhere").has(passages.SEEDED).all()
     assert p.words[p.first[2]] == p.words[p.first[2] + 1]  # codes are one word, whatever their digits
     same = cut("Ábc déf", "ábc DÉF")
     assert same.words[:2].tolist() == same.words[2:].tolist() and same.docs.tolist() == [0, 1]
