@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from millrace.operators import dedup
 
 from .conftest import rows
@@ -50,7 +53,47 @@ def test_admit_over_batches(spark):
     assert seen.count() == seen.distinct().count() == 8
 
 
-def test_quotient_key_is_a_bijection(spark):
-    ids = [f"{i:x}" for i in range(3000)] + [f"{'a' * 15}{i}" for i in range(3000)] + [f"{i:032x}" for i in range(3000)]
-    df = spark.createDataFrame([(x,) for x in ids], "i string").select(*dedup.quotient_key(__import__("pyspark").sql.functions.col("i")))
-    assert df.distinct().count() == len(set(ids))
+IDS = [f"{i:x}" for i in range(3000)] + [f"{'a' * 15}{i}" for i in range(3000)] + [f"{i:032x}" for i in range(3000)] + [f"{'b' * 31}{i}" for i in range(300)] + [f"{i:08x}-0000-4000-8000-{i:012x}" for i in range(300)]
+
+
+def test_packing_is_exact():
+    words, width, tails = dedup.pack(pa.array(IDS))
+    assert len({(*map(int, w), int(n), t) for w, n, t in zip(words, width, tails)}) == len(set(IDS))
+    again = dedup.pack(pa.array(["x", *IDS], pa.string())[1:])
+    assert (again[0] == words).all() and (again[1] == width).all() and (again[2] == tails).all()
+    assert len(dedup.pack(pa.array([], pa.string()))[1]) == 0 and dedup.pack(pa.array(["", ""]))[1].tolist() == [0, 0]
+
+
+def table_rows(ids):
+    words, width, tails = dedup.pack(pa.array(ids))
+    return np.column_stack([words, dedup._with_kind(0, width)]), tails
+
+
+def test_table_refuses_all_but_the_smallest_order():
+    rng = random.Random(3)
+    ids, orders = [rng.choice(IDS[:200] + IDS[-20:] + IDS[9100:9120]) for _ in range(4000)], list(range(4000))
+    rng.shuffle(orders)
+    table, refused = dedup.QuotientTable(), []
+    for at in range(0, 4000, 170):
+        key, tails = table_rows(ids[at : at + 170])
+        refused += table.insert(key, tails, np.array(orders[at : at + 170])).tolist()
+    first = {}
+    for i, o in zip(ids, orders):
+        first[i] = min(o, first.get(i, o))
+    assert sorted(refused) == sorted(set(orders) - set(first.values())) and table.size == len(first)
+    assert sorted(table.entries()[2].tolist()) == sorted(first.values())
+
+
+def test_equal_quotients_do_not_match():
+    key = np.zeros((6, 5), np.uint64)
+    key[:, 1] = [1, 2, 3, 1, 2, 4]
+    table = dedup.QuotientTable()
+    assert sorted(table.insert(key, None, np.arange(6)).tolist()) == [3, 4] and table.size == 4
+
+
+def test_small_tables_give_the_same(spark, monkeypatch):
+    """Tables are emptied and dropped many times: memory is bounded, the result is not changed."""
+    monkeypatch.setattr(dedup, "TABLE_ROWS", 50)
+    df = spark.range(4000).selectExpr("id as record_id", "cast(id % 1300 as string) as a", "concat('k', cast(id % 1700 as string)) as b").repartition(5)
+    got = {r[0] for r in dedup.surplus(df, "record_id", ["a", "b"]).collect()}
+    assert got == {i for i in range(4000) if i >= 1300}
