@@ -69,22 +69,21 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, sf_dir))
 
 
-def _lines_as_of(spark: SparkSession, sf_dir: str, form) -> DataFrame:
-    """The sales lines with the product version valid at their time; as a key of the lines all their columns will do."""
+def _lines_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales lines with the product version valid at their time."""
     lines = table(spark, sf_dir, "vw_sales").select("transaction_id", "line_number", "product_id", micros(F.col("event_ts_utc")).alias("at_us"), "brand", "category", "subcategory", "quantity", "cost_amount")
     dim = table(spark, sf_dir, "dim_product").select("product_id", micros(F.col("effective_from_utc")).alias("low_us"), micros(F.col("effective_to_utc")).alias("high_us"), "version_number", "product_key", "brand", "category", "subcategory", "unit_cost")
-    key = lines.columns if form is asof.match_as_of else ["transaction_id", "line_number"]
-    return form(lines, dim, "product_id", "at_us", "low_us", "high_us", ["brand", "category", "subcategory", "unit_cost", "version_number"], ["low_us", "version_number", "product_key"], key)
+    return asof.attach_as_of(lines, dim, "product_id", "at_us", "low_us", "high_us", ["brand", "category", "subcategory", "unit_cost", "version_number"], ["low_us", "version_number", "product_key"], ["transaction_id", "line_number"])
 
 
 def p4_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line with the attributes valid at its time (null where no version is)."""
-    v = _lines_as_of(spark, sf_dir, asof.attach_as_of)
+    v = _lines_as_of(spark, sf_dir)
     return v.select("transaction_id", "line_number", "product_id", *[F.col(f"version.{c}").alias(c) for c in ("brand", "category", "subcategory", "version_number")], (F.col("quantity") * F.col("version.unit_cost")).cast("decimal(18,2)").alias("cost_amount"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _lines_as_of(spark, sf_dir, asof.match_as_of)  # a line without a version is no case
+    v = _lines_as_of(spark, sf_dir).where("version is not null")  # a line without a version is no case
     same = F.lit(True)
     for c in ("brand", "category", "subcategory"):
         same &= F.col(c).eqNullSafe(F.col(f"version.{c}"))

@@ -313,8 +313,10 @@ def inventory_snapshots(moves: DataFrame, stores: DataFrame, products: DataFrame
     every = every.withColumn("avg7", (F.sum("sold").over(week).cast("decimal(18,0)") / F.lit(7).cast("decimal(2,0)")).cast("decimal(18,6)")).where(F.col("d") >= F.lit(first).cast("date"))
     eod = F.to_utc_timestamp(F.date_add("d", 1).cast("timestamp"), DEFAULT_TZ)
     every = every.withColumn("eod", eod)
-    dim = products.select(F.col("product_id").alias("_p"), "product_key", F.col("unit_cost").alias("version_cost"), "effective_from_utc", "effective_to_utc")
-    out = every.join(dim, (F.col("product_id") == F.col("_p")) & (F.col("effective_from_utc") < F.col("eod")) & (F.col("effective_to_utc") >= F.col("eod")), "left")
+    # The version at the end of the day: from < eod <= to, which is from <= eod - 1 < to in whole microseconds.
+    every = every.withColumn("event_ts", F.timestamp_micros(micros(F.col("eod")) - 1))
+    dim = products.select("product_id", "product_key", F.col("unit_cost").alias("version_cost"), "effective_from_utc", "effective_to_utc", "version_number")
+    out = _as_of(every, dim, "product_id", ["product_key", "version_cost"], ["store_id"]).select("*", "version.*")
     out = out.join(stores.select("store_id", "store_key"), "store_id", "left")
     unknown = F.lit(UNKNOWN).cast("decimal(20,0)")
     return out.select(date_key(F.col("d")).alias("date_key"), F.col("d").alias("snapshot_date"), F.coalesce("store_key", unknown).alias("store_key"), F.coalesce("product_key", unknown).alias("product_key"), "store_id", "product_id", F.col("closing").alias("closing_on_hand"), (F.col("closing").cast("decimal(12,0)") * F.col("version_cost")).cast("decimal(14,2)").alias("closing_value"), F.col("received").alias("units_received"), F.col("sold").alias("units_sold"), F.col("adjusted").alias("units_adjusted"), F.col("avg7").alias("avg_daily_units_sold_7d"), (F.col("closing") < 3 * F.col("avg7")).alias("is_below_reorder_point"))

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 #: Settings every job of this package relies on; a cluster may override all but the first two.
 SETTINGS = {
@@ -72,6 +73,32 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Largest table that is broadcast, in bytes as rows are held (fixed parts and texts).
+BROADCAST_BYTES = 64 << 20
+
+
+def row_bytes(schema: StructType, at: str = "") -> Column:
+    """About the bytes a row takes: 16 per value, and the lengths of texts, arrays by their number of elements."""
+    size = F.lit(0)
+    for f in schema.fields:
+        name = f"{at}`{f.name}`"
+        if isinstance(f.dataType, StructType):
+            size = size + row_bytes(f.dataType, f"{name}.")
+        elif isinstance(f.dataType, (StringType, BinaryType)):
+            size = size + 16 + F.coalesce(F.octet_length(name), F.lit(0))
+        elif isinstance(f.dataType, ArrayType):
+            size = size + 16 + 32 * F.greatest(F.size(name), F.lit(0))
+        else:
+            size = size + 16
+    return size
+
+
+def broadcastable(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether df takes at most BROADCAST_BYTES (or limit), by measure; df should be written or checkpointed, as it is read for this."""
+    size = df.agg(F.sum(row_bytes(df.schema)).alias("n")).first().n or 0
+    return size <= (BROADCAST_BYTES if limit is None else limit)
+
+
 def rows_at_most(df: DataFrame, bound: int) -> bool:
     """Whether df has at most bound rows; reads no further than one row beyond the bound."""
     return df.limit(bound + 1).count() <= bound

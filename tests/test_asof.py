@@ -25,8 +25,8 @@ def test_equals_brute_force(spark, monkeypatch):
         versions += [("c", -(1 << 60), 1 << 60, 500), ("a", events[0][2] or 0, (events[0][2] or 0) + 1, 501)]
         e = spark.createDataFrame(events, "id int, entity string, at bigint").withColumn("version_no", F.lit("clash"))
         v = spark.createDataFrame(versions, "entity string, low bigint, high bigint, version_no int").withColumn("at", F.lit(0))
-        if leaf_bits == 18:
-            monkeypatch.setattr(asof, "BROADCAST_NODES", 0)
+        if leaf_bits == 18:  # nothing is broadcast
+            monkeypatch.setattr(asof, "BROADCAST_NODES", -1)
         got = asof.attach_as_of(e, v, "entity", "at", "low", "high", ["version_no"], ["low", "version_no"], ["id"], leaf_bits)
         assert got.columns == ["id", "entity", "at", "version_no", "version"]
         assert {r.id: r.version.version_no if r.version else None for r in got.collect()} == brute(events, versions), leaf_bits
@@ -61,3 +61,16 @@ def test_every_row_comes_out(spark):
     v = spark.createDataFrame([("a", 0, 6, 1)], "entity string, low bigint, high bigint, n int")
     got = sorted((r.note, r.version.n if r.version else None) for r in asof.attach_as_of(e, v, "entity", "at", "low", "high", ["n"], ["low"], ["id"]).collect())
     assert got == [("v", 1), ("w", None), ("x", 1), ("y", 1), ("y", 1), ("z", None)]
+
+
+def test_overlaps_are_cut_by_precedence(spark):
+    v = spark.createDataFrame([("a", 0, 100, 1), ("a", 10, 20, 2), ("a", 15, 30, 0), ("a", 10, 20, 3), ("b", 0, 5, 1), ("b", 5, 9, 2)], "_e string, _low bigint, _high bigint, n int")
+    got = sorted((r._e, r._low, r._high, r._v.n) for r in asof.disjoint(v.select("_e", "_low", "_high", F.struct("_low", "n").alias("_v")), 2).collect())
+    assert got == [("a", 0, 10, 1), ("a", 10, 15, 3), ("a", 15, 20, 0), ("a", 20, 30, 0), ("a", 30, 100, 1), ("b", 0, 5, 1), ("b", 5, 9, 2)]
+
+
+def test_nothing_is_shuffled_where_nodes_fit(spark):
+    e = spark.range(100).selectExpr("id", "'a' as entity", "id as at")
+    v = spark.createDataFrame([("a", 0, 50, 1), ("a", 50, 80, 2)], "entity string, low bigint, high bigint, n int")
+    plan = asof.attach_as_of(e, v, "entity", "at", "low", "high", ["n"], ["low"], ["id"], 2)._jdf.queryExecution().toString()
+    assert "hashpartitioning" not in plan.split("== Physical Plan ==")[1] and "BroadcastHashJoin" in plan
