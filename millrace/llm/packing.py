@@ -4,7 +4,7 @@ Only the histogram of lengths (at most `capacity` rows) reaches the driver. Leng
 to the open packs with most room, whole groups of equal packs at a time, so the work depends on the number of distinct
 lengths and patterns, not of documents. The patterns with their counts say which ranks of each length go to which
 containers; documents are ranked within their length and joined to these spans. A length that a third of all documents
-have is ranked in SLICES parts.
+have is ranked in parts of about SLICE_ROWS.
 """
 
 from __future__ import annotations
@@ -15,12 +15,10 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from millrace.session import rows_at_most, written
+from millrace.session import broadcastable, written
 
-#: Parts in which the documents of one length are ranked.
-SLICES = 64
-#: Spans are broadcast up to this many rows (about 60 bytes each).
-BROADCAST_SPANS = 500_000
+#: Documents of one length that are ranked by one task: each length is cut into as many parts as the most frequent needs.
+SLICE_ROWS = 250_000
 SPAN_SCHEMA = "spec_id int, length bigint, block bigint, low bigint, high bigint, base bigint, per bigint"
 
 
@@ -96,7 +94,7 @@ def _ranked(items: DataFrame, slices: int) -> DataFrame:
     return items.join(sizes, ["spec_id", "length", "slice"]).withColumn("rank", F.row_number().over(inside) - 1 + F.col("_base")).drop("_base", "slice")
 
 
-def pack(sizes: DataFrame, specs: dict[int, int], slices: int = SLICES) -> DataFrame:
+def pack(sizes: DataFrame, specs: dict[int, int], slices: int | None = None) -> DataFrame:
     """spec_id, container_id, doc_id, piece_no, start_token, piece_tokens: every document in containers of every spec.
 
     sizes: doc_id, n_tokens. specs: capacity (at least 1) by spec_id. A document longer than the capacity fills
@@ -113,6 +111,8 @@ def pack(sizes: DataFrame, specs: dict[int, int], slices: int = SLICES) -> DataF
     counts: dict[int, dict[int, int]] = {s: {} for s in specs}
     for r in every.where("length > 0").groupBy("spec_id", "length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most the sum of the capacities
         counts[r.spec_id][r.length] = r.n
+    parts = lambda n: slices or max(8, -(-n // SLICE_ROWS))
+    ranks, longs = parts(max((n for c in counts.values() for n in c.values()), default=0)), parts(max((sum(c.values()) for c in counts.values()), default=0))
     rows, made = [], {}
     widths: list[tuple[int, int, int]] = []
     for spec_id, capacity in sorted(specs.items()):
@@ -128,14 +128,14 @@ def pack(sizes: DataFrame, specs: dict[int, int], slices: int = SLICES) -> DataF
             rows += [(s, length, block, low, high, base, per) for block in range(low // w, (high - 1) // w + 1)]
     table = spark.createDataFrame(pd.DataFrame(rows, columns=["spec_id", "length", "block", "low", "high", "base", "per"]), SPAN_SCHEMA) if rows else spark.createDataFrame([], SPAN_SCHEMA)
     width = spark.createDataFrame(widths, "spec_id int, length bigint, width bigint")
-    ranked = _ranked(every.where("length > 0"), slices).join(F.broadcast(width), ["spec_id", "length"]).withColumn("block", F.floor(F.col("rank") / F.col("width")))
-    table = F.broadcast(table) if rows_at_most(table, BROADCAST_SPANS) else table
+    ranked = _ranked(every.where("length > 0"), ranks).join(F.broadcast(width), ["spec_id", "length"]).withColumn("block", F.floor(F.col("rank") / F.col("width")))
+    table = F.broadcast(table) if broadcastable(table) else table
     packed = ranked.join(table, ["spec_id", "length", "block"]).where("rank >= low and rank < high")
     packed = packed.select("spec_id", (F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("per"))).alias("container_id"), "doc_id", (F.col("full") + 1).alias("piece_no"), (F.col("full") * F.col("capacity")).alias("start_token"), F.col("length").alias("piece_tokens"))
 
     pick = lambda values: F.element_at(F.map_from_arrays(F.array(*[F.lit(s).cast("int") for s in sorted(specs)]), F.array(*[F.lit(values[s]).cast("bigint") for s in sorted(specs)])), F.col("spec_id"))
     # Full pieces are numbered after the packed containers, by running sums in slices.
-    long = every.where("full > 0").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
+    long = every.where("full > 0").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(longs)))
     sums = long.groupBy("spec_id", "slice").agg(F.sum("full").alias("_n"))
     over = Window.partitionBy("spec_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("spec_id", "slice", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base"))

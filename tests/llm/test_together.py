@@ -46,5 +46,5 @@ def test_thresholds_are_exact(spark):
 
 def test_shuffled_item_counts(spark, monkeypatch):
     baskets = [["a", "b"], ["a", "b", "c"]]
-    monkeypatch.setattr(together, "BROADCAST_ITEMS", 0)
+    monkeypatch.setattr("millrace.session.BROADCAST_BYTES", -1)
     assert got(spark, baskets) == brute(baskets)
