@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.clock import micros, rfc3339
 from millrace.operators.ordered import with_neighbours
-from millrace.session import cut, rows_at_most
+from millrace.session import broadcastable, cut
 
 PRODUCTS, CUSTOMERS, STORES = "product_updates", "customer_events", "store_reference"
 #: Bounds of time, in microseconds.
 BEGIN, END = -(1 << 62), 1 << 62
-#: Spans are broadcast up to this many rows (about 100 bytes each); beyond, children are joined in SALTS parts per key.
-BROADCAST_ROWS, SALTS = 200_000, 16
+#: Parts per key in which children are joined with spans that are not broadcast.
+SALTS = 16
 DAY_US = 86_400_000_000
 
 
@@ -73,7 +73,7 @@ def orphans(refs: DataFrame, known: DataFrame, gone: DataFrame) -> DataFrame:
     """
     spans = cut(bad_spans(refs, known, gone))
     inside = (F.col("t") >= F.col("low")) & (F.col("t") < F.col("high"))
-    if rows_at_most(spans, BROADCAST_ROWS):
+    if broadcastable(spans):
         found = refs.join(F.broadcast(spans), ["ref_table", "ref_id"]).where(inside)
     else:
         salted = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

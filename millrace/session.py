@@ -99,11 +99,6 @@ def broadcastable(df: DataFrame, limit: int | None = None) -> bool:
     return size <= (BROADCAST_BYTES if limit is None else limit)
 
 
-def rows_at_most(df: DataFrame, bound: int) -> bool:
-    """Whether df has at most bound rows; reads no further than one row beyond the bound."""
-    return df.limit(bound + 1).count() <= bound
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df over at least as many tasks as there are cores, by hash of key; as it is where the input has as many already.
 
