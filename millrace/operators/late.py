@@ -1,23 +1,27 @@
 """Per-period aggregates by event time, corrected as late records arrive, until a cut-off.
 
-Raw records are retained in a Parquet table partitioned by period. A batch touches some periods; exactly those are
-recomputed from all retained records and written as a new version of these periods. One rename publishes the version, so
-a reader sees all of a batch's corrections or none, and a job that dies leaves the former version in force.
+A batch of arrivals names the periods it touches. Its records are appended to the retained ones of these periods, exactly
+these periods are recomputed entirely from their retained records and written as a new version, and one rename publishes
+the manifest that says which version of each period holds: a reader sees all of a batch's corrections or none, a job that
+dies leaves the former manifest in force, and a batch that comes again replaces what its first attempt wrote. Periods not
+touched are neither read nor written. A period whose end lies KEEP_S behind the newest event is closed: its retained
+records are deleted, its last version stays, and records that still come for it are set aside, not dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions.clock import micros, rfc3339, window_start_s
-from millrace.session import work_path
+from millrace.session import work_path, written
+from millrace.sources.landing import Files
 
 WINDOW_S = 300
 LATENESS_S = 6 * 3600
 #: A partition of the tables; a multiple of the window.
 PERIOD_S = 86_400
-#: Tasks (and files) that share one period's retained records, so that a period with a third of all rows is split.
-SPLITS = 8
+#: The cut-off: how long after its end (by the newest event seen) a period is still corrected.
+KEEP_S = 14 * 86_400
 
 
 def timed_sales(df: DataFrame, lateness_s: int = LATENESS_S, window_s: int = WINDOW_S, period_s: int = PERIOD_S) -> DataFrame:
@@ -34,88 +38,104 @@ def timed_sales(df: DataFrame, lateness_s: int = LATENESS_S, window_s: int = WIN
     return slim.select("record_id", "store_id", "window_start_s", F.floor(F.col("window_start_s") / period_s).cast("int").alias("period"), "amount", "batch")
 
 
+RETAINED = "record_id bigint, store_id string, window_start_s bigint, amount decimal(18,6), period int, arrival int"
+TOTALS = "store_id string, window_start_s bigint, revenue decimal(38,6), transactions bigint"
+
+
 class CorrectedWindows:
     """The retained records and the versions of the aggregates under one root.
 
-    root/raw/period=P: retained records. root/v=N/period=P: aggregates of the periods that batch N touched. A version
-    is written as root/_writing-N and published by one rename; of each period the highest published version holds.
+    raw/period=P/arrival=B: retained records of batch B. v=B/period=P: the period as recomputed after batch B.
+    manifest/B: period, v (which version holds), newest (the newest window seen). aside/arrival=B: records of closed periods.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.version = spark, root, 0
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        self._fs, self._path = path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-        if self._fs.exists(path):
-            names = [x.getPath().getName() for x in self._fs.listStatus(path)]
-            self.version = max([0, *(int(n[2:]) for n in names if n.startswith("v="))])
-
-    def retain(self, records: DataFrame) -> None:
-        """Append records (columns of timed_sales) to the retained ones, a period's records split over SPLITS tasks."""
-        spread = records.repartition("period", F.pmod(F.xxhash64("record_id"), F.lit(SPLITS)))
-        spread.write.mode("append").partitionBy("period").parquet(f"{self.root}/raw")
+    def __init__(self, spark: SparkSession, root: str, keep_s: int = KEEP_S):
+        self.spark, self.root, self.keep_s, self._files = spark, root.rstrip("/"), keep_s, Files(spark, root)
+        self.applied, self.newest, self.versions = -1, None, {}
+        done = sorted(int(n) for n, _, _ in self._files.children(f"{self.root}/manifest"))
+        if done:
+            self.applied = done[-1]
+            for r in spark.read.parquet(f"{self.root}/manifest/{self.applied}").collect():  # one row per period
+                self.versions[r.period], self.newest = r.v, r.newest
 
-    def raw(self) -> DataFrame:
-        return self.spark.read.schema("record_id bigint, store_id string, window_start_s bigint, amount decimal(18,6), batch bigint, period int").parquet(f"{self.root}/raw")
+    def closed(self, period: int) -> bool:
+        return self.newest is not None and (period + 1) * PERIOD_S + self.keep_s <= self.newest
 
-    def correct(self, new: Column, known: Column) -> None:
-        """Recompute the periods which the records under the condition `new` touch, from all records under `known`.
+    def arrive(self, number: int, records: DataFrame) -> list[int]:
+        """Take a batch (columns of timed_sales; written or cached, as it is read twice); the periods it corrected.
 
-        touched is at most one row per period, so the recomputation reads (by partition pruning) only these periods.
+        Batches are numbered upwards; one that was taken already changes nothing.
         """
-        raw = self.raw()
-        touched = raw.where(new).select("period").distinct()
-        fresh = raw.where(known).join(F.broadcast(touched), "period", "left_semi") if self._few_periods() else raw.where(known).join(touched, "period", "left_semi")
-        totals = fresh.groupBy("period", "store_id", "window_start_s").agg(F.sum(F.col("amount").cast("decimal(28,6)")).alias("revenue"), F.count(F.lit(1)).alias("transactions"))
-        self.version += 1
-        made = f"{self.root}/_writing-{self.version}"
-        totals.write.mode("overwrite").partitionBy("period").parquet(made)
-        if not self._fs.rename(self._path(made), self._path(f"{self.root}/v={self.version}")):
-            raise OSError(f"version {self.version} could not be published")
-
-    def _few_periods(self, bound: int = 100_000) -> bool:
-        """Whether the folder holds at most `bound` periods, which bounds what may be broadcast."""
-        return len(self._fs.listStatus(self._path(f"{self.root}/raw"))) <= bound
+        if number <= self.applied:
+            return []
+        found = {r.period: r.newest for r in records.groupBy("period").agg(F.max("window_start_s").alias("newest")).collect()}  # one row per period
+        touched, shut = sorted(p for p in found if not self.closed(p)), [p for p in found if self.closed(p)]
+        own = records.select("record_id", "store_id", "window_start_s", "amount", "period").withColumn("arrival", F.lit(number))
+        if shut:
+            own.where(F.col("period").isin(shut)).drop("arrival").write.mode("overwrite").parquet(f"{self.root}/aside/arrival={number}")
+        if touched:
+            # Rebalancing splits what is large of a period and joins what is small.
+            fresh = own.where(F.col("period").isin(touched)).hint("rebalance", "period")
+            fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period", "arrival").parquet(f"{self.root}/raw")
+            totals = self.retained(touched).where(F.col("arrival") <= number).groupBy("period", "store_id", "window_start_s").agg(F.sum(F.col("amount").cast("decimal(28,6)")).alias("revenue"), F.count(F.lit(1)).alias("transactions"))
+            totals.write.mode("overwrite").partitionBy("period").parquet(f"{self.root}/v={number}")
+        newest = max([*(found[p] for p in found), *([self.newest] if self.newest is not None else [])], default=None)
+        self._publish(number, self.versions | dict.fromkeys(touched, number), newest)
+        return touched
+
+    def retained(self, periods: list[int]) -> DataFrame:
+        """The retained records of some periods; no other folder is listed."""
+        return self.spark.read.schema(RETAINED).option("basePath", f"{self.root}/raw").parquet(*[f"{self.root}/raw/period={p}" for p in periods])
+
+    def _publish(self, number: int, versions: dict[int, int], newest: int | None) -> None:
+        made = f"{self.root}/_manifest-{number}"
+        self.spark.createDataFrame([(p, v, newest) for p, v in versions.items()], "period int, v int, newest bigint").coalesce(1).write.mode("overwrite").parquet(made)
+        self._files.move(made, f"{self.root}/manifest/{number}")
+        # What neither the new manifest nor the former one (whose readers may have begun) names goes.
+        earlier = [int(n) for n, _, _ in self._files.children(f"{self.root}/manifest") if int(n) < number]
+        for n in sorted(earlier)[:-1]:
+            self._files.delete(f"{self.root}/manifest/{n}")
+        live = {*versions.items(), *self.versions.items()}
+        for v in {v for _, v in self._held()} - {number}:
+            for p in [p for p, w in self._held(v) if (p, v) not in live]:
+                self._files.delete(f"{self.root}/v={v}/period={p}")
+        self.applied, self.newest, self.versions = number, newest, versions
+        for p in [p for p in versions if self.closed(p)]:
+            self._files.delete(f"{self.root}/raw/period={p}")
+
+    def _held(self, version: int | None = None) -> list[tuple[int, int]]:
+        """(period, version) of the folders there are."""
+        found = [version] if version is not None else [int(n[2:]) for n, _, _ in self._files.children(self.root) if n.startswith("v=")]
+        return [(int(n[7:]), v) for v in found for n, _, _ in self._files.children(f"{self.root}/v={v}") if n.startswith("period=")]
 
     def current(self) -> DataFrame:
-        """store_id, window_start_s, revenue, transactions as corrected by all published versions."""
-        if not self.version:
-            return self.spark.createDataFrame([], "store_id string, window_start_s bigint, revenue decimal(38,6), transactions bigint")
-        kinds = "period int, store_id string, window_start_s bigint, revenue decimal(38,6), transactions bigint"
-        parts = [self.spark.read.schema(kinds).parquet(f"{self.root}/v={v}").withColumn("v", F.lit(v)) for v in range(1, self.version + 1)]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        newest = every.groupBy("period").agg(F.max("v").alias("v"))
-        return every.join(F.broadcast(newest) if self._few_periods() else newest, ["period", "v"]).select("store_id", "window_start_s", "revenue", "transactions")
-
-    def compact(self) -> None:
-        """Replace all versions by one; for folders with many small versions."""
-        merged = self.current().withColumn("period", F.floor(F.col("window_start_s") / PERIOD_S).cast("int"))
-        old, self.version = self.version, self.version + 1
-        made = f"{self.root}/_writing-{self.version}"
-        merged.write.mode("overwrite").partitionBy("period").parquet(made)
-        self._fs.rename(self._path(made), self._path(f"{self.root}/v={self.version}"))
-        for v in range(1, old + 1):
-            self._fs.delete(self._path(f"{self.root}/v={v}"), True)
-            self._fs.mkdirs(self._path(f"{self.root}/v={v}"))
-
-
-def replay(records: DataFrame, increments: int, root: str | None = None) -> CorrectedWindows:
+        """store_id, window_start_s, revenue, transactions as corrected by all batches; only folders that hold are listed."""
+        paths = [f"{self.root}/v={v}/period={p}" for p, v in sorted(self.versions.items())]
+        if not paths:
+            return self.spark.createDataFrame([], TOTALS)
+        return self.spark.read.schema(TOTALS).parquet(*paths)
+
+    def set_aside(self) -> DataFrame:
+        """The records that came for closed periods."""
+        kind = RETAINED.replace(", arrival int", "")
+        paths = [f"{self.root}/aside/{n}" for n, _, _ in self._files.children(f"{self.root}/aside")]
+        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+
+
+def replay(records: DataFrame, increments: int, root: str | None = None, keep_s: int = KEEP_S) -> CorrectedWindows:
     """Feed records (columns of timed_sales) to CorrectedWindows in `increments` arrival slices of equal batch range.
 
-    The final state does not depend on the slicing; slices show the corrections (each slice rewrites only what it touches).
+    The final state does not depend on the slicing as long as no record comes for a closed period (set_aside says).
     """
     spark = records.sparkSession
-    windows = CorrectedWindows(spark, root or work_path(spark, "late"))
-    windows.retain(records)
-    low, high = windows.raw().agg(F.min("batch"), F.max("batch")).first()
+    windows = CorrectedWindows(spark, root or work_path(spark, "late"), keep_s)
+    records = written(records, "arrivals")
+    low, high = records.agg(F.min("batch"), F.max("batch")).first()
     if low is None:
         return windows
     width = max(1, -(-(high - low + 1) // increments))
-    for start in range(low, high + 1, width):
-        batch = F.col("batch")
-        windows.correct(new=(batch >= start) & (batch < start + width), known=batch < start + width)
+    for number, start in enumerate(range(low, high + 1, width)):
+        windows.arrive(number, records.where((F.col("batch") >= start) & (F.col("batch") < start + width)))
     return windows
 
 

@@ -31,20 +31,64 @@ def test_what_counts(spark):
     assert {r.record_id: r.window_start_s - t for r in got.collect()} == {1: 0, 3: 300, 8: 300}
 
 
+def day(d, m):
+    return f"2026-03-{d:02d}T10:{m:02d}:00Z"
+
+
 def test_increments_do_not_change_the_result_and_touch_only_their_periods(spark, tmp_path):
-    day = lambda d, m: f"2026-03-{d:02d}T10:{m:02d}:00Z"
     data = [sale(i, day(2 + i % 5, i % 60), day(2 + i % 5, i % 60), f"S{i % 3}", i, batch=i // 10) for i in range(60)]
     records = late.timed_sales(spark.createDataFrame(data, SCHEMA))
     whole = rows(late.replay(records, 1, str(tmp_path / "a")).current())
     parts = late.replay(records, 4, str(tmp_path / "b"))
-    assert rows(parts.current()) == whole and parts.version > 1
+    assert rows(parts.current()) == whole and parts.applied == 2
     again = late.CorrectedWindows(spark, str(tmp_path / "b"))
-    again.retain(late.timed_sales(spark.createDataFrame([sale(99, day(3, 0), day(3, 1), batch=99)], SCHEMA)))
-    again.correct(F.col("batch") == 99, F.lit(True))
-    assert [r.period for r in spark.read.parquet(str(tmp_path / "b" / f"v={again.version}")).select("period").distinct().collect()] == [20515]
-    assert len(rows(again.current())) == len(whole) + 1
-    again.compact()
-    assert len(rows(late.CorrectedWindows(spark, str(tmp_path / "b")).current())) == len(whole) + 1
+    one = late.timed_sales(spark.createDataFrame([sale(99, day(3, 0), day(3, 1), batch=99)], SCHEMA)).cache()
+    assert again.arrive(7, one) == [20515] and len(rows(again.current())) == len(whole) + 1
+    assert again.arrive(7, one) == [] and len(rows(late.CorrectedWindows(spark, str(tmp_path / "b")).current())) == len(whole) + 1
+
+
+def files_of(df):
+    return sorted(f.split("/period=")[1].split("/")[0] for f in df.inputFiles())
+
+
+def test_a_batch_reads_and_writes_only_what_it_touches(spark, tmp_path):
+    w = late.CorrectedWindows(spark, str(tmp_path / "w"))
+    batches = [[(1, 2), (2, 3)], [(3, 3), (4, 4)], [(5, 2)]]
+    for number, batch in enumerate(batches):
+        touched = w.arrive(number, late.timed_sales(spark.createDataFrame([sale(i, day(d, i), day(d, i)) for i, d in batch], SCHEMA)).cache())
+        assert touched == sorted(20512 + d for _, d in batch)
+        assert set(files_of(w.retained(touched))) == {str(p) for p in touched}
+        assert sorted(p.name for p in (tmp_path / "w" / f"v={number}").iterdir() if p.name.startswith("period")) == [f"period={p}" for p in touched]
+    assert w.versions == {20514: 2, 20515: 1, 20516: 1}
+    # Superseded versions go, but for those of the former manifest.
+    assert not (tmp_path / "w" / "v=0" / "period=20515").exists() and (tmp_path / "w" / "v=0" / "period=20514").exists()
+    assert rows(w.current().groupBy().sum("transactions")) == [(5,)]
+
+
+def test_a_dead_batch_is_not_seen_and_can_be_repeated(spark, tmp_path, monkeypatch):
+    w = late.CorrectedWindows(spark, str(tmp_path / "w"))
+    one, two = (late.timed_sales(spark.createDataFrame([sale(i, day(2, i), day(2, i))], SCHEMA)).cache() for i in (1, 2))
+    w.arrive(0, one)
+    before = rows(w.current())
+    monkeypatch.setattr(late.CorrectedWindows, "_publish", lambda *a: (_ for _ in ()).throw(OSError("died")))
+    try:
+        w.arrive(1, two)
+    except OSError:
+        pass
+    monkeypatch.undo()
+    w = late.CorrectedWindows(spark, str(tmp_path / "w"))
+    assert rows(w.current()) == before
+    w.arrive(1, two)
+    assert w.current().groupBy().sum("transactions").first()[0] == 2
+
+
+def test_closed_periods_are_kept_and_what_comes_later_is_set_aside(spark, tmp_path):
+    w = late.CorrectedWindows(spark, str(tmp_path / "w"), keep_s=86_400)
+    w.arrive(0, late.timed_sales(spark.createDataFrame([sale(1, day(2, 1), day(2, 1)), sale(2, day(5, 1), day(5, 1))], SCHEMA)).cache())
+    assert w.closed(20514) and not (tmp_path / "w" / "raw" / "period=20514").exists()
+    assert w.arrive(1, late.timed_sales(spark.createDataFrame([sale(3, day(2, 1), day(2, 1)), sale(4, day(4, 1), day(4, 1))], SCHEMA)).cache()) == [20516]
+    assert [r.record_id for r in w.set_aside().collect()] == [3]
+    assert rows(w.current().groupBy().sum("transactions")) == [(3,)]
 
 
 def test_empty_and_differences(spark):
