@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions.clock import micros, rfc3339, window_start_s
+from millrace.operators.parts import Parts
 from millrace.session import work_path, written
 from millrace.sources.landing import Files
 
@@ -43,20 +44,18 @@ TOTALS = "store_id string, window_start_s bigint, revenue decimal(38,6), transac
 
 
 class CorrectedWindows:
-    """The retained records and the versions of the aggregates under one root.
+    """The retained records and the versions of the aggregates (operators/parts.py) under one root.
 
-    raw/period=P/arrival=B: retained records of batch B. v=B/period=P: the period as recomputed after batch B.
-    manifest/B: period, v (which version holds), newest (the newest window seen). aside/arrival=B: records of closed periods.
+    raw/period=P/arrival=B: retained records of batch B. aside/arrival=B: its records of closed periods. The newest window
+    seen is published along with the versions.
     """
 
     def __init__(self, spark: SparkSession, root: str, keep_s: int = KEEP_S):
-        self.spark, self.root, self.keep_s, self._files = spark, root.rstrip("/"), keep_s, Files(spark, root)
-        self.applied, self.newest, self.versions = -1, None, {}
-        done = sorted(int(n) for n, _, _ in self._files.children(f"{self.root}/manifest"))
-        if done:
-            self.applied = done[-1]
-            for r in spark.read.parquet(f"{self.root}/manifest/{self.applied}").collect():  # one row per period
-                self.versions[r.period], self.newest = r.v, r.newest
+        self.spark, self.root, self.keep_s, self.parts, self._files = spark, root.rstrip("/"), keep_s, Parts(spark, root, "period"), Files(spark, root)
+
+    @property
+    def newest(self) -> int | None:
+        return self.parts.note
 
     def closed(self, period: int) -> bool:
         return self.newest is not None and (period + 1) * PERIOD_S + self.keep_s <= self.newest
@@ -66,7 +65,7 @@ class CorrectedWindows:
 
         Batches are numbered upwards; one that was taken already changes nothing.
         """
-        if number <= self.applied:
+        if number <= self.parts.applied:
             return []
         found = {r.period: r.newest for r in records.groupBy("period").agg(F.max("window_start_s").alias("newest")).collect()}  # one row per period
         touched, shut = sorted(p for p in found if not self.closed(p)), [p for p in found if self.closed(p)]
@@ -78,42 +77,20 @@ class CorrectedWindows:
             fresh = own.where(F.col("period").isin(touched)).hint("rebalance", "period")
             fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period", "arrival").parquet(f"{self.root}/raw")
             totals = self.retained(touched).where(F.col("arrival") <= number).groupBy("period", "store_id", "window_start_s").agg(F.sum(F.col("amount").cast("decimal(28,6)")).alias("revenue"), F.count(F.lit(1)).alias("transactions"))
-            totals.write.mode("overwrite").partitionBy("period").parquet(f"{self.root}/v={number}")
-        newest = max([*(found[p] for p in found), *([self.newest] if self.newest is not None else [])], default=None)
-        self._publish(number, self.versions | dict.fromkeys(touched, number), newest)
+            self.parts.write(number, totals)
+        newest = max([*found.values(), *([self.newest] if self.newest is not None else [])], default=None)
+        self.parts.publish(number, touched, newest)
+        for p in [p for p in self.parts.versions if self.closed(p)]:
+            self._files.delete(f"{self.root}/raw/period={p}")
         return touched
 
     def retained(self, periods: list[int]) -> DataFrame:
         """The retained records of some periods; no other folder is listed."""
         return self.spark.read.schema(RETAINED).option("basePath", f"{self.root}/raw").parquet(*[f"{self.root}/raw/period={p}" for p in periods])
 
-    def _publish(self, number: int, versions: dict[int, int], newest: int | None) -> None:
-        made = f"{self.root}/_manifest-{number}"
-        self.spark.createDataFrame([(p, v, newest) for p, v in versions.items()], "period int, v int, newest bigint").coalesce(1).write.mode("overwrite").parquet(made)
-        self._files.move(made, f"{self.root}/manifest/{number}")
-        # What neither the new manifest nor the former one (whose readers may have begun) names goes.
-        earlier = [int(n) for n, _, _ in self._files.children(f"{self.root}/manifest") if int(n) < number]
-        for n in sorted(earlier)[:-1]:
-            self._files.delete(f"{self.root}/manifest/{n}")
-        live = {*versions.items(), *self.versions.items()}
-        for v in {v for _, v in self._held()} - {number}:
-            for p in [p for p, w in self._held(v) if (p, v) not in live]:
-                self._files.delete(f"{self.root}/v={v}/period={p}")
-        self.applied, self.newest, self.versions = number, newest, versions
-        for p in [p for p in versions if self.closed(p)]:
-            self._files.delete(f"{self.root}/raw/period={p}")
-
-    def _held(self, version: int | None = None) -> list[tuple[int, int]]:
-        """(period, version) of the folders there are."""
-        found = [version] if version is not None else [int(n[2:]) for n, _, _ in self._files.children(self.root) if n.startswith("v=")]
-        return [(int(n[7:]), v) for v in found for n, _, _ in self._files.children(f"{self.root}/v={v}") if n.startswith("period=")]
-
     def current(self) -> DataFrame:
-        """store_id, window_start_s, revenue, transactions as corrected by all batches; only folders that hold are listed."""
-        paths = [f"{self.root}/v={v}/period={p}" for p, v in sorted(self.versions.items())]
-        if not paths:
-            return self.spark.createDataFrame([], TOTALS)
-        return self.spark.read.schema(TOTALS).parquet(*paths)
+        """store_id, window_start_s, revenue, transactions as corrected by all batches."""
+        return self.parts.read(TOTALS)
 
     def set_aside(self) -> DataFrame:
         """The records that came for closed periods."""

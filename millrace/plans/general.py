@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions.clock import micros, rfc3339
 from millrace.operators import asof, dedup, history, late, nested, orphans
-from millrace.session import pin_semantics, written
+from millrace.session import pin_semantics, work_path, written
 
 #: Arrival slices in which the late-event operator replays the sales.
 INCREMENTS = 3
 #: Recorded batches in which the ledger takes the updates.
-LEDGER_BATCHES = 2
+LEDGER_BATCHES = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,34 +92,38 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.where(~same).select("transaction_id", "line_number")
 
 
-def _updates(df: DataFrame, source: str, entity: str, first: str, second: str) -> DataFrame:
-    """Updates for the ledger; records with the same event_id count once (the smallest record_id)."""
-    once = dedup.keep_first(df.select("record_id", F.col("metadata.event_id").alias("event_id"), F.col(f"payload.{entity}").alias("entity_id"), micros(rfc3339(F.col("metadata.event_timestamp"))).alias("valid_from"), F.col(f"payload.{first}").alias("a"), F.col(f"payload.{second}").alias("b")), "record_id", ["event_id"])
-    comparable = lambda c: (history.normal(F.col(c)) if c == "b" or source == "customer_events" else F.col(c).cast("string"))
-    return once.select(F.lit(source).alias("source_table"), "entity_id", "valid_from", F.col("record_id").alias("seq"), F.struct(comparable("a").alias("a"), comparable("b").alias("b")).alias("attrs"))
+def _changes(df: DataFrame, source: str, entity: str, first: str, second: str, nth: int) -> DataFrame:
+    """Updates for the ledger with event_id, ord (unique over the tables) and arrival."""
+    comparable = lambda c: F.col(f"payload.{c}").cast("string") if c == "list_price" else history.normal(F.col(f"payload.{c}"))
+    event = F.when(F.col("metadata.event_id").isNotNull(), F.concat(F.lit(f"{nth}|"), F.col("metadata.event_id")))
+    return df.select(F.lit(source).alias("source_table"), F.col(f"payload.{entity}").alias("entity_id"), micros(rfc3339(F.col("metadata.event_timestamp"))).alias("valid_from"), F.col("record_id").alias("seq"), F.struct(comparable(first).alias("a"), comparable(second).alias("b")).alias("attrs"), event.alias("event_id"), (F.col("record_id") * 2 + nth).alias("ord"), micros(F.col("kafka_timestamp")).alias("arrived"))
 
 
-def history_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bitemporal ledger of products and customers, fed in LEDGER_BATCHES arrival slices of equal record_id range."""
-    updates = _updates(table(spark, sf_dir, "product_updates"), "product_updates", "product_id", "list_price", "category").unionByName(_updates(table(spark, sf_dir, "customer_events"), "customer_events", "customer_id", "loyalty_tier", "home_store_id"))
-    updates = written(updates, "updates")
-    bounds = {r.source_table: (r.low, r.high) for r in updates.groupBy("source_table").agg(F.min("seq").alias("low"), F.max("seq").alias("high")).collect()}  # one row per source table
+def history_ledger(spark: SparkSession, sf_dir: str) -> history.Ledger:
+    """The bitemporal ledger of products and customers, fed in LEDGER_BATCHES arrival slices of equal record_id range.
+
+    Records with the same event_id count once (the smallest record_id). A batch is recorded when its last record arrived.
+    """
+    every = written(_changes(table(spark, sf_dir, "product_updates"), "product_updates", "product_id", "list_price", "category", 0).unionByName(_changes(table(spark, sf_dir, "customer_events"), "customer_events", "customer_id", "loyalty_tier", "home_store_id", 1)), "changes")
+    bounds = {r.source_table: (r.low, r.high) for r in every.groupBy("source_table").agg(F.min("seq").alias("low"), F.max("seq").alias("high")).collect()}  # one row per source table
     slot = F.lit(0)
     for name, (low, high) in bounds.items():
         slot = F.when(F.col("source_table") == name, F.least(F.floor((F.col("seq") - low) * LEDGER_BATCHES / max(1, high - low)), F.lit(LEDGER_BATCHES - 1))).otherwise(slot)
-    ledger = None
-    for batch in range(LEDGER_BATCHES):
-        ledger = written(history.apply_updates(ledger, updates.where(slot == batch), batch), "ledger")
+    updates = written(dedup.keep_first(every, "ord", ["event_id"]).withColumn("slot", slot.cast("int")), "updates")
+    times = {r.slot: r.t for r in updates.groupBy("slot").agg(F.max("arrived").alias("t")).collect()}  # one row per batch
+    ledger = history.Ledger(spark, work_path(spark, "ledger"))
+    for batch in sorted(times):
+        ledger.apply(batch, updates.where(F.col("slot") == batch), times[batch])
     return ledger
 
 
 def p5_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ledger rows, superseded ones included."""
-    return history_ledger(spark, sf_dir).select("source_table", "entity_id", "valid_from", "valid_to", "seq", "recorded_at", "superseded_at", F.col("attrs.a").alias("attribute_a"), F.col("attrs.b").alias("attribute_b"))
+    return history_ledger(spark, sf_dir).rows().select("source_table", "entity_id", "valid_from", "valid_to", "seq", "recorded_at", "superseded_at", F.col("attrs.a").alias("attribute_a"), F.col("attrs.b").alias("attribute_b"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = history.versions(history.believed(history_ledger(spark, sf_dir)))
+    out = history.versions(history_ledger(spark, sf_dir).believed())
     return out.select("source_table", "entity_id", "version_no", F.col("valid_from").alias("valid_from_us"), F.col("valid_to").alias("valid_to_us"))
 
 

@@ -61,4 +61,21 @@ def _history(table: str, entity: str, first: str, second: str) -> str:
 
 P5 = f"{_history('product_updates', 'product_id', 'list_price', 'category')} union all {_history('customer_events', 'customer_id', 'loyalty_tier', 'home_store_id')}"
 
-SQL = {"p2_found": P2, "p2_corrected": P2_CORRECTED, "p3_found": P3, "p3_report": P3_REPORT, "p4_found": P4, "p4_attributes": P4_ATTRIBUTES, "p5_found": P5, "p7_found": P7}
+def _changes(table: str, entity: str, first: str, second: str) -> str:
+    norm = lambda c: f"lower(regexp_replace(payload.{c}, '^\\s+|\\s+$', '', 'g'))"
+    a = f"cast(payload.{first} as varchar)" if table == "product_updates" else norm(first)
+    return f"""select '{table}' as source_table, entity_id, valid_from, seq, a, b, arrived, cast(least(floor((seq - low) * 3.0 / greatest(1, high - low)), 2) as int) as slot from (
+        select payload.{entity} as entity_id, {EVENT} as valid_from, record_id as seq, {a} as a, {norm(second)} as b, epoch_us(kafka_timestamp) as arrived, min(record_id) over () as low, max(record_id) over () as high,
+               metadata.event_id is not null and record_id > min(record_id) over (partition by metadata.event_id) as again from {table}) where not again"""
+
+
+#: After each of the three batches a row ends where the next one known by then begins; the ledger holds each end once, from
+#: the first batch after which it held to the first after which it did not.
+P5_LEDGER = f"""with u as ({_changes('product_updates', 'product_id', 'list_price', 'category')} union all {_changes('customer_events', 'customer_id', 'loyalty_tier', 'home_store_id')}),
+    batches as (select slot as batch, max(arrived) as t from u group by 1),
+    known as (select u.*, batch, coalesce(lead(valid_from) over (partition by source_table, entity_id, batch order by valid_from, seq), -1) as valid_to from u join batches on slot <= batch where entity_id is not null and valid_from is not null),
+    spans as (select source_table, entity_id, valid_from, seq, a, b, valid_to, min(batch) as first, max(batch) as last from known group by source_table, entity_id, valid_from, seq, a, b, valid_to)
+    select source_table, entity_id, valid_from, valid_to, seq, r.t as recorded_at, s.t as superseded_at, a as attribute_a, b as attribute_b
+    from spans join batches r on r.batch = first left join batches s on s.batch = last + 1"""
+
+SQL = {"p5_ledger": P5_LEDGER, "p2_found": P2, "p2_corrected": P2_CORRECTED, "p3_found": P3, "p3_report": P3_REPORT, "p4_found": P4, "p4_attributes": P4_ATTRIBUTES, "p5_found": P5, "p7_found": P7}

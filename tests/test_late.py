@@ -40,7 +40,7 @@ def test_increments_do_not_change_the_result_and_touch_only_their_periods(spark,
     records = late.timed_sales(spark.createDataFrame(data, SCHEMA))
     whole = rows(late.replay(records, 1, str(tmp_path / "a")).current())
     parts = late.replay(records, 4, str(tmp_path / "b"))
-    assert rows(parts.current()) == whole and parts.applied == 2
+    assert rows(parts.current()) == whole and parts.parts.applied == 2
     again = late.CorrectedWindows(spark, str(tmp_path / "b"))
     one = late.timed_sales(spark.createDataFrame([sale(99, day(3, 0), day(3, 1), batch=99)], SCHEMA)).cache()
     assert again.arrive(7, one) == [20515] and len(rows(again.current())) == len(whole) + 1
@@ -59,7 +59,7 @@ def test_a_batch_reads_and_writes_only_what_it_touches(spark, tmp_path):
         assert touched == sorted(20512 + d for _, d in batch)
         assert set(files_of(w.retained(touched))) == {str(p) for p in touched}
         assert sorted(p.name for p in (tmp_path / "w" / f"v={number}").iterdir() if p.name.startswith("period")) == [f"period={p}" for p in touched]
-    assert w.versions == {20514: 2, 20515: 1, 20516: 1}
+    assert w.parts.versions == {20514: 2, 20515: 1, 20516: 1}
     # Superseded versions go, but for those of the former manifest.
     assert not (tmp_path / "w" / "v=0" / "period=20515").exists() and (tmp_path / "w" / "v=0" / "period=20514").exists()
     assert rows(w.current().groupBy().sum("transactions")) == [(5,)]
@@ -70,7 +70,7 @@ def test_a_dead_batch_is_not_seen_and_can_be_repeated(spark, tmp_path, monkeypat
     one, two = (late.timed_sales(spark.createDataFrame([sale(i, day(2, i), day(2, i))], SCHEMA)).cache() for i in (1, 2))
     w.arrive(0, one)
     before = rows(w.current())
-    monkeypatch.setattr(late.CorrectedWindows, "_publish", lambda *a: (_ for _ in ()).throw(OSError("died")))
+    monkeypatch.setattr(late.Parts, "publish", lambda *a: (_ for _ in ()).throw(OSError("died")))
     try:
         w.arrive(1, two)
     except OSError:
