@@ -9,19 +9,20 @@ cut out, without a parser walking the text. Strings that hold JSON text are deco
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from millrace.session import spread
 
 #: Bytes indexed at once; a longer body is indexed alone.
 SLICE_BYTES = 1 << 21
+LINES = pa.schema([("raw_id", pa.int64()), ("transaction_id", pa.string()), ("line_pos", pa.int32()), ("product_id", pa.string()), ("quantity", pa.string()), ("unit_price", pa.string())])
 LINES_SCHEMA = "raw_id bigint, transaction_id string, line_pos int, product_id string, quantity string, unit_price string"
-_SCALAR = re.compile(rb"true|false|null|-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?")
+_SCALAR = r"^(?:true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)$"
 _OPEN, _CLOSE, _STRING, _SCALAR_KIND, _COLON, _COMMA = 1, 2, 3, 4, 5, 6
 NAMES = ["payload", "transaction_id", "line_items", "product_id", "quantity", "unit_price"]
 PAYLOAD, TRANSACTION, ITEMS, PRODUCT, QUANTITY, PRICE = range(6)
@@ -93,14 +94,9 @@ class Index:
         scalars = np.flatnonzero(kind == _SCALAR_KIND)
         stops = np.flatnonzero(plain & ~np.append(plain[1:], False)) + 1
         end[scalars] = stops
-        known: dict[bytes, bool] = {}
-        for i in scalars:
-            text = data[pos[i] : end[i]]
-            good = known.get(text)
-            if good is None:
-                good = known[text] = _SCALAR.fullmatch(text) is not None
-            if not good:
-                ok[doc[i]] = False
+        if len(scalars):
+            good_scalar = pc.match_substring_regex(spans(b, pos[scalars], end[scalars]), _SCALAR).to_numpy(zero_copy_only=False)
+            ok[doc[scalars[~good_scalar]]] = False
 
         # Depth: prefix sum over brackets, from the start of each text.
         step = np.where(kind == _OPEN, 1, np.where(kind == _CLOSE, -1, 0))
@@ -108,7 +104,7 @@ class Index:
         first = np.searchsorted(doc, np.arange(n_docs))
         if not len(pos):  # nothing but blanks
             none = np.empty(0, np.int64)
-            self.pos = self.end = self.kind = self.doc = self.byte = self.parent = self.name = self.values = self.rank = none
+            self.pos = self.end = self.kind = self.doc = self.byte = self.parent = self.name = self.values = self.rank = self.closing = none
             self.ok = np.zeros(n_docs, bool)
             return
         base = np.where(first > 0, run[np.minimum(first, len(run) - 1) - 1], 0)
@@ -154,6 +150,8 @@ class Index:
         # Brackets must pair with their like: the opener that a closer ends is its holder.
         closers = np.flatnonzero(kind == _CLOSE)
         opener = holder[closers]
+        closing = np.full(len(pos), -1)
+        closing[opener[opener >= 0]] = closers[opener >= 0]
         ok[doc[closers[(opener < 0) | (byte[np.maximum(opener, 0)] + 2 != byte[closers])]]] = False
 
         # Grammar, by pairs of neighbours. in_obj: the container is an object; key: a string that opens a member.
@@ -179,7 +177,7 @@ class Index:
         good |= (kind == _CLOSE) & (p_end | head_before)
         ok[doc[~good]] = False
 
-        self.pos, self.end, self.kind, self.doc, self.byte, self.parent, self.ok = pos, end, kind, doc, byte, parent, ok
+        self.pos, self.end, self.kind, self.doc, self.byte, self.parent, self.ok, self.closing, self.bytes, self.escaped = pos, end, kind, doc, byte, parent, ok, closing, b, escaped
         self.name = np.full(len(pos), -1, np.int8)
         members = np.flatnonzero(value & in_obj & ok[doc])
         keys = members - 2
@@ -205,28 +203,40 @@ class Index:
     def text(self, token: int) -> bytes:
         return self.data[self.pos[token] : self.end[token]]
 
-    def decoded(self, token: int) -> str | None:
-        """A string as what it says, null as None, anything else as it is written."""
-        if self.kind[token] == _STRING:
-            return json.loads(self.text(token))
-        if self.kind[token] == _OPEN:
-            return self.spanned(token)
-        text = self.text(token).decode()
-        return None if text == "null" else text
+    def decoded(self, tokens: np.ndarray) -> pa.Array:
+        """Strings as what they say, null as null, anything else (objects and arrays too) as it is written. Token -1: null."""
+        if not len(tokens) or not len(self.pos):
+            return pa.nulls(len(tokens), pa.large_string())
+        t = np.maximum(tokens, 0)
+        string, opened = self.kind[t] == _STRING, self.kind[t] == _OPEN
+        first, last = self.pos[t] + string, np.where(opened, self.end[np.maximum(self.closing[t], 0)], self.end[t] - string)
+        none = (tokens < 0) | (~string & ~opened & (last - first == 4) & (self.bytes[np.minimum(first, len(self.bytes) - 1)] == 110))
+        out = spans(self.bytes, first, np.where(none, first, last), none)
+        hard = np.flatnonzero(string & ~none & (np.searchsorted(self.escaped, last) > np.searchsorted(self.escaped, first))) if len(self.escaped) else ()
+        if len(hard):  # strings with escapes, the few there are
+            said = [json.loads(self.text(x)).encode("utf-8", "replace").decode() for x in t[hard]]
+            mask = np.zeros(len(tokens), bool)
+            mask[hard] = True
+            out = pc.replace_with_mask(out, pa.array(mask), pa.array(said, pa.large_string()))
+        return out
 
-    def spanned(self, token: int) -> str:
-        """An object or array as it is written."""
-        later = np.flatnonzero((self.kind[token:] == _CLOSE) & (self.parent[token:] == self.parent[token]) & (self.doc[token:] == self.doc[token]))
-        return self.data[self.pos[token] : self.end[token + later[0]]].decode()
+
+def spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, none: np.ndarray | None = None) -> pa.Array:
+    """data[first:last] of each pair as texts, gathered at once; null where none."""
+    size = last - first
+    offset = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    held = data[np.repeat(first - offset[:-1], size) + np.arange(offset[-1])]
+    valid = None if none is None else pa.array(~none).buffers()[1]
+    return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offset), pa.py_buffer(np.ascontiguousarray(held)), valid)
 
 
 def _json_like(text: str) -> bool:
     return text.lstrip(" \t\r\n")[:1] in ("{", "[", '"')
 
 
-def extract_lines(bodies: list[tuple[int, str]]) -> list[tuple]:
+def extract_lines(bodies: list[tuple[int, str]]) -> pa.Table:
     """Line rows (LINES_SCHEMA) of some bodies; nothing for a body that is not JSON. Rows of one body do not repeat."""
-    out: dict[tuple, None] = {}
+    found = [LINES.empty_table()]
     # What is still to be indexed: raw_id, role, transaction_id, line position, text.
     todo = [(raw, BODY, None, 0, text) for raw, text in bodies]
     while todo:
@@ -234,82 +244,81 @@ def extract_lines(bodies: list[tuple[int, str]]) -> list[tuple]:
         more: list[tuple] = []
         role = np.fromiter((x[1] for x in todo), np.int8, len(todo))
         v, parent, name = ix.values, ix.parent, ix.name
-        obj = lambda t: ix.byte[t] == 123
-        arr = lambda t: ix.byte[t] == 91
-        text = lambda t: ix.kind[t] == _STRING
-        no = np.empty(0, np.int64)
+        obj, arr, text = (lambda t: ix.byte[t] == 123), (lambda t: ix.byte[t] == 91), (lambda t: ix.kind[t] == _STRING)  # noqa: E731, B023
 
-        def again(token: int, role: int, transaction: str | None, at: int) -> None:
-            inner = ix.decoded(token)
-            if inner is not None and _json_like(inner):
-                more.append((todo[ix.doc[token]][0], role, transaction, at, inner))  # noqa: B023
+        def again(tokens: np.ndarray, role: int, transactions: np.ndarray | None = None, at: np.ndarray | None = None) -> None:
+            """Texts that may hold JSON, for the next round; transactions: tokens (-1: that of the text's own round)."""
+            tokens = np.asarray(tokens, np.int64)
+            if not len(tokens):
+                return
+            said = ix.decoded(transactions).to_pylist() if transactions is not None else [None] * len(tokens)  # noqa: B023
+            for k, inner in enumerate(ix.decoded(tokens).to_pylist()):  # noqa: B023
+                if inner is not None and _json_like(inner):
+                    _, _, before, place, _ = todo[ix.doc[tokens[k]]]  # noqa: B023
+                    more.append((todo[ix.doc[tokens[k]]][0], role, said[k] if transactions is not None and transactions[k] >= 0 else before, place if at is None else int(at[k]), inner))  # noqa: B023
 
         def members(holders: np.ndarray, which: int) -> np.ndarray:
             """The last member of that name of each of the objects."""
-            mark = np.zeros(len(ix.pos) + 1, bool)
+            mark = np.zeros(len(ix.pos) + 1, bool)  # noqa: B023
             mark[holders] = True
             mark[-1] = False  # parent -1: none
-            m = v[(name[v] == which) & mark[parent[v]]]
-            m = m[np.lexsort((m, parent[m]))]
-            return m[np.append(np.diff(parent[m]) != 0, True)] if len(m) else m
+            m = v[(name[v] == which) & mark[parent[v]]]  # noqa: B023
+            m = m[np.lexsort((m, parent[m]))]  # noqa: B023
+            return m[np.append(np.diff(parent[m]) != 0, True)] if len(m) else m  # noqa: B023
+
+        def member_of(holders: np.ndarray, which: int) -> np.ndarray:
+            """That member of each of the objects, -1 for none."""
+            out = np.full(len(ix.pos) + 1, -1)  # noqa: B023
+            m = members(holders, which)
+            out[parent[m]] = m  # noqa: B023
+            return out[holders]
 
         def elements(lists: np.ndarray) -> np.ndarray:
-            mark = np.zeros(len(ix.pos) + 1, bool)
+            mark = np.zeros(len(ix.pos) + 1, bool)  # noqa: B023
             mark[lists] = True
             mark[-1] = False
-            return v[(parent[v] >= 0) & mark[parent[v]]]
+            return v[(parent[v] >= 0) & mark[parent[v]]]  # noqa: B023
 
         roots = v[parent[v] < 0]
-        r = role[ix.doc[roots]]
+        r = role[ix.doc[roots]] if len(roots) else np.empty(0, np.int8)
         # Bodies: objects are envelopes; arrays of them, to any depth.
-        envelopes, level = [], roots[r == BODY]
+        envelopes, level = [np.empty(0, np.int64)], roots[r == BODY]
         while len(level):
             envelopes.append(level[obj(level)])
-            for t in level[text(level)]:
-                again(t, BODY, None, 0)
+            again(level[text(level)], BODY)
             level = elements(level[arr(level)])
-        envelopes = np.concatenate([no, *envelopes])
-        parts = members(envelopes, PAYLOAD)
-        for t in parts[text(parts)]:
-            again(t, PAYLOAD_PART, None, 0)
+        parts = members(np.concatenate(envelopes), PAYLOAD)
         own = roots[r == PAYLOAD_PART]
-        for t in own[text(own)]:
-            again(t, PAYLOAD_PART, None, 0)
+        again(np.concatenate([parts[text(parts)], own[text(own)]]), PAYLOAD_PART)
         payloads = np.concatenate([parts[obj(parts)], own[obj(own)]])
-        said = {parent[t]: ix.decoded(t) for t in members(payloads, TRANSACTION)}
-        # The line items: an array, one object, or a text that holds either.
-        held = [(t, said.get(parent[t])) for t in members(payloads, ITEMS)]
-        held += [(t, todo[ix.doc[t]][2]) for t in roots[r == LINES_PART]]
-        items: list[tuple[int, str | None, int]] = []
-        lists: dict[int, str | None] = {}
-        for t, transaction in held:
-            if ix.byte[t] == 91:
-                lists[t] = transaction
-            elif ix.byte[t] == 123:
-                items.append((t, transaction, 1))
-            elif ix.kind[t] == _STRING:
-                again(t, LINES_PART, transaction, 0)
-        if lists:
-            for t in elements(np.fromiter(lists, np.int64, len(lists))):
-                transaction, at = lists[parent[t]], int(ix.rank[t])
-                if ix.byte[t] == 123:
-                    items.append((t, transaction, at))
-                elif ix.kind[t] == _STRING:
-                    again(t, LINE_PART, transaction, at)
-        for t in roots[r == LINE_PART]:
-            _, _, transaction, at, _ = todo[ix.doc[t]]
-            if ix.byte[t] == 123:
-                items.append((t, transaction, at))
-            elif ix.kind[t] == _STRING:
-                again(t, LINE_PART, transaction, at)
-        holders = np.fromiter((x[0] for x in items), np.int64, len(items))
-        fields = [{parent[t]: t for t in members(holders, which)} for which in (PRODUCT, QUANTITY, PRICE)]
-        for t, transaction, at in items:
-            got = [ix.decoded(f[t]) if t in f else None for f in fields]
-            if None not in got:
-                out[(todo[ix.doc[t]][0], transaction, at, *got)] = None
+        # The line items: an array, one object, or a text that holds either; transactions by token, -1 for that of the round before.
+        said = np.full(len(ix.pos) + 1, -1)
+        said[payloads] = member_of(payloads, TRANSACTION)
+        lists = members(payloads, ITEMS)
+        outer = roots[r == LINES_PART]
+        holder = np.concatenate([said[parent[lists]], np.full(len(outer), -1)])
+        lists = np.concatenate([lists, outer])
+        again(lists[text(lists)], LINES_PART, holder[text(lists)])
+        of_list = np.full(len(ix.pos) + 1, -1)
+        of_list[lists] = holder
+        each = elements(lists[arr(lists)])
+        again(each[text(each)], LINE_PART, of_list[parent[each[text(each)]]], ix.rank[each[text(each)]])
+        lone = roots[r == LINE_PART]
+        again(lone[text(lone)], LINE_PART)
+        own_place = lambda t: np.fromiter((todo[d][3] for d in ix.doc[t]), np.int64, len(t))  # noqa: B023, E731
+        items = np.concatenate([lists[obj(lists)], each[obj(each)], lone[obj(lone)]])
+        if len(items):
+            places = np.concatenate([np.ones(obj(lists).sum(), np.int64), ix.rank[each[obj(each)]], own_place(lone[obj(lone)])])
+            token = np.concatenate([holder[obj(lists)], of_list[parent[each[obj(each)]]], np.full(obj(lone).sum(), -1)])
+            before = pa.array([x[2] for x in todo], pa.large_string()).take(pa.array(ix.doc[items]))
+            transaction = pc.if_else(pa.array(token >= 0), ix.decoded(token), before)
+            fields = [ix.decoded(member_of(items, which)) for which in (PRODUCT, QUANTITY, PRICE)]
+            raw = np.fromiter((x[0] for x in todo), np.int64, len(todo))[ix.doc[items]]
+            rows = pa.table([pa.array(raw), transaction, pa.array(places, pa.int32()), *fields], names=LINES.names)
+            whole = pc.and_(pc.and_(fields[0].is_valid(), fields[1].is_valid()), fields[2].is_valid())
+            found.append(rows.filter(whole).cast(LINES))
         todo = more
-    return list(out)
+    return pa.concat_tables(found).group_by(LINES.names).aggregate([])
 
 
 def flat_lines(bodies: DataFrame) -> DataFrame:
@@ -321,8 +330,6 @@ def flat_lines(bodies: DataFrame) -> DataFrame:
     Bodies, payloads, line_items and lines that are JSON text count as what they hold; text that is not JSON counts as no
     lines. A member given twice counts as last given. A missing or null transaction_id is null. No shuffle but for inputs of fewer partitions than cores.
     """
-    schema = pa.schema([("raw_id", pa.int64()), ("transaction_id", pa.string()), ("line_pos", pa.int32()), ("product_id", pa.string()), ("quantity", pa.string()), ("unit_price", pa.string())])
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part, size = [], 0
@@ -330,17 +337,11 @@ def flat_lines(bodies: DataFrame) -> DataFrame:
                 if text is None:
                     continue
                 if part and size + len(text) > SLICE_BYTES:
-                    yield made(part)
+                    yield from extract_lines(part).to_batches()
                     part, size = [], 0
                 part.append((raw, text))
                 size += len(text)
             if part:
-                yield made(part)
-
-    def made(part: list[tuple[int, str]]) -> pa.RecordBatch:
-        found = extract_lines(part)
-        clean = lambda x: x.encode("utf-8", "replace").decode() if isinstance(x, str) else x  # noqa: E731  lone surrogates
-        columns = list(zip(*found)) or [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array([clean(x) for x in c], t.type) for c, t in zip(columns, schema)], schema=schema)
+                yield from extract_lines(part).to_batches()
 
     return spread(bodies.select("raw_id", "event_json"), "raw_id").mapInArrow(rows, LINES_SCHEMA)
