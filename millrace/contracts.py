@@ -65,3 +65,13 @@ EVENTS, DEAD_LETTERS, AUDIT = "events", "dead_letters", "ingest_audit"
 # Headers of dead-lettered records.
 HEADERS = {"error_code": "dlq.error.code", "error_message": "dlq.error.message", "error_stage": "dlq.error.stage", "source_topic": "dlq.source.topic", "source_partition": "dlq.source.partition", "source_offset": "dlq.source.offset", "failed_at": "dlq.failed_at", "app": "dlq.app"}
 REDRIVE_COUNT, MAX_REDRIVES = "dlq.redrive_count", 3
+
+# Outputs of an ingest batch (fixed names and order): column, how it is made (see operators/outputs.py), from what.
+_ENVELOPE = [("event_id", "as", "metadata.event_id"), ("event_type", "as", "metadata.event_type"), ("schema_version", "as", "metadata.schema_version"), ("event_timestamp", "iso", "event_ts"), ("produced_at", "iso", "try_cast(metadata.produced_at as timestamp)"), ("producer", "as", "metadata.producer"), ("correlation_id", "as", "metadata.correlation_id"), ("causation_id", "as", "metadata.causation_id")]
+_BATCH = [("spark_query_id", "query", ""), ("spark_batch_id", "batch", "")]
+LANDED = [("kafka_topic", "as", "topic"), ("kafka_partition", "as", "partition"), ("kafka_offset", "as", "offset"), ("kafka_timestamp", "iso", "timestamp"), ("kafka_key", "text", "key"), ("schema_id", "as", "schema_id"), *_ENVELOPE, ("event_json", "as", "body"), ("dq_warnings", "json", "dq_warnings"), ("ingested_at", "iso", "current_timestamp()"), *_BATCH]
+DEAD_LETTER = [("source_topic", "as", "topic"), ("source_partition", "as", "partition"), ("source_offset", "as", "offset"), ("kafka_timestamp", "iso", "timestamp"), ("kafka_key", "repaired", "key"), ("error_code", "as", "rejection.rule_id"), ("error_stage", "as", "rejection.stage"), ("error_message", "as", "rejection.message"), ("event_id", "as", "metadata.event_id"), ("raw_value_base64", "base64", "value"), ("raw_value_preview", "preview", "value"), ("failed_at", "iso", "current_timestamp()"), *_BATCH]
+#: Diagnostics of a dead-lettered record: name in HEADERS, how it is made, from what.
+DIAGNOSTICS = [("error_code", "as", "rejection.rule_id"), ("error_message", "as", "rejection.message"), ("error_stage", "as", "rejection.stage"), ("source_topic", "as", "topic"), ("source_partition", "as", "partition"), ("source_offset", "as", "offset"), ("failed_at", "iso", "current_timestamp()"), ("app", "app", "")]
+AUDIT_COUNTS = {"records_read": "true", "records_valid": "is_valid", "records_rejected": "not is_valid", "records_warned": "is_valid and size(dq_warnings) > 0"}
+PREVIEW_CHARS = 2000

@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.contracts import HEADERS, MAX_REDRIVES, REDRIVE_COUNT, Dataset
-
-
-def header(name: str) -> Column:
-    """The last header of that name as text, or null."""
-    found = F.filter("headers", lambda h: h["key"] == name)
-    return F.try_element_at(found, F.lit(-1))["value"].cast("string")
+from millrace.operators.headers import last_text, replaced
 
 
 def redrive_count() -> Column:
     """How often a record was redriven; 0 if the header is missing or no number."""
-    return F.coalesce(header(REDRIVE_COUNT).try_cast("int"), F.lit(0))
+    return F.coalesce(last_text(REDRIVE_COUNT).try_cast("int"), F.lit(0))
 
 
 def redrive(dead: DataFrame, dataset: Dataset, error_code: str | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -25,17 +20,15 @@ def redrive(dead: DataFrame, dataset: Dataset, error_code: str | None = None, fo
     force. Key and value stay byte for byte; the diagnostics go, the redrive count rises by one. A dry run is to use the
     report only; the caller commits its read position after the records are written.
     """
-    wanted = F.lit(True) if error_code is None else F.coalesce(header(HEADERS["error_code"]) == error_code, F.lit(False))
+    wanted = F.lit(True) if error_code is None else F.coalesce(last_text(HEADERS["error_code"]) == error_code, F.lit(False))
     outcome = F.when(~wanted, "skipped_filter").when((redrive_count() >= MAX_REDRIVES) & F.lit(not force), "loop_guarded").otherwise("redriven")
     marked = dead.withColumn("outcome", outcome)
-    kept = F.filter("headers", lambda h: ~F.coalesce(h["key"].isin([*HEADERS.values(), REDRIVE_COUNT]), F.lit(False)))
-    count = F.struct(F.lit(REDRIVE_COUNT).alias("key"), F.encode((redrive_count() + 1).cast("string"), "UTF-8").alias("value"))
-    records = marked.where("outcome = 'redriven'").select(F.lit(dataset.retry).alias("topic"), "key", "value", F.concat(kept, F.array(count)).alias("headers"))
+    records = marked.where("outcome = 'redriven'").select(F.lit(dataset.retry).alias("topic"), "key", "value", replaced({REDRIVE_COUNT: redrive_count() + 1}, HEADERS.values()).alias("headers"))
     return records, marked.groupBy("outcome").agg(F.count(F.lit(1)).alias("records"))
 
 
 def inspect(dead: DataFrame) -> DataFrame:
     """error_code, error_stage, records, oldest, newest; most frequent first. Without headers: unknown."""
-    code, stage = F.coalesce(header(HEADERS["error_code"]), F.lit("unknown")), F.coalesce(header(HEADERS["error_stage"]), F.lit("unknown"))
+    code, stage = F.coalesce(last_text(HEADERS["error_code"]), F.lit("unknown")), F.coalesce(last_text(HEADERS["error_stage"]), F.lit("unknown"))
     by = dead.groupBy(code.alias("error_code"), stage.alias("error_stage")).agg(F.count(F.lit(1)).alias("records"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"))
     return by.orderBy(F.desc("records"), "error_code", "error_stage")

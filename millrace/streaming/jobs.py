@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.contracts import POS, Dataset
 from millrace.operators.decode import parse, unframe
-from millrace.operators.rules import apply_rules, rules_for
+from millrace.operators.rules import DERIVED, apply_rules, rules_for
 from millrace.operators.windows import product_units_1h, store_revenue_5m, watermarked
 
 INGEST_TRIGGER, REALTIME_TRIGGER = "30 seconds", "10 seconds"
@@ -18,7 +18,7 @@ OBSERVED = "ingest"
 
 def validated(records: DataFrame, dataset: Dataset, now: Column | str | None = None) -> DataFrame:
     """Source records, decoded, parsed and judged by the rules of their dataset."""
-    return apply_rules(parse(unframe(records), dataset), rules_for(dataset), now)
+    return apply_rules(parse(unframe(records), dataset), rules_for(dataset), now, DERIVED.get(dataset.name))
 
 
 def observed(df: DataFrame, name: str = OBSERVED) -> DataFrame:
