@@ -31,6 +31,13 @@ def judged(w: Warehouse, table: str) -> DataFrame:
     return validated(kafka_shaped(spread(w.raw(table), "record_id"), TABLES[table]), TABLES[table], now())
 
 
+def verdicts(w: Warehouse, table: str) -> DataFrame:
+    """What accounting needs of a table's judged events, written once: decoding and judging is the dear part."""
+    d = TABLES[table]
+    key = (F.col(f"payload.{d.business_key}") if d.business_key else F.lit(None).cast("string")).alias("business_key")
+    return w.table(f"verdicts_{table}", lambda: judged(w, table).select("topic", "partition", "offset", "event_ts", "is_valid", "dq_warnings", key))
+
+
 def _rule_query(table: str):
     def query(w: Warehouse) -> DataFrame:
         return judged(w, table).select(F.col("offset").alias("record_id"), F.col("rejection.rule_id").alias("rejected_by"), F.concat_ws(",", "dq_warnings").alias("warnings"))
@@ -92,24 +99,32 @@ def _raw_ids(w: Warehouse) -> dict[str, DataFrame]:
     return {d.name: w.raw(t).select(F.col("metadata.event_id").alias("event_id")).where("event_id is not null") for t, d in TABLES.items()}
 
 
+def _accounts(w: Warehouse, tables: dict[str, Dataset]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [outputs.audit(verdicts(w, t), d, QUERY_ID, BATCH) for t, d in tables.items()])
+
+
+def _landed(w: Warehouse, table: str) -> DataFrame:
+    """Offsets and keys of the landed events of one batch."""
+    return verdicts(w, table).where("is_valid").select(F.col("topic").alias("kafka_topic"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), "business_key")
+
+
 def dq_results(w: Warehouse) -> DataFrame:
     """SF-001 to SF-008 over the whole warehouse (SF-005 over the audit of one ingest batch of each topic)."""
-    audit = _each(w, TABLES, lambda df, d: outputs.audit(df, d, QUERY_ID, BATCH))
-    raw = _each(w, TABLES, lambda df, d: outputs.landed(df, QUERY_ID, BATCH).select(F.lit(d.name).alias("dataset"), "spark_query_id", "spark_batch_id", "kafka_topic", "kafka_partition", "kafka_offset"))
+    audit = _accounts(w, TABLES)
+    raw = reduce(DataFrame.unionByName, [_landed(w, t).select(F.lit(d.name).alias("dataset"), F.lit(QUERY_ID).alias("spark_query_id"), F.lit(BATCH).cast("bigint").alias("spark_batch_id"), "kafka_topic", "kafka_partition", "kafka_offset") for t, d in TABLES.items()])
     key = lambda df, c: df.select(c)
     return quality.run_checks([
         quality.sf001(_raw_ids(w)), quality.sf002(business_duplicates(typed_sales(w.raw("pos_transactions")), "pos_transactions", "transaction_id")), quality.sf003(w.fact_sales, w.dim_product, w.dim_customer), quality.sf004(w.fact_sales, w.fact_inventory), quality.sf005(audit, raw),
         quality.sf006(key(typed_sales(w.raw("pos_transactions")), "transaction_id"), key(w.stg_lines, "transaction_id").distinct(), key(typed_movements(w.raw("inventory_events")), "movement_id"), key(w.stg_movements, "movement_id"), w.stg_lines.select("transaction_id", "line_number"), w.fact_sales.select("transaction_id", "line_number")),
         quality.sf007(w.fact_sales, NOW), quality.sf008(w.fact_inventory),
-    ]).select("rule_id", "severity", "status", "observed", "threshold")
+    ]).select("rule_id", "severity", "status", "observed", "threshold", "details")
 
 
 def rec_report(w: Warehouse, tables: dict[str, Dataset] = SALES) -> DataFrame:
     """Reconciliation of the sales topic: log, audit, landed and staged; rec_report_all: of all topics."""
-    log = reduce(DataFrame.unionByName, [kafka_shaped(w.raw(t), d) for t, d in tables.items()]).groupBy("topic", "partition").agg(F.min("offset").alias("low"), (F.max("offset") + 1).alias("high"))
-    audit = _each(w, tables, lambda df, d: outputs.audit(df, d, QUERY_ID, BATCH))
-    key = lambda d: (F.col(f"payload.{d.business_key}") if d.business_key else F.lit(None).cast("string")).alias("business_key")
-    landed = _each(w, tables, lambda df, d: df.where("is_valid").select(F.col("topic").alias("kafka_topic"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), key(d)))
+    log = reduce(DataFrame.unionByName, [w.raw(t).select(F.lit(d.topic).alias("topic"), F.col("kafka_partition").cast("int").alias("partition"), F.col("record_id").alias("offset")) for t, d in tables.items()]).groupBy("topic", "partition").agg(F.min("offset").alias("low"), (F.max("offset") + 1).alias("high"))
+    audit = _accounts(w, tables)
+    landed = reduce(DataFrame.unionByName, [_landed(w, t) for t in tables])
     staged = [{POS: w.stg_lines, INVENTORY: w.stg_movements}[d].agg(F.count_distinct(d.business_key).alias("staged_keys")).select(F.lit(d.topic).alias("topic"), "staged_keys") for d in tables.values() if d.business_key]
     return reconcile.reconcile(reconcile.gather(log, audit, landed, reduce(DataFrame.unionByName, staged))).select("topic", "in_retention", "not_yet_processed", "spark_read", "spark_valid", "spark_rejected", "raw_offsets", "not_yet_loaded", "duplicates", "balanced", "unexplained", "status")
 
@@ -221,16 +236,23 @@ SQL = {
     "str_store_revenue_5m": sql(", once as (select * from pos_events qualify row_number() over (partition by event_id order by record_id) = 1) select store_id, time_bucket(interval '5 minutes', event_ts) as window_start, cast(sum(coalesce(total_amount, 0)) as decimal(14,2)) as revenue, count(*) as transactions, cast(sum(coalesce(list_sum(list_transform(line_items, lambda l: coalesce(l.quantity, 0))), 0)) as bigint) as units from once group by all"),
     "str_product_units_1h": sql(", once as (select * from pos_events qualify row_number() over (partition by event_id order by record_id) = 1), ls as (select event_ts, unnest(line_items) as l from once) select l.product_id as product_id, time_bucket(interval '1 hour', event_ts) as window_start, cast(sum(l.quantity) as bigint) as units, cast(sum(l.quantity * l.unit_price - coalesce(l.discount_amount, 0)) as decimal(14,2)) as revenue from ls where l.product_id is not null group by all"),
     "wh_business_duplicates": sql(", d as (select 'pos_transactions' as dataset, * from (" + _DUP.format(k="transaction_id", t="typed_sales") + ") union all select 'inventory_movements', * from (" + _DUP.format(k="movement_id", t="typed_moves") + ")) select dataset, business_key, kept as kept_event_id, event_id as duplicate_event_id, event_ts as duplicate_event_ts from d where event_id <> kept qualify row_number() over (partition by dataset, event_id order by record_id) = 1"),
-    "dq_results": sql(f""", r(rule_id, severity, observed, threshold) as (
-        select 'SF-001', 'INFO', (select sum(n) from (select count(metadata.event_id) - count(distinct metadata.event_id) as n from pos_transactions union all select count(metadata.event_id) - count(distinct metadata.event_id) from inventory_events union all select count(metadata.event_id) - count(distinct metadata.event_id) from customer_events union all select count(metadata.event_id) - count(distinct metadata.event_id) from product_updates)), 0
-        union all select 'SF-002', 'WARN', (select count(distinct event_id) from ({_DUP.format(k='transaction_id', t='typed_sales')}) where event_id <> kept), 0
-        union all select 'SF-003', 'WARN', (select count(*) from fact_sales f join dim_product p on p.product_key = f.product_key where p.is_inferred) + (select count(*) from fact_sales f join dim_customer c on c.customer_key = f.customer_key where c.is_inferred), 0
-        union all select 'SF-004', 'ERROR', (select count(*) from fact_sales where '-1' in (store_key, product_key, customer_key)) + (select count(*) from fact_inventory where '-1' in (store_key, product_key)), 0
-        union all select 'SF-005', 'ERROR', 0, 0
-        union all select 'SF-006', 'ERROR', (select count(distinct transaction_id) from typed_sales where transaction_id not in (select transaction_id from stg_lines)), 0
-        union all select 'SF-007', 'WARN', (select date_diff('second', max(event_ts), timestamp '{NOW}') // 60 from fact_sales), 60
-        union all select 'SF-008', 'WARN', (select count(*) from (select quantity_on_hand_after - lag(quantity_on_hand_after) over (partition by store_id, product_id order by event_ts, movement_id) as d, quantity_delta from fact_inventory) where d <> quantity_delta), 0)
-        select rule_id, severity, case when observed > threshold then 'FAIL' else 'PASS' end as status, cast(observed as decimal(38,4)) as observed, cast(threshold as decimal(38,4)) as threshold from r"""),
+    "dq_results": sql(f""", twice(dataset, n) as (select 'customer_events', count(metadata.event_id) - count(distinct metadata.event_id) from customer_events union all select 'inventory_movements', count(metadata.event_id) - count(distinct metadata.event_id) from inventory_events union all select 'pos_transactions', count(metadata.event_id) - count(distinct metadata.event_id) from pos_transactions union all select 'product_events', count(metadata.event_id) - count(distinct metadata.event_id) from product_updates),
+        again as (select business_key from ({_DUP.format(k='transaction_id', t='typed_sales')}) where event_id <> kept qualify row_number() over (partition by event_id order by record_id) = 1),
+        valid as ({' union all '.join(f"select '{t}' as t, count(*) as n, count(distinct (kafka_partition, record_id)) as m from {_judged_sql(t)} where rejected_by is null" for t in TABLES)}),
+        inferred as (select (select count(*) from fact_sales f join dim_product p on p.product_key = f.product_key where p.is_inferred) as p, (select count(*) from fact_sales f join dim_customer c on c.customer_key = f.customer_key where c.is_inferred) as c, (select count(*) from dim_product where is_inferred) as d),
+        unknown as (select (select count(*) from fact_sales where '-1' in (store_key, product_key, customer_key) or date_key = -1) as s, (select count(*) from fact_inventory where '-1' in (store_key, product_key) or date_key = -1) as i),
+        lost as (select (select count(distinct transaction_id) from typed_sales where transaction_id not in (select transaction_id from stg_lines)) as a, (select count(distinct movement_id) from typed_moves where movement_id not in (select movement_id from fact_inventory)) as b, (select count(*) from stg_lines l where not exists (select 1 from fact_sales f where f.transaction_id = l.transaction_id and f.line_number = l.line_number)) as c),
+        steps as (select quantity_on_hand_after - lag(quantity_on_hand_after) over (partition by store_id, product_id order by event_ts, movement_id) as d, quantity_delta from fact_inventory),
+        r(rule_id, severity, observed, threshold, details) as (
+        select 'SF-001', 'INFO', sum(n), 0, '{{' || string_agg('"' || dataset || '":' || n, ',' order by dataset) || '}}' from twice
+        union all select 'SF-002', 'WARN', (select count(*) from again), 0, '{{"sample_keys":[' || coalesce((select string_agg('"' || business_key || '"', ',' order by business_key) from (select business_key from again order by 1 limit 10)), '') || ']}}'
+        union all select 'SF-003', 'WARN', p + c, 0, '{{"sales_inferred_product":' || p || ',"sales_inferred_customer":' || c || ',"inferred_products":' || d || '}}' from inferred
+        union all select 'SF-004', 'ERROR', s + i, 0, '{{"fact_sales":' || s || ',"fact_inventory":' || i || '}}' from unknown
+        union all select 'SF-005', 'ERROR', count(*) filter (where n <> m), 0, '{{"batches_checked":' || count(*) || ',"records_valid":' || sum(n) || ',"records_loaded":' || sum(m) || '}}' from valid
+        union all select 'SF-006', 'ERROR', a + b + c, 0, '{{"pos_transactions_not_staged":' || a || ',"inventory_movements_not_staged":' || b || ',"staged_lines_not_in_fact_sales":' || c || '}}' from lost
+        union all select 'SF-007', 'WARN', date_diff('second', max(event_ts), timestamp '{NOW}') // 60, 60, '{{"max_event_ts_utc":"' || strftime(max(event_ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z"}}' from fact_sales
+        union all select 'SF-008', 'WARN', count(*) filter (where d <> quantity_delta), 0, '{{"movements_checked":' || count(d) || '}}' from steps)
+        select rule_id, severity, case when observed > threshold then 'FAIL' else 'PASS' end as status, cast(observed as decimal(38,4)) as observed, cast(threshold as decimal(38,4)) as threshold, details from r"""),
     "rec_report": sql(f", j as (select * from {_POS}), v as (select * from j where rejected_by is null), p as (select kafka_partition, max(record_id) + 1 - min(record_id) as n from j group by 1) select 'pos.transactions' as topic, (select cast(sum(n) as bigint) from p) as in_retention, 0::bigint as not_yet_processed, (select count(*) from j) as spark_read, (select count(*) from v) as spark_valid, (select count(*) from j where rejected_by is not null) as spark_rejected, (select count(*) from v) as raw_offsets, 0::bigint as not_yet_loaded, (select count(*) - count(distinct payload.transaction_id) from v) as duplicates, true as balanced, 0::bigint as unexplained, 'OK' as status"),
     "wh_freshness": sql("select 'raw' as layer, max(event_ts) as max_event_ts from typed_sales union all select 'staging', max(event_ts) from stg_lines union all select 'facts', max(event_ts) from fact_sales"),
 }
@@ -262,7 +284,9 @@ def _rec_sql(table: str) -> str:
 ALL = (ing_audit, ing_landed, ing_dead_letters, dlq_inspect, dlq_redrive, rec_report)
 SQL |= {f"{n}_all": " union all ".join(f"select * from ({_sql_of(n, t)})" for t in TABLES) for n in ("ing_audit", "ing_landed", "ing_dead_letters")}
 SQL |= {f"{n}_all": f"select {by}, cast(sum(records) as bigint) as records from ({' union all '.join(f'select * from ({_sql_of(n, t)})' for t in TABLES)}) group by all" for n, by in (("dlq_inspect", "error_code, error_stage"), ("dlq_redrive", "outcome"))}
+_GATE = "select bool_and(ok) as passed from (select status = 'OK' as ok from ({report}) union all select not (severity = 'ERROR' and status = 'FAIL') from ({quality}))"
 SQL["rec_report_all"] = " union all ".join(map(_rec_sql, TABLES))
+SQL["rec_gate"] = _GATE.format(report=SQL["rec_report_all"], quality=SQL["dq_results"])
 FUNCTIONS = {f.__name__: f for f in (flt03_contract, flt03_contract_all, str_stream_windows, snk_landing_cycle, ing_audit, ing_landed, ing_dead_letters, dlq_inspect, dlq_redrive, str_store_revenue_5m, str_product_units_1h, wh_business_duplicates, dq_results, rec_report, rec_gate, wh_freshness, alr_fired, gen_dry_run)} | {f"rules_{t}": _rule_query(t) for t in TABLES}
 FUNCTIONS |= {f"{f.__name__}_all": (lambda w, f=f: f(w, TABLES)) for f in ALL}
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(Warehouse(spark, sf_dir))) for name, f in FUNCTIONS.items()}
