@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.operators.ordered import with_neighbours
-from millrace.session import BROADCAST_BYTES, broadcastable, cut
+from millrace.session import BROADCAST_BYTES, cut, row_bytes
 
 #: Nodes are broadcast up to this many bytes; beyond, both sides are shuffled on entity and node, in SALTS parts each, as a
 #: hot entity's events share its upper nodes.
@@ -84,7 +84,7 @@ def disjoint(side: DataFrame, leaf_bits: int) -> DataFrame:
     return cut(parts.select("_e", F.col("_t").alias("_low"), F.col("_next._t").alias("_high"), "_v").where("_high is not null"))
 
 
-def attach_as_of(events: DataFrame, versions: DataFrame, entity: str, at: str, low: str, high: str, carry: list[str], precedence: list[str], event_key: list[str], leaf_bits: int = LEAF_BITS, probe: DataFrame | None = None) -> DataFrame:
+def attach_as_of(events: DataFrame, versions: DataFrame, entity: str, at: str, low: str, high: str, carry: list[str], precedence: list[str], event_key: list[str], leaf_bits: int = LEAF_BITS, probe: DataFrame | None = None, tiled: bool = False) -> DataFrame:
     """events, every row as it is, with struct `version` of the carried columns of the version valid at its time, or null.
 
     at, low, high: microseconds (bigint); valid means low <= at < high. entity: column of both sides. Among overlapping
@@ -95,7 +95,8 @@ def attach_as_of(events: DataFrame, versions: DataFrame, entity: str, at: str, l
     Nodes that fit are broadcast level by level: versions being disjoint, an event meets at most one, so events are
     neither multiplied nor shuffled. Beyond, the columns that identify events are matched by shuffle and joined back;
     event_key: columns that spread a hot entity (together with entity and time they need not be unique; nulls in them are
-    equal); probe: a cheaper table with the same event_key, entity and at as events, to match from.
+    equal); probe: a cheaper table with the same event_key, entity and at as events, to match from. tiled: the versions of
+    an entity are known not to overlap, so this is not looked for.
     """
     key = [*dict.fromkeys([*event_key, entity, at])]
     slim = (events if probe is None else probe).select(*key).where(F.col(entity).isNotNull() & F.col(at).isNotNull())
@@ -105,8 +106,10 @@ def attach_as_of(events: DataFrame, versions: DataFrame, entity: str, at: str, l
         return events.withColumn("version", F.lit(None).cast(none))
     side = versions.select(F.col(entity).alias("_e"), F.col(low).alias("_low"), F.col(high).alias("_high"), F.struct(*[F.col(c).alias(f"p{k}") for k, c in enumerate(precedence)], F.struct(*carry).alias("v")).alias("_v"))
     levels = _levels(span.a, span.b, leaf_bits)
-    nodes = cut(dyadic_nodes(disjoint(side, leaf_bits), F.col("_low"), F.col("_high"), span.a, leaf_bits, levels))
-    if not broadcastable(nodes, BROADCAST_NODES):
+    whole = side.where("_e is not null and _low < _high") if tiled else disjoint(side, leaf_bits)
+    nodes = cut(dyadic_nodes(whole, F.col("_low"), F.col("_high"), span.a, leaf_bits, levels))
+    held = {r.level: r.n for r in nodes.groupBy("level").agg(F.sum(row_bytes(nodes.schema)).alias("n")).collect()}  # one row per level
+    if sum(held.values()) > BROADCAST_NODES:
         found = _grouped(slim, key, entity, at, nodes, span.a, levels, leaf_bits)
         met = found.select(*[F.col(c).alias(f"_m{k}") for k, c in enumerate(key)], F.col("_v.v").alias("version"))
         same = F.lit(True)
@@ -114,7 +117,7 @@ def attach_as_of(events: DataFrame, versions: DataFrame, entity: str, at: str, l
             same &= (F.col(c) == F.col(f"_m{k}")) if c in (entity, at) else F.col(c).eqNullSafe(F.col(f"_m{k}"))
         return events.join(met, same, "left").select(*events.columns, "version")
     out, leaf, some = events, F.shiftright(F.col(at) - span.a, leaf_bits), []
-    for (k,) in sorted(nodes.select("level").distinct().collect()):  # at most one row per level
+    for k in sorted(held):
         level = nodes.where(F.col("level") == k).select(F.col("_e").alias(f"_e{k}"), F.col("node").alias(f"_n{k}"), F.col("_low").alias(f"_l{k}"), F.col("_high").alias(f"_h{k}"), F.col("_v.v").alias(f"_v{k}"))
         hit = (F.col(entity) == F.col(f"_e{k}")) & (F.shiftright(leaf, k) == F.col(f"_n{k}")) & (F.col(at) >= F.col(f"_l{k}")) & (F.col(at) < F.col(f"_h{k}"))
         out = out.join(F.broadcast(level), hit, "left")

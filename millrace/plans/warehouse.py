@@ -267,9 +267,10 @@ def with_inferred_customers(dim: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def _as_of(df: DataFrame, dim: DataFrame, key: str, carry: list[str], unique: list[str], probe: DataFrame | None = None) -> DataFrame:
+    # A dimension's versions tile time (version_chain), and inferred members are of keys without any.
     timed = lambda x: x.withColumn("_at_us", micros(F.col("event_ts")))
     sides = dim.select(key, micros(F.col("effective_from_utc")).alias("_low_us"), micros(F.col("effective_to_utc")).alias("_high_us"), "version_number", *carry)
-    return attach_as_of(timed(df), sides, key, "_at_us", "_low_us", "_high_us", carry, ["_low_us", "version_number"], unique, probe=None if probe is None else timed(probe)).drop("_at_us")
+    return attach_as_of(timed(df), sides, key, "_at_us", "_low_us", "_high_us", carry, ["_low_us", "version_number"], unique, probe=None if probe is None else timed(probe), tiled=True).drop("_at_us")
 
 
 def fact_sales(lines: DataFrame, dates: DataFrame, stores: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
