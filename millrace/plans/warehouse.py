@@ -15,6 +15,7 @@ from millrace.functions.keys import NOT_APPLICABLE, UNKNOWN, beginning_of_time,
 from millrace.operators.asof import attach_as_of
 from millrace.operators.ordered import with_neighbours, with_position
 from millrace.session import pin_semantics, work_path
+from millrace.sources.landing import Files
 
 DEFAULT_TZ = "Asia/Kuala_Lumpur"
 #: Chunk of event time for building version chains.
@@ -23,7 +24,7 @@ CHUNK_US = 30 * 86_400_000_000
 SNAPSHOT_FROM, SNAPSHOT_TO = "2026-03-02", "2026-04-20"
 PAYMENTS, TIERS = ["CASH", "CARD", "EWALLET"], ["BASIC", "SILVER", "GOLD", "PLATINUM"]
 
-_BUILT: dict[tuple[str, str, str], str] = {}
+_BUILT: dict[tuple, str] = {}
 
 
 class Warehouse:
@@ -32,6 +33,8 @@ class Warehouse:
     def __init__(self, spark: SparkSession, sf_dir: str):
         pin_semantics(spark)
         self.spark, self.sf_dir = spark, sf_dir
+        # Tables are known by what they were built from: names and times of change of the input's files.
+        self._input = tuple(Files(spark, sf_dir).children(sf_dir))
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -39,7 +42,7 @@ class Warehouse:
     def table(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
         """The table, built if it is not there. by: a folder per value, so that filters on it (also those that come from a
         joined dimension) skip files; rows are rebalanced by it, which splits large values and merges small ones."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self._input, name)
         if key not in _BUILT:
             path = work_path(self.spark, f"wh-{name}")
             rows = build()

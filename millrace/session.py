@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -56,7 +57,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for a table that cuts lineage."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    run = f"{shared_dir(spark).rstrip('/')}/run-{spark.sparkContext.applicationId}"
+    if run not in _RUNS:
+        _RUNS.add(run)
+        atexit.register(clean_up, spark, run)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
+
+
+_RUNS: set[str] = set()
+
+
+def clean_up(spark: SparkSession, run: str | None = None) -> None:
+    """Delete the work tables of this application (all of them: results that read them must be written by then).
+
+    Done when the driver's process ends; a long-running one may do it between queries.
+    """
+    for path in [run] if run else [x for x in _RUNS if x.endswith(f"run-{spark.sparkContext.applicationId}")]:
+        try:
+            jvm = spark._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+        except Exception:  # the JVM may be gone already; the folder is then left to its owner
+            pass
 
 
 def cut(df: DataFrame) -> DataFrame:
